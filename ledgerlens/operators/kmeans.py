@@ -1,9 +1,12 @@
 """K-means over many groups, cluster counts and restarts at once.
 
-All fits advance together: one Spark job per Lloyd iteration assigns every row
-to its nearest center in every unfinished fit and sums the rows per center.
-Only centers (fits x k rows) come back to the driver. Customer rows never do,
-except for a seed sample of bounded size.
+Two ways to the same result, chosen by the counted size of the groups. While
+every group fits comfortably into a task, each restart of each group is one
+task and a single job finishes all of them. Beyond that all fits advance
+together: one job per Lloyd iteration assigns every row to its nearest center
+in every unfinished fit and sums the rows per center. Either way only centers
+(fits x k rows) come back to the driver; customer rows never do, except for a
+seed sample of bounded size.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -20,6 +24,7 @@ from ledgerlens.session import stage
 
 _FAR = 1e150  # coordinate of a padding center: never the nearest one
 _SEED_ROWS = 2000  # expected rows per group that the seeding looks at
+_TASK_ROWS = 100_000  # distinct points of a group that one task may hold (32 bytes each)
 
 
 @dataclass
@@ -60,10 +65,12 @@ def fit(
     tol: float = 1e-4,
     features: Sequence[str] = FEATURES,
     spare_rows: int = 0,
+    task_rows: int = _TASK_ROWS,
 ) -> list[ClusterModel]:
     """Best of `n_init` restarts per group and k.
 
     A group with fewer than k + `spare_rows` rows gets no fit for that k.
+    `task_rows` is the largest group that may be fitted inside a task.
     """
     stats = {
         r[group]: (
@@ -73,16 +80,22 @@ def fit(
         )
         for r in scaling(df, group, features).collect()
     }
-    if not stats:
+    plan = [
+        (g, k, init)
+        for g in sorted(stats, key=str)
+        for k in k_values
+        if stats[g][0] >= k + spare_rows
+        for init in range(n_init)
+    ]
+    if not plan:
         return []
     points = _weighted_points(df, group, stats, features)
-    runs = _seeded_runs(points, group, stats, k_values, n_init, seed, spare_rows, len(features))
-    open_runs = list(runs)
-    for _ in range(max_iter):
-        if not open_runs:
-            break
-        open_runs = [run for run in _advance(points, group, open_runs, len(features)) if run["shift"] > tol]
-    _advance(points, group, runs, len(features), move=False)
+    sizes = {r[group]: r["n"] for r in points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+    runs = [{"id": i, "group": g, "k": k, "init": init} for i, (g, k, init) in enumerate(plan)]
+    if max(sizes.values()) <= task_rows:
+        _run_in_tasks(points, group, runs, seed, max_iter, tol, len(features))
+    else:
+        _run_together(points, group, runs, sizes, seed, max_iter, tol, len(features))
     best: dict[tuple, dict] = {}
     for run in runs:
         key = (run["group"], run["k"])
@@ -121,53 +134,91 @@ def _small_table(df: DataFrame, columns: dict) -> DataFrame:
     return df.sparkSession.createDataFrame(pa.table(columns))
 
 
-def _seeded_runs(points, group, stats, k_values, n_init, seed, spare_rows, width) -> list[dict]:
+def _run_in_tasks(points, group, runs, seed, max_iter, tol, width) -> None:
+    """Every restart on its own copy of its group's points, one task each."""
+    axes = [f"_x{i}" for i in range(width)]
+    table = _small_table(points, {name: [run[key] for run in runs] for name, key in
+                                  ((group, "group"), ("_run", "id"), ("_k", "k"), ("_init", "init"))})
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(axes)
+        run, k, init = (int(rows[c].iloc[0]) for c in ("_run", "_k", "_init"))
+        x, w = rows[axes].to_numpy(float), rows["_w"].to_numpy(float)
+        centers = _spread_seeds(x, w, k, np.random.default_rng([seed, k, init]))
+        centers, cost = _lloyd(x, w, centers, max_iter, tol)
+        return pd.DataFrame(
+            {"_run": run, "_cluster": np.arange(k), "_cost": cost, **{a: centers[:, i] for i, a in enumerate(axes)}}
+        )
+
+    schema = ", ".join(["_run long", "_cluster long", "_cost double", *(f"{a} double" for a in axes)])
+    fitted = points.join(F.broadcast(table), group).groupBy("_run").applyInPandas(settle, schema).toPandas()
+    for run_id, rows in fitted.sort_values("_cluster").groupby("_run"):
+        runs[run_id]["centers"] = rows[axes].to_numpy(float)
+        runs[run_id]["cost"] = float(rows["_cost"].iloc[0])
+
+
+def _run_together(points, group, runs, sizes, seed, max_iter, tol, width) -> None:
+    """All restarts in lockstep, one pass over the points per iteration."""
     axes = [f"_x{i}" for i in range(width)]
-    sizes = {r[group]: r["n"] for r in points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     scale = 1 << 20
     limit = _small_table(
         points, {group: list(sizes), "_limit": [int(min(1.0, _SEED_ROWS / n) * scale) for n in sizes.values()]}
     )
     bucket = F.pmod(F.xxhash64(group, *axes), F.lit(scale))
     picked = points.join(F.broadcast(limit), group).where(bucket < F.col("_limit")).drop("_limit").toPandas()
-    runs = []
-    for g in sorted(stats, key=str):
-        rows = picked[picked[group] == g].sort_values(axes)
-        if rows.empty:
-            continue
+    samples = {g: rows.sort_values(axes) for g, rows in picked.groupby(group)}
+    for run in runs:
+        rows = samples[run["group"]]
         x, w = rows[axes].to_numpy(float), rows["_w"].to_numpy(float)
-        for k in k_values:
-            if stats[g][0] < k + spare_rows:
-                continue
-            for init in range(n_init):
-                rng = np.random.default_rng([seed, k, init])
-                runs.append({"id": len(runs), "group": g, "k": k, "centers": _spread_seeds(x, w, k, rng)})
-    return runs
+        seeds = _spread_seeds(x, w, run["k"], np.random.default_rng([seed, run["k"], run["init"]]))
+        # Settling on the sample first saves most of the passes over all points.
+        run["centers"], _ = _lloyd(x, w, seeds, max_iter, tol)
+    moving = list(runs)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        moving = [run for run in _advance(points, group, moving, width) if run["shift"] > tol]
+    _advance(points, group, runs, width, move=False)
+
+
+def _lloyd(x: np.ndarray, w: np.ndarray, centers: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
+    """Centers after the last move and the weighted squared distance to them."""
+    k = len(centers)
+    for _ in range(max_iter):
+        label = _distances(x, centers).argmin(1)
+        mass = np.bincount(label, w, k)
+        sums = np.stack([np.bincount(label, w * column, k) for column in x.T], 1)
+        filled = mass > 0  # an empty cluster keeps its center
+        moved = centers.copy()
+        moved[filled] = sums[filled] / mass[filled, None]
+        shift = ((moved - centers) ** 2).sum()
+        centers = moved
+        if shift <= tol:
+            break
+    return centers, float(_distances(x, centers).min(1) @ w)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(centers)))
+    for i in range(x.shape[1]):
+        out += (x[:, i, None] - centers[None, :, i]) ** 2
+    return out
 
 
 def _spread_seeds(x: np.ndarray, w: np.ndarray, k: int, rng) -> np.ndarray:
-    """k starting rows, each drawn with probability proportional to its squared
-    distance from the ones already taken, then settled on the sample."""
+    """k starting rows, each drawn with odds proportional to its squared distance
+    from the rows already taken; the best of a few draws is kept."""
     chosen = [x[rng.choice(len(x), p=w / w.sum())]]
     near = ((x - chosen[0]) ** 2).sum(1)
     while len(chosen) < k:
         mass = near * w
         odds = mass / mass.sum() if mass.sum() > 0 else w / w.sum()
         tries = x[rng.choice(len(x), size=2 + int(np.log(k)), p=odds)]
-        reach = np.minimum(near, ((x[None] - tries[:, None]) ** 2).sum(2))
-        pick = int((reach @ w).argmin())
+        reach = np.minimum(near[:, None], _distances(x, tries))
+        pick = int((w @ reach).argmin())
         chosen.append(tries[pick])
-        near = reach[pick]
-    centers = np.array(chosen)
-    for _ in range(50):
-        label = ((x[:, None] - centers[None]) ** 2).sum(2).argmin(1)
-        mass = np.bincount(label, w, k)
-        sums = np.stack([np.bincount(label, w * column, k) for column in x.T], 1)
-        moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centers)
-        if np.allclose(moved, centers, atol=1e-9):
-            break
-        centers = moved
-    return centers
+        near = reach[:, pick]
+    return np.array(chosen)
 
 
 def _advance(points: DataFrame, group: str, runs: list[dict], width: int, move: bool = True) -> list[dict]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -70,14 +72,17 @@ def fit_windows(panel: DataFrame, widths: Sequence[int], train_end: date) -> lis
     for r in panel.groupBy("WindowMonths", late, TARGET).count().collect():
         if r["WindowMonths"] in counts:
             counts[r["WindowMonths"]][r["_late"]][r[TARGET]] = r["count"]
-    fits = []
-    for w in widths:
-        train_counts, test_counts = counts[w][False], counts[w][True]
+
+    def one(width: int) -> WindowFit:
+        train_counts, test_counts = counts[width][False], counts[width][True]
         usable = len(train_counts) == 2 and len(test_counts) == 2
-        train, _ = split_by_time(panel.where(F.col("WindowMonths") == w), train_end)
+        train, _ = split_by_time(panel.where(F.col("WindowMonths") == width), train_end)
         model = fit_logistic(train, train_counts) if usable else None
-        fits.append(WindowFit(w, sum(train_counts.values()), sum(test_counts.values()), model))
-    return fits
+        return WindowFit(width, sum(train_counts.values()), sum(test_counts.values()), model)
+
+    # The fits are chains of small jobs; side by side they share the executors.
+    with ThreadPoolExecutor(len(widths)) as pool:
+        return list(pool.map(inheritable_thread_target(panel.sparkSession)(one), widths))
 
 
 def score_windows(panel: DataFrame, fits: Sequence[WindowFit], train_end: date) -> DataFrame:
