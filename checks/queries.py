@@ -55,10 +55,6 @@ def base(spark, folder) -> analysis.Base:
     return analysis.prepare(retail_lines(spark, folder), CFG)
 
 
-def static_lines(b) -> DataFrame:
-    return b.static_filtered
-
-
 def graded_static(b) -> DataFrame:
     return grades.apply_grades(b.rfm, [fixed.model()], GRADE_NAMES)
 
@@ -76,8 +72,8 @@ def target_rows(spark, folder) -> DataFrame:
 
 
 def pairs(b) -> DataFrame:
-    lines = static_lines(b)
-    return products.integrate(products.customer_product(lines), graded_static(b), products.analyze_products(lines))
+    bought = stage(b.static_pairs())
+    return products.integrate(bought, graded_static(b), products.analyze_products(bought))
 
 
 def totals(lines: DataFrame) -> DataFrame:
@@ -181,7 +177,7 @@ def prj10_log_columns(spark, folder):
 def prj11_replace_segment(spark, folder):
     b = base(spark, folder)
     tiers = scores.add_revenue_tier(b.rfm)
-    old = products.customer_product(static_lines(b)).withColumn("Segment", F.lit("old"))
+    old = b.static_pairs().withColumn("Segment", F.lit("old"))
     return scores.with_segment(old, tiers).select("CustomerID", "StockCode", "Segment")
 
 
@@ -310,7 +306,7 @@ def agg9_grade_counts(spark, folder):
 
 @query
 def agg9_abc_counts(spark, folder):
-    return profile.value_counts(products.analyze_products(static_lines(base(spark, folder))), "ABC_Class")
+    return profile.value_counts(products.analyze_products(base(spark, folder).static_pairs()), "ABC_Class")
 
 
 @query
@@ -320,12 +316,12 @@ def agg9_segment_counts(spark, folder):
 
 @query
 def agg10_product_sales(spark, folder):
-    return products.product_sales(static_lines(base(spark, folder)))
+    return products.product_sales(base(spark, folder).static_pairs())
 
 
 @query
 def agg11_abc_share(spark, folder):
-    return products.abc_revenue_share(products.analyze_products(static_lines(base(spark, folder))))
+    return products.abc_revenue_share(products.analyze_products(base(spark, folder).static_pairs()))
 
 
 @query
@@ -341,13 +337,13 @@ def agg13_monthly_sales(spark, folder):
 @query
 def agg14_order_summary(spark, folder):
     b = base(spark, folder)
-    return segments.order_summary(static_lines(b), graded_static(b))
+    return segments.order_summary(b.static, graded_static(b), "inner")
 
 
 @query
 def agg15_segment_summary(spark, folder):
     b = base(spark, folder)
-    return segments.segment_summary(segments.order_summary(static_lines(b), graded_static(b)))
+    return segments.segment_summary(segments.order_summary(b.static, graded_static(b), "inner"))
 
 
 @query
@@ -364,7 +360,7 @@ def agg17_grade_abc_matrix(spark, folder):
 @query
 def agg18_grade_month_revenue(spark, folder):
     b = base(spark, folder)
-    return segments.grade_month_revenue(static_lines(b), graded_static(b))
+    return segments.grade_month_revenue(b.static, graded_static(b))
 
 
 @query
@@ -374,7 +370,7 @@ def agg19_monthly_grade_counts(spark, folder):
 
 @query
 def agg20_describe_lines(spark, folder):
-    return profile.describe(clean(spark, folder), ["Revenue", "Quantity", "UnitPrice"])
+    return profile.describe(clean(spark, folder), ["Revenue", "Quantity", "UnitPrice"], narrow=True)
 
 
 @query
@@ -417,12 +413,12 @@ def agg25_cluster_profile(spark, folder):
 
 @query
 def win1_running_revenue(spark, folder):
-    return products.analyze_products(static_lines(base(spark, folder)))
+    return products.analyze_products(base(spark, folder).static_pairs())
 
 
 @query
 def win3_long_tail(spark, folder):
-    return products.long_tail(products.product_sales(static_lines(base(spark, folder))))
+    return products.long_tail(products.product_sales(base(spark, folder).static_pairs()))
 
 
 @query
@@ -447,7 +443,7 @@ def win11_rule_segment(spark, folder):
 
 @query
 def lim1_top_products(spark, folder):
-    return products.top_products(products.product_sales(static_lines(base(spark, folder))))
+    return products.top_products(products.product_sales(base(spark, folder).static_pairs()))
 
 
 # --- rolling windows ---------------------------------------------------------

@@ -97,44 +97,86 @@ def add_running_sums(
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), narrow: bool = False
 ) -> DataFrame:
     """Linear-interpolation quantiles: one row per (by.., Variable, Prob).
 
     Equal values collapse to one counted row before the sort, so a value that
     holds a third of the table costs one row. Nulls and NaN are left out.
+
+    `narrow` suits tables of lines: a first pass sketches where each quantile
+    must lie, a second keeps only the values around it and counts the rest
+    below. Two reads replace the sort of all values; the result is as exact.
     """
-    melted = df.select(
-        *by,
-        F.explode(
-            F.array(*(F.struct(F.lit(c).alias("Variable"), F.col(c).cast("double").alias("_v")) for c in columns))
-        ).alias("_e"),
-    ).select(*by, "_e.Variable", "_e._v")
-    counted = (
-        melted.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*by, "Variable", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    cells = F.array(*(F.struct(F.lit(c).alias("Variable"), F.col(c).cast("double").alias("_v")) for c in columns))
+    values = df.select(*by, F.explode(cells).alias("_e")).select(*by, "_e.Variable", "_e._v")
+    values = values.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    if narrow:
+        found = _narrowed_quantiles(values, probs, by)
+        if found is not None:
+            return found
     groups = [*by, "Variable"]
+    counted = values.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n"))
     running = add_running_sums(counted, {"_upto": "_n"}, [F.col("_v")], groups, {"_all": "_n"})
-    # A value covers the 0-based ranks [_upto - _n, _upto).
+    return _pick(running.withColumn("Prob", F.explode(F.array(*(F.lit(float(p)) for p in probs)))), groups)
+
+
+def _pick(running: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Interpolated value per (group, Prob). A row covers the 0-based ranks [_upto - _n, _upto)."""
     target = (F.col("_all") - 1) * F.col("Prob")
     covers = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+    low, high = F.floor(target), F.ceil(target)
     picked = (
-        running.withColumn("Prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
-        .withColumn("_low", F.floor(target))
-        .withColumn("_high", F.ceil(target))
-        .where(covers(F.col("_low")) | covers(F.col("_high")))
+        running.where(covers(low) | covers(high))
         .groupBy(*groups, "Prob")
         .agg(
-            F.max(F.when(covers(F.col("_low")), F.col("_v"))).alias("_a"),
-            F.max(F.when(covers(F.col("_high")), F.col("_v"))).alias("_b"),
-            F.max(target - F.col("_low")).alias("_frac"),
+            F.max(F.when(covers(low), F.col("_v"))).alias("_a"),
+            F.max(F.when(covers(high), F.col("_v"))).alias("_b"),
+            F.max(target - low).alias("_frac"),
         )
     )
     return picked.select(*groups, "Prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias("Value"))
 
 
+_SKETCH = 10_000  # percentile_approx is off by at most one part in this many
+
+
+def _narrowed_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame | None:
+    """Quantiles from the neighbourhood a sketch names; null if a sketch missed."""
+    groups = [*by, "Variable"]
+    margin = 3 / _SKETCH
+    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
+    sketch = values.groupBy(*groups).agg(
+        F.percentile_approx("_v", [e for pair in ends for e in pair], _SKETCH).alias("_q"),
+        F.count(F.lit(1)).alias("_all"),
+    )
+    brackets = F.array(
+        *(
+            F.struct(
+                F.lit(float(p)).alias("Prob"),
+                (F.col("_q")[2 * i] if a > 0 else F.lit(float("-inf"))).alias("_from"),
+                (F.col("_q")[2 * i + 1] if b < 1 else F.lit(float("inf"))).alias("_to"),
+            )
+            for i, (p, (a, b)) in enumerate(zip(probs, ends))
+        )
+    )
+    # One row per group, variable and quantile.
+    wanted = stage(sketch.select(*groups, "_all", F.explode(brackets).alias("_b")).select(*groups, "_all", "_b.*"))
+    counted = (
+        values.join(F.broadcast(wanted), groups)
+        .where(F.col("_v") <= F.col("_to"))
+        # All values below the bracket share the key null, which sorts first.
+        .withColumn("_v", F.when(F.col("_v") >= F.col("_from"), F.col("_v")))
+        .groupBy(*groups, "Prob", "_all", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    running = add_running_sums(counted, {"_upto": "_n"}, [F.col("_v")], [*groups, "Prob"])
+    found = stage(_pick(running, groups))
+    if found.where(F.col("Value").isNotNull()).count() < wanted.count():
+        return None
+    return found
+
+
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
     """Quantiles of the whole table as driver values (columns x probs of them)."""
     rows = exact_quantiles(df, columns, probs).collect()

@@ -95,8 +95,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counted.orderBy(F.desc("Count"), column)
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per column."""
+def describe(df: DataFrame, columns: Sequence[str], narrow: bool = False) -> DataFrame:
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per column.
+
+    Set `narrow` for tables of lines (see `exact_quantiles`).
+    """
     melted = df.select(
         F.explode(
             F.array(*(F.struct(F.lit(c).alias("Variable"), F.col(c).cast("double").alias("_v")) for c in columns))
@@ -110,7 +113,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.max("_v").alias("Max"),
     )
     quartiles = (
-        exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        exact_quantiles(df, columns, [0.25, 0.5, 0.75], narrow=narrow)
         .groupBy("Variable")
         .agg(*(F.max(F.when(F.col("Prob") == p, F.col("Value"))).alias(n) for p, n in ((0.25, "Q25"), (0.5, "Median"), (0.75, "Q75"))))
     )
@@ -122,7 +125,9 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair of columns, in long form."""
     pairs = list(combinations_with_replacement(columns, 2))
-    one_row = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    # A constant column has no correlation: null, where corr() would divide by zero.
+    spread = lambda a, b: F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+    one_row = df.agg(*((F.covar_pop(a, b) / spread(a, b)).alias(f"{a}|{b}") for a, b in pairs))
     cells = []
     for a, b in pairs:
         value = F.col(f"`{a}|{b}`")

@@ -11,14 +11,18 @@ from ledgerlens.functions import columns as C
 from ledgerlens.operators.products import CLASSES
 
 
-def order_summary(lines: DataFrame, graded: DataFrame) -> DataFrame:
-    """Revenue and latest month per order, with the customer's grade."""
+def order_summary(lines: DataFrame, graded: DataFrame, how: str = "left") -> DataFrame:
+    """Revenue and latest month per order, with the customer's grade.
+
+    'inner' leaves out customers without a grade; that saves filtering the
+    lines of all customers to the graded ones beforehand.
+    """
     orders = (
         lines.where(F.col("CustomerID").isNotNull())
         .groupBy("CustomerID", "InvoiceNo")
         .agg(C.exact_sum(F.col("Revenue")).alias("OrderRevenue"), F.max("YearMonth").alias("YearMonth"))
     )
-    return orders.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID", "left")
+    return orders.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID", how)
 
 
 def segment_summary(orders: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def segment_summary(orders: DataFrame) -> DataFrame:
         (F.col("Revenue") / F.col("Orders")).alias("AOV"),
         (F.col("Revenue") / F.col("Customers")).alias("Revenue_per_Customer"),
         (F.col("Customers") / F.sum("Customers").over(whole)).alias("Customer_Share"),
-        (F.col("Revenue") / F.sum("Revenue").over(whole)).alias("Revenue_Share"),
+        (F.col("Revenue") / F.nullif(F.sum("Revenue").over(whole), F.lit(0.0))).alias("Revenue_Share"),
         C.grade_order(F.col("Customer_Grade")).alias("GradeOrder"),
     ).orderBy("GradeOrder")
 
@@ -69,7 +73,7 @@ def grade_month_revenue(lines: DataFrame, graded: DataFrame, names: Sequence[str
         .agg(F.sum(F.col("Revenue").cast(C.MONEY)).alias("_money"))
     )
     return (
-        monthly.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID", "left")
+        monthly.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID")
         .where(F.col("Customer_Grade").isNotNull())
         .groupBy("YearMonth")
         .pivot("Customer_Grade", list(names))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.session import stage
 
-_BLOCK_ROWS = 4000  # distinct points per block; a pair of blocks fits easily in one task
+_BLOCK_ROWS = 2000  # distinct points per block; a pair of blocks fits easily in one task
 
 
 def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
@@ -40,7 +40,7 @@ def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str
         by, own["n"].alias("_n"), far(own).alias("_own"), F.array_min(others).alias("_b")
     )
     # Rounding can leave a tiny negative sum where all points coincide.
-    a = F.greatest(F.col("_own"), F.lit(0.0)) / (F.col("_n") - 1)
+    a = F.greatest(F.col("_own"), F.lit(0.0)) / F.nullif(F.col("_n") - 1, F.lit(0.0))
     value = F.when(F.col("_n") > 1, _score(a, F.col("_b"))).otherwise(0.0)
     return scored.groupBy(by).agg(F.avg(value).alias("Silhouette"))
 
@@ -50,62 +50,65 @@ def _score(a, b):
 
 
 def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
-    """One row per `by` value, exact for any size.
+    """One row per `by` value, exact for any size. Every row needs a label for every `by` value.
 
-    Equal points of a cluster become one weighted row. Rows are split evenly
-    into blocks by hash, blocks meet pairwise as groups of bounded size, and
-    each pair returns distance sums per row and cluster, never the pairs.
+    Equal points become one weighted row that carries its label in every model,
+    so distances are computed once for all models. Rows are split evenly into
+    blocks by hash, blocks meet pairwise as groups of bounded size, and each
+    pair returns distance sums per row and cluster, never the pairs.
     """
-    points = df.groupBy(by, *axes, label).agg(F.count(F.lit(1)).cast("double").alias("w"))
-    points = stage(points.withColumn("id", F.xxhash64(by, *axes, label)))
-    largest = points.groupBy(by).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, math.ceil(largest / _BLOCK_ROWS))
-    tagged = points.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int"))
+    ks = sorted(r[by] for r in df.select(by).distinct().collect())
+    if not ks:
+        return df.select(by, F.lit(0.0).alias("Silhouette"))
+    labels = [f"c{i}" for i in range(len(ks))]
+    points = df.groupBy(*axes).agg(
+        (F.count(F.lit(1)) / len(ks)).alias("w"),
+        *(F.max(F.when(F.col(by) == k, F.col(label))).alias(c) for k, c in zip(ks, labels)),
+    )
+    points = stage(points.withColumn("id", F.xxhash64(*axes)))
+    sizes = (
+        points.select("w", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("c")) for i, c in enumerate(labels)))).alias("e"))
+        .groupBy("e.i", "e.c")
+        .agg(F.sum("w").alias("n"))
+        .orderBy("i", "c")
+        .collect()
+    )  # one row per model and cluster
+    mass = {(r["i"], r["c"]): r["n"] for r in sizes}
+    slots = {key: s for s, key in enumerate(mass)}
+
+    blocks = max(1, math.ceil(points.count() / _BLOCK_ROWS))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    tagged = points.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int"))
     left = tagged.withColumn("other", every)
-    right = tagged.select(by, F.col("block").alias("other"), *axes, label, "w").withColumn("block", every)
-
+    right = tagged.withColumnRenamed("block", "other").drop("id").withColumn("block", every)
     names = list(axes)
 
-    def pair_sums(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def sums(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
-            return pd.DataFrame({by: [], "id": [], label: [], "own": [], "w": [], "total": [], "mass": []})
-        x = mine[names].to_numpy(float)
-        out = []
-        for cluster, rows in theirs.groupby(label):
-            y, weight = rows[names].to_numpy(float), rows["w"].to_numpy(float)
-            gap = np.zeros((len(x), len(y)))
-            for i in range(len(names)):
-                gap += (x[:, i][:, None] - y[:, i][None]) ** 2
-            out.append(
-                pd.DataFrame(
-                    {
-                        by: mine[by].to_numpy(),
-                        "id": mine["id"].to_numpy(),
-                        label: np.int32(cluster),
-                        "own": mine[label].to_numpy(),
-                        "w": mine["w"].to_numpy(),
-                        "total": np.sqrt(gap) @ weight,
-                        "mass": weight.sum(),
-                    }
-                )
-            )
-        return pd.concat(out)
-
-    sums = (
-        left.groupBy(by, "block", "other")
-        .cogroup(right.groupBy(by, "block", "other"))
-        .applyInPandas(
-            pair_sums,
-            f"`{by}` {df.schema[by].dataType.simpleString()}, id long, `{label}` int, own int, w double, total double, mass double",
+            return pd.DataFrame({c: [] for c in ("id", "w", *labels, "t")})
+        x, y = mine[names].to_numpy(float), theirs[names].to_numpy(float)
+        gap = np.zeros((len(x), len(y)))
+        for i in range(len(names)):
+            gap += (x[:, i, None] - y[None, :, i]) ** 2
+        member = np.zeros((len(y), len(slots)))
+        for (i, c), slot in slots.items():
+            member[:, slot] = theirs["w"] * (theirs[labels[i]] == c)
+        return mine[["id", "w", *labels]].assign(t=list(np.sqrt(gap) @ member))
+
+    schema = ", ".join(["id long", "w double", *(f"{c} int" for c in labels), "t array<double>"])
+    met = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(sums, schema)
+    totals = met.groupBy("id", "w", *labels).agg(*(F.sum(F.col("t")[s]).alias(f"t{s}") for s in slots.values()))
+
+    scores = []
+    for i, c in enumerate(labels):
+        mine = {key: slot for key, slot in slots.items() if key[0] == i}
+        inside = F.coalesce(
+            *(F.when(F.col(c) == key[1], F.col(f"t{slot}") / max(mass[key] - 1, 1)) for key, slot in mine.items())
         )
-    )
-    per_cluster = sums.groupBy(by, "id", label, "own", "w").agg(F.sum("total").alias("t"), F.sum("mass").alias("m"))
-    mine = F.col(label) == F.col("own")
-    scored = per_cluster.groupBy(by, "id", "own", "w").agg(
-        F.max(F.when(mine, F.col("m"))).alias("_n"),
-        F.max(F.when(mine, F.col("t") / F.nullif(F.col("m") - 1, F.lit(0.0)))).alias("_a"),
-        F.min(F.when(~mine, F.col("t") / F.col("m"))).alias("_b"),
-    )
-    value = F.when(F.col("_n") > 1, _score(F.col("_a"), F.col("_b"))).otherwise(0.0)
-    return scored.groupBy(by).agg((F.sum(value * F.col("w")) / F.sum("w")).alias("Silhouette"))
+        outside = [F.when(F.col(c) != key[1], F.col(f"t{slot}") / mass[key]) for key, slot in mine.items()]
+        nearest = F.least(*outside) if len(outside) > 1 else F.lit(None).cast("double")
+        alone = F.col(c).isin(*(key[1] for key in mine if mass[key] <= 1))
+        value = F.when(alone, 0.0).otherwise(_score(inside, nearest)) if any(mass[k] <= 1 for k in mine) else _score(inside, nearest)
+        scores.append((F.sum(value * F.col("w")) / F.sum("w")).alias(c))
+    cells = F.array(*(F.struct(F.lit(k).alias(by), F.col(c).alias("Silhouette")) for k, c in zip(ks, labels)))
+    return totals.agg(*scores).select(F.explode(cells).alias("e")).select("e.*")

@@ -33,15 +33,22 @@ class Base:
         """All lines of the kept customers, also those outside the static year."""
         return rfms.of_customers(self.clean, self.rfm)
 
+    # The tables below filter by customer only after their aggregation: the join
+    # then sees a few rows per customer, also for one that owns a third of the lines.
+
     def months(self) -> DataFrame:
-        """Customer-months of the kept customers; the lines collapse before the filter."""
+        """Customer-months of the kept customers."""
         widest = max(self.config.rolling_months, *self.config.model_windows)
-        orders = rfms.of_customers(facts.order_months(self.clean), self.rfm)
-        return facts.customer_months(orders, widest)
+        return rfms.of_customers(facts.customer_months(facts.order_months(self.clean), widest), self.rfm)
 
     def product_months(self) -> DataFrame:
+        """Customer-product-months of the kept customers."""
         return rfms.of_customers(facts.product_months(self.clean), self.rfm)
 
+    def static_pairs(self) -> DataFrame:
+        """Static-year quantity and revenue per kept customer and product."""
+        return rfms.of_customers(products.customer_product(self.static), self.rfm)
+
 
 def prepare(raw: DataFrame, config: RetailConfig) -> Base:
     """Clean lines, static-year rfm and the customers left after the outlier cut."""
@@ -106,11 +113,11 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
     threshold = scores.vip_threshold(base.rfm)
     out["vip_summary"] = scores.vip_summary(base.rfm, threshold)
     out["vip_class_a"] = scores.vip_class_a_share(pairs, threshold)
-    orders = segments.order_summary(base.static_filtered, segmented)
+    orders = segments.order_summary(base.static, segmented, "inner")
     out["order_summary"] = orders
     out["segment_summary"] = segments.segment_summary(orders)
     out["segment_abc_ratio"] = segments.grade_abc_matrix(pairs)
-    out["grade_month_revenue"] = segments.grade_month_revenue(base.static_filtered, segmented)
+    out["grade_month_revenue"] = segments.grade_month_revenue(base.static, segmented)
 
     months = stage(base.months())
     panel = stage(graded_panel(stage(rolling_panel(base, months)), config))
