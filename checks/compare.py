@@ -8,10 +8,10 @@ import traceback
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
-from ledgerlens.session import build_session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -53,12 +53,16 @@ def difference(spark_rows: pd.DataFrame, sql_rows: pd.DataFrame) -> str | None:
 
 
 def main(folder: str, keys: list[str]) -> int:
-    spark = build_session(
-        "local[8]",
-        spark__sql__shuffle__partitions="8",
-        spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false",
-        spark__driver__memory="8g",
+    # A plain session: the queries must not depend on this repository's defaults.
+    spark = (
+        SparkSession.builder.master("local[8]")
+        .appName("compare")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.driver.memory", "16g")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     con = connect(folder)

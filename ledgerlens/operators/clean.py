@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerlens.config import RetailConfig
 from ledgerlens.functions import columns as C
+from ledgerlens.session import stage
 
 # Accepted raw names and the names used from here on.
 ALIASES = {"Invoice": "InvoiceNo", "Price": "UnitPrice", "Customer ID": "CustomerID"}
@@ -131,7 +132,8 @@ def cleaning_audit(raw: DataFrame, config: RetailConfig) -> DataFrame:
 
     One pass: a line is tagged with the last step it survives, so an id is
     still present at step s exactly when one of its lines reached s or more.
-    Lines collapse to (customer, invoice, step) before anything is shuffled.
+    Lines collapse to (customer, invoice, step), and that table is staged for
+    the four counts taken from it.
     """
     named = require_columns(rename_columns(trim_names(raw)))
     # Before the id cast, a customer is whatever the raw column holds.
@@ -139,8 +141,10 @@ def cleaning_audit(raw: DataFrame, config: RetailConfig) -> DataFrame:
     lines = typed(
         named.withColumn("_raw", F.when(raw_id != "NaN", raw_id)), config.date_formats, config.strict_nulls
     ).withColumn("_step", _survived(config))
-    groups = lines.groupBy("_raw", "CustomerID", "InvoiceNo", "_step").agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(F.col("Revenue").cast(C.MONEY)).alias("_money")
+    groups = stage(
+        lines.groupBy("_raw", "CustomerID", "InvoiceNo", "_step").agg(
+            F.count(F.lit(1)).alias("_rows"), F.sum(F.col("Revenue").cast(C.MONEY)).alias("_money")
+        )
     )
     size = groups.groupBy("_step").agg(F.sum("_rows").alias("Rows"), F.sum("_money").alias("Money"))
     reach = _reach(groups, "CustomerID", "Customers").where("_step > 0")

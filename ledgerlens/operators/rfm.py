@@ -30,23 +30,35 @@ def create_rfm(lines: DataFrame, snapshot: date | datetime | str = "max+1d") ->
     all lines is spread over its invoices in the wide shuffle.
     """
     at = snapshot_of(lines, snapshot)
-    when = C.instant(at) if at is not None else F.lit(None).cast("timestamp_ntz")
     invoices = (
         lines.where(F.col("CustomerID").isNotNull())
         .groupBy("CustomerID", "InvoiceNo")
         .agg(
-            F.min("InvoiceDate").alias("_first"),
-            F.max("InvoiceDate").alias("_last"),
-            F.sum(F.col("Revenue").cast(C.MONEY)).alias("_money"),
+            F.min("InvoiceDate").alias("FirstDate"),
+            F.max("InvoiceDate").alias("LastDate"),
+            F.sum(F.col("Revenue").cast(C.MONEY)).alias("Money"),
         )
     )
+    return _of_invoices(invoices, at)
+
+
+def rfm_of_orders(orders: DataFrame, snapshot: date | datetime) -> DataFrame:
+    """The same from `order_months` rows, where an invoice may span several months."""
+    invoices = orders.groupBy("CustomerID", "InvoiceNo").agg(
+        F.min("FirstDate").alias("FirstDate"), F.max("LastDate").alias("LastDate"), F.sum("Money").alias("Money")
+    )
+    return _of_invoices(invoices, snapshot)
+
+
+def _of_invoices(invoices: DataFrame, at: date | datetime | None) -> DataFrame:
+    when = C.instant(at) if at is not None else F.lit(None).cast("timestamp_ntz")
     return (
         invoices.groupBy("CustomerID")
         .agg(
-            F.min("_first").alias("FirstPurchaseDate"),
-            F.max("_last").alias("LastPurchaseDate"),
+            F.min("FirstDate").alias("FirstPurchaseDate"),
+            F.max("LastDate").alias("LastPurchaseDate"),
             F.count("InvoiceNo").alias("Frequency"),
-            F.coalesce(F.sum("_money").cast("double"), F.lit(0.0)).alias("Monetary"),
+            F.coalesce(F.sum("Money").cast("double"), F.lit(0.0)).alias("Monetary"),
         )
         .withColumn("Recency", C.recency_months(F.col("LastPurchaseDate"), when))
         .select(*COLUMNS)

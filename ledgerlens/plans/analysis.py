@@ -19,6 +19,7 @@ class Base:
 
     clean: DataFrame
     static: DataFrame
+    orders: DataFrame
     rfm_all: DataFrame
     cutoffs: tuple
     rfm: DataFrame
@@ -39,7 +40,7 @@ class Base:
     def months(self) -> DataFrame:
         """Customer-months of the kept customers."""
         widest = max(self.config.rolling_months, *self.config.model_windows)
-        return rfms.of_customers(facts.customer_months(facts.order_months(self.clean), widest), self.rfm)
+        return rfms.of_customers(facts.customer_months(self.orders, widest), self.rfm)
 
     def product_months(self) -> DataFrame:
         """Customer-product-months of the kept customers."""
@@ -51,12 +52,27 @@ class Base:
 
 
 def prepare(raw: DataFrame, config: RetailConfig) -> Base:
-    """Clean lines, static-year rfm and the customers left after the outlier cut."""
+    """Clean lines, their orders, static-year rfm and the customers left after the outlier cut.
+
+    The orders are staged: static rfm and all rolling windows come from them,
+    so the lines are read once for everything that is about customers.
+    """
     lines = cleaning.clean(raw, config)
+    return prepare_clean(lines, config)
+
+
+def prepare_clean(lines: DataFrame, config: RetailConfig) -> Base:
     static = cleaning.between(lines, config.static_start, config.static_end)
-    rfm_all = stage(rfms.create_rfm(static, config.static_end))
+    orders = stage(facts.order_months(lines))
+    if config.static_start.day == config.static_end.day == 1:
+        month = F.col("MonthStart")
+        year = orders.where((month >= F.lit(config.static_start)) & (month < F.lit(config.static_end)))
+        rfm_all = rfms.rfm_of_orders(year, config.static_end)
+    else:
+        rfm_all = rfms.create_rfm(static, config.static_end)
+    rfm_all = stage(rfm_all)
     cutoffs = rfms.outlier_cutoffs(rfm_all, config.outlier_quantile)
-    return Base(lines, static, rfm_all, cutoffs, rfms.drop_outliers(rfm_all, cutoffs), config)
+    return Base(lines, static, orders, rfm_all, cutoffs, rfms.drop_outliers(rfm_all, cutoffs), config)
 
 
 def rolling_panel(base: Base, months: DataFrame | None = None) -> DataFrame:
@@ -79,9 +95,8 @@ def snapshots(base: Base, months: DataFrame | None = None) -> DataFrame:
 
 def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
     """Every result table by name. Shared tables are staged once, reports stay lazy."""
-    base = prepare(raw, config)
-    base.clean = lines = stage(base.clean)
-    base.static = cleaning.between(lines, config.static_start, config.static_end)
+    lines = stage(cleaning.clean(raw, config))
+    base = prepare_clean(lines, config)
     out: dict[str, DataFrame] = {
         "dataset_summary": profile.dataset_summary(raw, lines),
         "preprocessing_stats": cleaning.cleaning_audit(raw, config),

@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app: str = "ledgerlens", **conf: st
         # Split a hot join key even when the next step reuses the join's partitioning.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Recording a Python call site per column costs more than small plans take to run.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -14,9 +14,18 @@ from ledgerlens.config import NON_PRODUCT_CODES, RetailConfig
 VIEW_CONFIG = RetailConfig().shifted(-11)
 
 
+# Given schemas, reduced to what the view needs: no job to infer them.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, l_extendedprice double",
+}
+
+
 def retail_lines(spark: SparkSession, folder: str) -> DataFrame:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
     country = F.when(F.col("c_nationkey") < 20, "United Kingdom").otherwise(F.col("n_name"))
     buyers = (
