@@ -49,6 +49,8 @@ class RetailConfig:
     # Months between the snapshot month and the month whose purchases are the target.
     gap_months: int = 1
     outlier_quantile: float = 0.99
+    # Date that static recency counts from: none for static_end, else a date, 'max' or 'max+1d'.
+    snapshot: date | str | None = None
     # Drop rows whose stock code is null instead of keeping them as the text 'nan'.
     strict_nulls: bool = False
     # Leave the last panel month out of the transition reports (it has no next month).

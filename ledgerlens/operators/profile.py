@@ -22,9 +22,9 @@ def dataset_summary(raw: DataFrame, clean: DataFrame) -> DataFrame:
         F.min("InvoiceDate").alias("StartDate"),
         F.max("InvoiceDate").alias("EndDate"),
     )
-    # One row on each side.
-    both = raw_size.withColumn("_k", F.lit(1)).join(kept.withColumn("_k", F.lit(1)), "_k")
-    return both.select(
+    # One row from each side, brought together without a join.
+    both = raw_size.unionByName(kept, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns)).select(
         "RawRows",
         "CleanRows",
         (F.col("RawRows") - F.col("CleanRows")).alias("RemovedRowsTotal"),

@@ -12,13 +12,15 @@ from ledgerlens.functions.ordered import quantile_values
 COLUMNS = ("CustomerID", "FirstPurchaseDate", "LastPurchaseDate", "Recency", "Frequency", "Monetary")
 
 
-def snapshot_of(lines: DataFrame, snapshot: date | datetime | str) -> datetime | date | None:
-    """A given date, or 'max' / 'max+1d' of the lines (null for no lines)."""
+def snapshot_of(
+    rows: DataFrame, snapshot: date | datetime | str, column: str = "InvoiceDate"
+) -> datetime | date | None:
+    """A given date, or 'max' / 'max+1d' of the rows (null for no rows)."""
     if not isinstance(snapshot, str):
         return snapshot
     if snapshot not in ("max", "max+1d"):
         raise ValueError("snapshot must be a date, 'max' or 'max+1d'")
-    last = lines.agg(F.max("InvoiceDate")).first()[0]
+    last = rows.agg(F.max(column)).first()[0]
     return last + timedelta(days=1) if last is not None and snapshot == "max+1d" else last
 
 
@@ -42,12 +44,13 @@ def create_rfm(lines: DataFrame, snapshot: date | datetime | str = "max+1d") ->
     return _of_invoices(invoices, at)
 
 
-def rfm_of_orders(orders: DataFrame, snapshot: date | datetime) -> DataFrame:
+def rfm_of_orders(orders: DataFrame, snapshot: date | datetime | str) -> DataFrame:
     """The same from `order_months` rows, where an invoice may span several months."""
+    at = snapshot_of(orders, snapshot, "LastDate")
     invoices = orders.groupBy("CustomerID", "InvoiceNo").agg(
         F.min("FirstDate").alias("FirstDate"), F.max("LastDate").alias("LastDate"), F.sum("Money").alias("Money")
     )
-    return _of_invoices(invoices, snapshot)
+    return _of_invoices(invoices, at)
 
 
 def _of_invoices(invoices: DataFrame, at: date | datetime | None) -> DataFrame:

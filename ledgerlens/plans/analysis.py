@@ -64,12 +64,13 @@ def prepare(raw: DataFrame, config: RetailConfig) -> Base:
 def prepare_clean(lines: DataFrame, config: RetailConfig) -> Base:
     static = cleaning.between(lines, config.static_start, config.static_end)
     orders = stage(facts.order_months(lines))
+    snapshot = config.snapshot or config.static_end
     if config.static_start.day == config.static_end.day == 1:
         month = F.col("MonthStart")
         year = orders.where((month >= F.lit(config.static_start)) & (month < F.lit(config.static_end)))
-        rfm_all = rfms.rfm_of_orders(year, config.static_end)
+        rfm_all = rfms.rfm_of_orders(year, snapshot)
     else:
-        rfm_all = rfms.create_rfm(static, config.static_end)
+        rfm_all = rfms.create_rfm(static, snapshot)
     rfm_all = stage(rfm_all)
     cutoffs = rfms.outlier_cutoffs(rfm_all, config.outlier_quantile)
     return Base(lines, static, orders, rfm_all, cutoffs, rfms.drop_outliers(rfm_all, cutoffs), config)
@@ -102,6 +103,10 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
         "preprocessing_stats": cleaning.cleaning_audit(raw, config),
         "yearly_summary": profile.yearly_summary(lines),
         "variable_info": profile.variable_info(lines),
+        "monthly_sales": profile.monthly_sales(lines),
+        "describe_lines": profile.describe(lines, ["Revenue", "Quantity", "UnitPrice"], narrow=True),
+        "describe_rfm": profile.describe(base.rfm, ["Recency", "Frequency", "Monetary"]),
+        "correlation": profile.correlation(lines, ["Quantity", "UnitPrice", "Revenue"]),
         "outlier_summary": rfms.outlier_summary(base.rfm_all, base.cutoffs),
         "df_clean": lines,
         "df_static_filtered": base.static_filtered,
@@ -119,12 +124,15 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
         (F.col("MonthStart") >= F.lit(config.static_start)) & (F.col("MonthStart") < F.lit(config.static_end))
     ).select("CustomerID", "StockCode", F.col("Units").alias("Quantity"), F.col("Money").alias("Revenue"))
     out["product_sales"] = stage(products.analyze_products(static_products))
+    out["top_products"] = products.top_products(out["product_sales"])
+    out["product_rank"] = products.long_tail(out["product_sales"])
     out["abc_revenue_share"] = products.abc_revenue_share(out["product_sales"])
     pairs = products.integrate(products.customer_product(static_products), segmented, out["product_sales"])
     tiers = scores.add_revenue_tier(base.rfm)
     out["customer_product"] = scores.with_segment(pairs, tiers)
     out["segment_abc"] = scores.segment_abc_mix(out["customer_product"])
     out["rfm_scored"] = scores.add_scores(base.rfm)
+    out["rule_segment_counts"] = profile.value_counts(out["rfm_scored"], "Segment2")
     threshold = scores.vip_threshold(base.rfm)
     out["vip_summary"] = scores.vip_summary(base.rfm, threshold)
     out["vip_class_a"] = scores.vip_class_a_share(pairs, threshold)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import products, rfm as R, scores as S
+from ledgerlens.operators.facts import order_months
 
 
 def lines(spark, rows):
@@ -39,6 +40,14 @@ def test_snapshot_choices(spark):
     assert empty.columns == list(R.COLUMNS) and empty.count() == 0
 
 
+def test_rfm_of_orders_equals_rfm_of_lines(spark):
+    df = lines(spark, SAMPLE + [("1", "a", datetime(2011, 2, 3), 7.0)])  # invoice a has lines in two months
+    orders = order_months(df.withColumn("MonthStart", F.trunc("InvoiceDate", "month")))
+    for snapshot in (date(2011, 4, 1), "max", "max+1d"):
+        a, b = R.create_rfm(df.where("CustomerID is not null"), snapshot), R.rfm_of_orders(orders, snapshot)
+        assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 2
+
+
 def test_idle_customers(spark):
     base = spark.createDataFrame([("1",), ("9",), ("9",)], "CustomerID string")
     got = R.with_idle(R.create_rfm(lines(spark, SAMPLE), date(2011, 4, 1)), base, 6).toPandas().set_index("CustomerID")
