@@ -85,7 +85,7 @@ def apply_grades(
         graded = labelled.withColumn("Customer_Grade", F.get(options, F.col("Cluster")))
     else:
         # groups x k rows
-        table = kmeans._small_table(
+        table = kmeans.small_table(
             df,
             {
                 group: [c[0] for c in cells],

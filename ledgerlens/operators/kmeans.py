@@ -113,7 +113,7 @@ def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[
     Idle customers are all the same point; as one weighted row they cost nothing.
     """
     distinct = df.groupBy(group, *features).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    scale = _small_table(
+    scale = small_table(
         df,
         {
             group: list(stats),
@@ -129,7 +129,7 @@ def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[
     return stage(scaled)
 
 
-def _small_table(df: DataFrame, columns: dict) -> DataFrame:
+def small_table(df: DataFrame, columns: dict) -> DataFrame:
     """Driver values as a table; through Arrow, so that no Python task is needed."""
     return df.sparkSession.createDataFrame(pa.table(columns))
 
@@ -137,7 +137,7 @@ def _small_table(df: DataFrame, columns: dict) -> DataFrame:
 def _run_in_tasks(points, group, runs, seed, max_iter, tol, width) -> None:
     """Every restart on its own copy of its group's points, one task each."""
     axes = [f"_x{i}" for i in range(width)]
-    table = _small_table(points, {name: [run[key] for run in runs] for name, key in
+    table = small_table(points, {name: [run[key] for run in runs] for name, key in
                                   ((group, "group"), ("_run", "id"), ("_k", "k"), ("_init", "init"))})
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +161,7 @@ def _run_together(points, group, runs, sizes, seed, max_iter, tol, width) -> Non
     """All restarts in lockstep, one pass over the points per iteration."""
     axes = [f"_x{i}" for i in range(width)]
     scale = 1 << 20
-    limit = _small_table(
+    limit = small_table(
         points, {group: list(sizes), "_limit": [int(min(1.0, _SEED_ROWS / n) * scale) for n in sizes.values()]}
     )
     bucket = F.pmod(F.xxhash64(group, *axes), F.lit(scale))
@@ -228,7 +228,7 @@ def _advance(points: DataFrame, group: str, runs: list[dict], width: int, move:
     flat = {
         run["id"]: np.vstack([run["centers"], np.full((widest - run["k"], width), _FAR)]).ravel() for run in runs
     }
-    table = _small_table(
+    table = small_table(
         points,
         {
             group: [run["group"] for run in runs],
@@ -302,7 +302,7 @@ def assign(
         center = lambda j, i: F.lit(float(model.centers[j][i]))
     else:
         k = max(m.k for m in models)
-        table = _small_table(
+        table = small_table(
             df,
             {
                 group: [m.group for m in models],
