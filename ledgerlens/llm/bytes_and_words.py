@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,8 +87,8 @@ def words(data: np.ndarray, rows: np.ndarray) -> Words:
         begins[cuts] |= inside[cuts]
     start = np.flatnonzero(begins)
     kept = lowered[inside]
-    ordinal = np.cumsum(inside, dtype=np.int64)
-    offset = ordinal[start] - 1 if len(start) else start
+    ordinal = np.cumsum(inside, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    offset = ordinal[start].astype(np.int64) - 1
     length = np.diff(np.append(offset, len(kept)))
     return Words(start, start + length, _hashes(kept, offset, length), np.searchsorted(start, rows))
 

@@ -18,6 +18,7 @@ string; rows with the same id stay separate rows; items with the same id are one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,18 @@ from ledgerlens.llm.bytes_and_words import pieces, ranges, text_hashes, utf8, wo
 from ledgerlens.session import stage
 
 BLOCK_WINDOWS = 100_000  # windows sent to all shards at once (80 bytes each, and an id)
-CANDIDATES = 1_000_000  # places held at once while lists are intersected
+SHARD_BYTES = 300_000  # of text, so that a shard's row stays below a megabyte
+CANDIDATES = 200_000  # places held at once while lists are intersected
 SHARD_SCHEMA = "shard string, ids array<{id}>, n_words array<int>, terms binary, counts binary, places binary"
 
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Staged table with one row per shard of about 4 MB of text."""
+    """Staged table with one row per shard of about SHARD_BYTES of text."""
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, piece in enumerate(pieces(batches, "text")):
+        for number, piece in enumerate(pieces(batches, "text", SHARD_BYTES)):
             found = words(*utf8(piece.column(1)))
             order = np.argsort(found.hash, kind="stable")
             terms, counts = np.unique(found.hash, return_counts=True)
@@ -74,17 +76,23 @@ def item_windows(items: DataFrame, width: int, id: str, text: str) -> DataFrame:
     return rows.mapInArrow(cut, "item_id string, window binary").distinct()
 
 
-class Queries:
+class Queries(NamedTuple):
     """Windows of one block, ready to be intersected with any shard."""
 
-    def __init__(self, rows: list, width: int):
-        self.items = [r.item_id for r in rows]
-        self.length = np.array([len(r.window) // 8 for r in rows])
-        padded = np.zeros((len(rows), width), np.uint64)
-        self.used = np.arange(width) < self.length[:, None]
-        padded[self.used] = np.frombuffer(b"".join(r.window for r in rows), np.uint64)
-        self.terms, term = np.unique(padded, return_inverse=True)
-        self.term = term.reshape(padded.shape)
+    items: list[str]
+    length: np.ndarray  # words of each window
+    terms: np.ndarray  # distinct terms of all windows
+    term: np.ndarray  # term of each word of each window, as an index
+    used: np.ndarray  # whether a window has that word
+
+
+def as_queries(rows: list, width: int) -> Queries:
+    length = np.array([len(r.window) // 8 for r in rows])
+    padded = np.zeros((len(rows), width), np.uint64)
+    used = np.arange(width) < length[:, None]
+    padded[used] = np.frombuffer(b"".join(r.window for r in rows), np.uint64)
+    terms, term = np.unique(padded, return_inverse=True)
+    return Queries([r.item_id for r in rows], length, terms, term.reshape(padded.shape), used)
 
 
 def intersect(q: Queries, terms, counts, places, first, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +166,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, i
     out = None
     for block in range(blocks):
         # Bounded: about BLOCK_WINDOWS rows.
-        queries = spark.sparkContext.broadcast(Queries(windows.where(F.col("block") == block).collect(), width))
+        queries = spark.sparkContext.broadcast(tuple(as_queries(windows.where(F.col("block") == block).collect(), width)))
         matches = index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(_searcher(queries, slop), schema)
         out = matches if out is None else out.union(matches)
     return out if out is not None else spark.createDataFrame([], schema)
@@ -166,7 +174,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, i
 
 def _searcher(queries, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = queries.value
+        q = Queries(*queries.value)
         for batch in batches:
             for r in range(len(batch)):
                 shard, n_words = batch.column(0)[r].as_py(), batch.column(1)[r].values.to_numpy()

@@ -140,12 +140,12 @@ def count_tokens(texts: list[str], m: Merges, split, special) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, merges: Merges, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_tokens. No shuffle; distinct pre-tokens are merged once per 4 MB."""
+    """One row per document: id, n_bytes, n_tokens. No shuffle; distinct pre-tokens are merged once per piece."""
     kind = docs.schema[id].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(merges)  # fixed by the vocabulary file, about 2 MB
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(merges))  # fixed by the vocabulary file, about 2 MB
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = Merges(*shared.value)
         split = regex.compile(m.pattern).findall
         special = regex.compile("|".join(map(regex.escape, m.special))) if m.special else None
         for piece in pieces(batches, "text"):
