@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import decontaminate, fingerprints, packing, token_counts, url_filter
+from ledgerlens.llm import decontaminate, fingerprints, language, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,11 +35,37 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit(table(spark, folder, "documents"), F.octet_length("text"))
 
 
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return quality.classify(docs, quality.labelled_good(labels))
+
+
+@query
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.where(~quality.is_held_out(F.col("doc_id"))))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        quality.is_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op4_merkle_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, folder, "documents"))
 
 
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(~quality.is_held_out(F.col("doc_id"))))
+    held_out = quality.is_held_out(F.col("doc_id")).alias("held_out")
+    return language.identify(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
@@ -49,6 +75,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+@query
+def op7_near_dups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -63,6 +94,11 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, folder, "documents"))
+
+
 @query
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"), RULES)
