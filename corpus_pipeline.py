@@ -1,21 +1,75 @@
-"""Cleaning of a training corpus in stages; `run` applies them to `documents`."""
+"""Cleaning of a training corpus in five stages; `run` applies them to `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns documents with their columns, the last one the pieces of
+the packed sequences. Documents meet decisions about them by id and the digest of their text, so rows that
+share an id are told apart. Extra columns travel along; rows with null ids or texts are treated as the
+operators' docstrings say.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import packing
+from ledgerlens.llm import decontaminate, near_dups, packing, quality, suffix_dedup
 from ledgerlens.session import stage
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _key() -> Column:
+    return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
+
+
+def _matching(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with `wanted` (__id, __text, ...) by id and text."""
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+    return docs.withColumn("__key", _key()).join(wanted, same, how)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under a model of trusted text is not above their language's threshold."""
+    trusted = quality.labelled_good(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = quality.classify(docs, trusted).where("keep").select(F.col("doc_id").alias("__id"), F.col("key").alias("__text")).distinct()
+    return _matching(docs, kept, "left_semi").select(docs.columns)
+
+
+def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the lowest id."""
+    found = near_dups.classes(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    # Rows that repeat id and text are counted, so that only they need to be told apart afterwards.
+    texts = found.groupBy("class_key", "key").agg(F.first("doc_id").alias("id"), F.count("*").alias("n"))
+    first = texts.groupBy("class_key").agg(F.min_by(F.struct("id", "key", "n"), "key").alias("one"))
+    first = first.select(F.col("one.id").alias("__id"), F.col("one.key").alias("__text"), F.col("one.n").alias("__n"))
+    rows = _matching(docs, first, "inner")
+    repeated = rows.where("__n > 1").dropDuplicates(["__key"])
+    return rows.where("__n = 1").unionByName(repeated).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings of 400 that the corpus holds more than once."""
+    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    rows = docs.select(F.struct("doc_id", _key().alias("key")).alias("row"), "text")
+    found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0, id="row").where("n_hit > 0")
+    found = found.select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__text")).distinct()
+    return _matching(docs, found, "left_anti").select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place in sequences of 512 to 8192 bytes."""
     return packing.best_fit(docs, F.octet_length("text"))
 
 
 STAGES = [
-    ("pack", pack),
+    ("quality", keep_quality),
+    ("near_dups", one_per_class),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack_sequences),
 ]
 
+# The first two stages rest on a trained model and on signatures; tests/llm holds a brute-force version.
 ORACLE_SQL = None
 
 

@@ -66,7 +66,7 @@ def codes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return code
 
 
-BLOCKS = "shard int, kind int, ids array<{id}>, langs array<string>, lengths array<int>, data binary, more binary"
+BLOCKS = "shard int, kind int, ids array<{id}>, langs array<string>, lengths array<int>, keys array<binary>, data binary, more binary"
 
 
 def _blocks(shards: int, kind: pa.DataType):
@@ -76,13 +76,13 @@ def _blocks(shards: int, kind: pa.DataType):
         table, squeeze = symbol_table(), zstandard.ZstdCompressor(level=3)
         for piece in pieces(batches, "text", 16_000_000):
             data, rows = utf8(piece.column(1))
-            symbols, shard = table[data], piece.column(3).to_numpy()
+            symbols, shard, keys = table[data], piece.column(3).to_numpy(), piece.column(4)
             out = []
             for s in np.unique(shard).tolist():
                 own = np.flatnonzero(shard == s)
                 body = b"".join(symbols[rows[r] : rows[r + 1]].tobytes() for r in own.tolist())
                 pick = pa.array(own)
-                out.append((s, piece.column(0).take(pick), piece.column(2).take(pick), np.diff(rows)[own].astype(np.int32), squeeze.compress(body)))
+                out.append((s, piece.column(0).take(pick), piece.column(2).take(pick), np.diff(rows)[own].astype(np.int32), keys.take(pick), squeeze.compress(body)))
             one = pa.array(np.cumsum([0] + [len(x[1]) for x in out]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -91,10 +91,11 @@ def _blocks(shards: int, kind: pa.DataType):
                     pa.ListArray.from_arrays(one, pa.concat_arrays([x[1] for x in out])),
                     pa.ListArray.from_arrays(one, pa.concat_arrays([x[2] for x in out])),
                     pa.ListArray.from_arrays(one, pa.array(np.concatenate([x[3] for x in out]))),
-                    pa.array([x[4] for x in out], pa.binary()),
+                    pa.ListArray.from_arrays(one, pa.concat_arrays([x[4] for x in out])),
+                    pa.array([x[5] for x in out], pa.binary()),
                     pa.nulls(len(out), pa.binary()),
                 ],
-                ["shard", "kind", "ids", "langs", "lengths", "data", "more"],
+                ["shard", "kind", "ids", "langs", "lengths", "keys", "data", "more"],
             )
 
     return run
@@ -109,7 +110,7 @@ def _stream(batches, first: int):
 
 def _symbols(row) -> tuple[np.ndarray, np.ndarray]:
     lengths = row[2].values.to_numpy()
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row[3].as_py(), max_output_size=int(lengths.sum()) + 1), np.uint8), lengths
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row[4].as_py(), max_output_size=int(lengths.sum()) + 1), np.uint8), lengths
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +204,7 @@ def _scored(kind: pa.DataType):
             if shard != now:
                 now, pages, values, used = shard, np.zeros((1 << BITS * ORDER) // PAGE, np.int32), np.zeros((1024, PAGE), np.float32), 1
             if table == 0:
-                code, value = np.frombuffer(row[3].as_py(), np.int32), np.frombuffer(row[4].as_py(), np.float32)
+                code, value = np.frombuffer(row[4].as_py(), np.int32), np.frombuffer(row[5].as_py(), np.float32)
                 page = code // PAGE
                 new = np.unique(page[pages[page] == 0])
                 if used + len(new) > len(values):
@@ -220,18 +221,19 @@ def _scored(kind: pa.DataType):
             yield pa.RecordBatch.from_arrays(
                 [
                     row[0].values.cast(kind),
+                    row[3].values,
                     row[1].values,
                     pa.array(lengths.astype(np.int64)),
                     pa.array(np.exp(mean), mask=lengths == 0),
                 ],
-                ["id", "lang", "n_symbols", "perplexity"],
+                ["id", "key", "lang", "n_symbols", "perplexity"],
             )
 
     return run
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Staged (id, lang, n_symbols, perplexity), one row per document. `trusted` has the ids of trusted documents."""
+    """Staged (id, key, lang, n_symbols, perplexity), one row per document; key is half of the text's SHA-256. `trusted` has the ids of trusted documents."""
     spark = docs.sparkSession
     id_type = docs.schema[id].dataType
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -240,17 +242,18 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text:
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
+    key = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("key")
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     schema = BLOCKS.format(id=id_type.simpleString())
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(id_type)
-    blocks = rows.select("id", "text", "lang", shard).mapInArrow(_blocks(shards, kind), schema)
+    blocks = rows.select("id", "text", "lang", shard, key).mapInArrow(_blocks(shards, kind), schema)
     ids = trusted.select(F.col(id).cast(id_type).alias("id")).where("id is not null").distinct().select("id", shard)
     # Some hundred rows of ids for each shard; a shard that is large gets more of them, not larger ones.
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(256))
     ids = ids.groupBy("shard", part.alias("part")).agg(F.collect_list("id").alias("ids"))
-    none = {n: F.lit(None) for n in ("ids", "langs", "lengths", "data", "more")}
+    none = {n: F.lit(None) for n in ("ids", "langs", "lengths", "keys", "data", "more")}
     as_block = lambda df: df.select("shard", F.lit(0).alias("kind"), *(
         (F.col(n) if n in df.columns else none[n]).cast(blocks.schema[n].dataType).alias(n) for n in none
     ))
@@ -258,14 +261,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text:
     counted = stage(met(ids).mapInArrow(_counted, "shard int, code int, n long"))
     values = counted.select("shard", "code").join(probabilities(counted), "code").select("shard", "code", F.log("p").alias("value"))
     tables = values.mapInArrow(_tables, "shard int, data binary, more binary")
-    out = met(tables).mapInArrow(_scored(kind), f"id {id_type.simpleString()}, lang string, n_symbols long, perplexity double")
+    out = met(tables).mapInArrow(_scored(kind), f"id {id_type.simpleString()}, key binary, lang string, n_symbols long, perplexity double")
     return stage(out)
 
 
 def classify(
     docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """One row per document: id, lang, n_symbols, perplexity, threshold, keep."""
+    """One row per document: id, key (half of the text's SHA-256), lang, n_symbols, perplexity, threshold, keep."""
     unseen = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(5)) == 0
     scored = perplexities(docs, trusted.where(~unseen), id, text, lang)
     known = trusted.where(unseen).select(F.col(id).cast(scored.schema["id"].dataType).alias("id")).distinct()
@@ -277,7 +280,7 @@ def classify(
     out = scored.join(by_lang, "lang", "left").join(F.broadcast(overall))
     threshold = F.coalesce("own", "overall")
     return out.select(
-        F.col("id").alias(id), "lang", "n_symbols", "perplexity", threshold.alias("threshold"),
+        F.col("id").alias(id), "key", "lang", "n_symbols", "perplexity", threshold.alias("threshold"),
         (F.col("perplexity").isNotNull() & (F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))))).alias("keep"),
     )
 

@@ -38,7 +38,7 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    return quality.classify(docs, quality.labelled_good(labels))
+    return quality.classify(docs, quality.labelled_good(labels)).drop("key")
 
 
 @query

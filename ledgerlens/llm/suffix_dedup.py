@@ -185,7 +185,7 @@ def _resolved(held: dict, length: int) -> pa.RecordBatch:
         times = [sum(len(s) for _, s in o) for o in owners.values()]
         for body, o, n in zip(owners, owners.values(), times):
             if n > 1:
-                marks += [(key, s, s + len(body) - length + 1, None, n) for key, starts in o for s in starts]
+                marks += [(key, low, high, None, n) for key, starts in o for low, high in _joined(starts, len(body) - length + 1)]
         if len(owners) > 1 or parts > 1:
             strings.append(len(owners))
             bodies += owners.items()
@@ -204,6 +204,19 @@ def _resolved(held: dict, length: int) -> pa.RecordBatch:
     )
 
 
+def _joined(starts: list[int], count: int) -> Iterator[tuple[int, int]]:
+    """Ranges of `count` windows from each start, those that touch as one."""
+    low = high = None
+    for s in sorted(starts):
+        if high is None or s > high:
+            if high is not None:
+                yield low, high
+            low = s
+        high = s + count
+    if high is not None:
+        yield low, high
+
+
 def _compared(strings: list[int], bodies: list, dealt: np.ndarray, copies: np.ndarray, length: int) -> list[tuple]:
     """`strings`: how many of the bodies make up each string."""
     data = np.frombuffer(b"".join(b for b, _ in bodies), np.uint8)
@@ -265,9 +278,9 @@ def _kept(length: int):
                 n_removed.append(int(gone.sum()))
                 n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                kept.append(rest.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())],
+                [keys, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
                 ["key", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
@@ -304,25 +317,32 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     windows = windows.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
     single = chosen.where("copies = 1").select("key", "text").join(windows, "key")
     kept = single.select("key", "text", "low", "high").mapInArrow(
-        _kept(length), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        _kept(length), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
     return kept, texts.where("copies > 1").select("key", "copies")
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and with `keep` kept (null: all)."""
+def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
     kept, copied = repeated_strings(docs, length, gram, id, text)
-    if not keep:
-        kept = kept.drop("kept")
     rows = identified(docs, id, text).select("id", "key", "sha", "n_bytes")
-    rows = rows.join(kept, "key", "left").join(copied, "key", "left")
+    rows = rows.join(kept.drop("kept"), "key", "left").join(copied, "key", "left")
     gone = F.col("copies").isNotNull()
-    out = rows.select(
+    return rows.select(
         F.col("id").alias(id),
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *([F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep else []),
     )
-    return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with its columns, the repeated bytes taken out of the text. A null text stays null."""
+    kept, copied = repeated_strings(docs, length, gram, id, text)
+    key = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+    found = kept.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
+    many = copied.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
+    rows = docs.withColumn("__key", key).join(found, "__key", "left").join(many, "__key", "left")
+    body = F.when(F.col("__copies").isNotNull(), "").otherwise(F.coalesce(F.col("__kept"), F.col(text)))
+    return rows.withColumn(text, body).select(docs.columns)
