@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.bytes_and_words import hashed_range, mix, pieces, ranges, utf8, words
 from ledgerlens.llm.components import components
+from ledgerlens.llm.copies import first_copies, join_by_text
 from ledgerlens.session import stage
 
 RUN = 5
@@ -199,7 +200,7 @@ def classes(
     members = stage(met.join(shared, "bucket").groupBy("bucket", "key", "node").agg(F.max("size").alias("size")))
     company = members.groupBy("key").agg(F.sum("size").alias("company"))
     # Only texts that met another one travel, each once.
-    chosen = stage(rows.withColumnRenamed("id", "one").join(company.join(texts, "key"), ["key", "one"]).select("key", "text").distinct())
+    chosen = stage(first_copies(rows, company.join(texts, "key")).select("key", "text").distinct())
     members = stage(members.drop("size").join(company, "key"))
     links = None
     labels = company.select("key", F.col("key").alias("label"))
@@ -241,6 +242,6 @@ def classes(
         ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key")))
         degrees = ends.groupBy("key").agg(F.count("*").alias("n_links"))
     classed = classed.join(lowest, "class_key").join(degrees, "key", "left")
-    return rows.select("id", "key").join(classed.select("key", "class_key", "class_id", "n_links"), "key").select(
-        F.col("id").alias(id), "key", "class_id", "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    classed = classed.select("key", "one", "copies", "class_key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = join_by_text(rows.select("id", "key"), classed)
+    return out.select(F.col("id").alias(id), "key", "class_id", "class_key", "n_links")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.bytes_and_words import hashed_range, mix, pieces, ranges, utf8
+from ledgerlens.llm.copies import first_copies, join_by_text
 from ledgerlens.llm.suffix_array import equal_neighbours, suffix_arrays
 from ledgerlens.session import stage
 
@@ -280,30 +281,31 @@ def _kept(length: int):
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
-                ["key", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [keys, piece.column(4), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())],
+                ["key", "one", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return run
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per text that occurs once and loses bytes (key, n_removed, n_spans, kept_sha256, kept), and the texts
-    that occur several times (key, copies)."""
+def repeated_strings(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, one, copies, n_removed, n_spans, kept_sha256, kept) of every text that loses bytes; one is its
+    lowest id. Texts that occur several times lose all."""
     if not length > gram >= 8:
         raise ValueError("a window must be longer than the string it chooses")
     rows = identified(docs, id, text).where(F.col("n_bytes") >= length)
     # min(id) spreads the copies of a text over the partitions of the join below: only one meets its id.
-    texts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"))
+    texts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.max("n_bytes").alias("n_bytes"))
     strings = stage(rows.select("key", "text").mapInArrow(_chosen_strings(length, gram), "key binary, mh long, n long"))
     owner = F.xxhash64("key")
     met = strings.groupBy("mh").agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"))
     met = met.where("a != b or n > 1").select("mh", F.ceil(F.col("all") / PER_ARRAY).cast("int").alias("parts"))
     wanted = strings.join(met, "mh").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("mh", "parts"))).alias("wanted"))
-    wanted = wanted.join(texts, "key")
+    wanted = wanted.join(texts.drop("n_bytes"), "key")
     chosen = stage(
-        rows.withColumnRenamed("id", "one").join(wanted, ["key", "one"])
-        .select("key", "text", F.map_keys("wanted").alias("mhs"), F.map_values("wanted").alias("parts"), "copies")
+        first_copies(rows, wanted).select("key", "text", F.map_keys("wanted").alias("mhs"), F.map_values("wanted").alias("parts"), "copies", "one")
     )
     cut = chosen.select("key", "text", "mhs", "parts").mapInArrow(
         _cut(length, gram), "mh long, part int, parts int, key binary, starts array<int>, bytes binary"
@@ -315,34 +317,41 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     far = across.where("n = 1").join(again, "digest", "left_semi")
     windows = met.where("digest is null").select("key", "low", "high").unionByName(far.select("key", "low", "high"))
     windows = windows.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    single = chosen.where("copies = 1").select("key", "text").join(windows, "key")
-    kept = single.select("key", "text", "low", "high").mapInArrow(
-        _kept(length), "key binary, n_removed long, n_spans long, kept_sha256 string, kept string"
+    single = chosen.where("copies = 1").select("key", "text", "one").join(windows, "key")
+    id_type = rows.schema["id"].dataType.simpleString()
+    kept = single.select("key", "text", "low", "high", "one").mapInArrow(
+        _kept(length), f"key binary, one {id_type}, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
-    return kept, texts.where("copies > 1").select("key", "copies")
+    kept = kept.withColumn("copies", F.lit(1).cast("long"))
+    gone = texts.where("copies > 1").select(
+        "key", "one", "copies", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
+        F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept"),
+    )
+    return kept.unionByName(gone)
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
-    kept, copied = repeated_strings(docs, length, gram, id, text)
-    rows = identified(docs, id, text).select("id", "key", "sha", "n_bytes")
-    rows = rows.join(kept.drop("kept"), "key", "left").join(copied, "key", "left")
-    gone = F.col("copies").isNotNull()
+    found = repeated_strings(docs, length, gram, id, text).drop("kept")
+    rows = join_by_text(identified(docs, id, text).select("id", "key", "sha", "n_bytes"), found)
+    none = F.lit(0).cast("long")
     return rows.select(
         F.col("id").alias(id),
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.coalesce("n_removed", none).alias("n_removed"),
+        F.coalesce("n_spans", none).alias("n_spans"),
+        F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
     )
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with its columns, the repeated bytes taken out of the text. A null text stays null."""
-    kept, copied = repeated_strings(docs, length, gram, id, text)
+    found = repeated_strings(docs, length, gram, id, text).select("key", "one", "copies", "kept")
     key = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
-    found = kept.select(F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    many = copied.select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    rows = docs.withColumn("__key", key).join(found, "__key", "left").join(many, "__key", "left")
-    body = F.when(F.col("__copies").isNotNull(), "").otherwise(F.coalesce(F.col("__kept"), F.col(text)))
-    return rows.withColumn(text, body).select(docs.columns)
+    # The document's own columns travel as one, so that their names are free.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), key.alias("key"))
+    # Texts travel once: documents that lose nothing drop out before.
+    losing = join_by_text(rows.select("id", "key"), found).where(F.col("kept").isNotNull()).distinct()
+    losing = losing.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "kept")
+    out = rows.join(losing, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    return out.select(*(F.coalesce("kept", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))
