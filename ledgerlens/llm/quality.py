@@ -38,6 +38,7 @@ CAPITAL, SPACE, PUNCTUATION, DIGIT, SIGN, OTHER = range(26, 32)
 QUANTILE = 0.999
 SHARD_BYTES = 64_000_000
 PAGE = 1024
+BROADCAST_LANGUAGES = 10_000  # with more of them their thresholds are joined by shuffle
 
 
 def symbol_table() -> np.ndarray:
@@ -275,7 +276,9 @@ def classify(
     good = scored.where("perplexity is not null").join(known, "id", "left_semi")
     middle, cut = (F.percentile_approx("perplexity", q, 20_000) for q in (0.5, quantile))
     cut = middle + (cut - middle) * (1 + 2 / F.sqrt(F.count("*")))
-    by_lang = good.groupBy("lang").agg(cut.alias("own"))
+    by_lang = stage(good.groupBy("lang").agg(cut.alias("own")))
+    if by_lang.count() <= BROADCAST_LANGUAGES:
+        by_lang = F.broadcast(by_lang)
     overall = good.agg(cut.alias("overall"))
     out = scored.join(by_lang, "lang", "left").join(F.broadcast(overall))
     threshold = F.coalesce("own", "overall")

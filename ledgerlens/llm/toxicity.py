@@ -27,11 +27,14 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.llm.bytes_and_words import hashed_range, lower_table, mix, pieces, ranges, utf8, words
 
 TABLE = 1 << 16
-DIM = 12
-WINDOW = 48
-STEP = 24
+DIM = 8
+WINDOW = 16
+STEP = 8
 PER_CLASS = 2_500
-EPOCHS = 4
+EPOCHS = 3
+BATCH = 128
+RATE = 0.5
+LEAST_TEXTS = 4  # training texts that must share a subword before it is learned
 RUNS = (3, 4, 5)
 
 
@@ -67,25 +70,29 @@ def distinct_words(data: np.ndarray, rows: np.ndarray):
     return row, count, which, found.first
 
 
-def window_bounds(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def window_bounds(first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first word and end of each window; the last window of a text ends with it."""
     count = np.diff(first)
-    number = np.maximum(-(-(count - WINDOW) // STEP), 0) + 1
+    number = np.maximum(-(-(count - WINDOW) // step), 0) + 1
     text = np.repeat(np.arange(len(count)), number)
     k = np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)
-    low = np.minimum(k * STEP, np.maximum(count[text] - WINDOW, 0))
+    low = np.minimum(k * step, np.maximum(count[text] - WINDOW, 0))
     return text, first[text] + low, first[text] + np.minimum(low + WINDOW, count[text])
 
 
 def worst_window(value: np.ndarray, which: np.ndarray, first: np.ndarray, bias: float) -> np.ndarray:
     """The highest mean of word values over the windows of each text, plus the bias."""
-    sums = np.concatenate([[0.0], np.cumsum(value[which])]) if len(which) else np.zeros(1)
-    text, low, high = window_bounds(first)
-    mean = (sums[high] - sums[low]) / np.maximum(high - low, 1)
+    text, low, high = window_bounds(first, STEP)
+    mean = _window_means(value, which, low, high)
     starts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
     return np.maximum.reduceat(mean, starts) + bias if len(text) else np.zeros(0)
 
 
+def _window_means(value: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(value[which])]) if len(which) else np.zeros(1)
+    return (sums[high] - sums[low]) / np.maximum(high - low, 1)
+
+
 def word_values(scores: np.ndarray, row: np.ndarray, count: np.ndarray) -> np.ndarray:
     if not len(count):
         return np.zeros(0)
@@ -97,36 +104,76 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], toxic: np.ndarray, rate: float, seed: int = 7) -> dict:
-    """Embeddings and softmax by Adagrad over windows, then the calibration of whole texts."""
+    """Embeddings and softmax over windows, then the calibration of whole texts.
+
+    A toxic text may be toxic in few places, so training runs twice: first every window has its text's label,
+    then of the windows of a toxic text only the worst stay (those that score above most clean ones, or the
+    single worst). A fifth of the texts is left out and calibrates.
+    """
     random = np.random.default_rng(seed)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     rows = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts], dtype=np.int64)])
-    row, count, which, first = distinct_words(data, rows)
+    bag = distinct_words(data, rows)
+    row, count, which, first = bag
+    left_out = random.random(len(texts)) < 0.2
+    if any(len(np.unique(toxic[left_out == side])) < 2 for side in (True, False)) or len(texts) < 50:
+        left_out[:] = False
+    text, low, high = window_bounds(first, WINDOW)
+    chosen = np.flatnonzero((high > low) & ~left_out[text])
+    if not len(chosen):
+        return untrained(rate)
+    # What few texts hold can only be learned by heart.
+    begin = np.cumsum(count) - count
+    learned = np.flatnonzero(~left_out[np.repeat(np.arange(len(texts)), np.diff(first))])
+    owner = np.repeat(np.arange(len(texts)), np.diff(first))[learned]
+    held = np.unique(np.repeat(owner, count[which[learned]]) * TABLE + row[ranges(begin[which[learned]], count[which[learned]])])
+    known = np.bincount(held % TABLE, minlength=TABLE) >= LEAST_TEXTS
+    scores, bias = _fitted(bag, text, low, high, chosen, toxic, known, random)
+    mean = _window_means(word_values(scores, row, count), which, low, high)
+    usual = np.quantile(mean[chosen][toxic[text[chosen]] == 0], 0.99)
+    worst = np.full(len(texts), -np.inf)
+    np.maximum.at(worst, text[chosen], mean[chosen])
+    clear = (mean > usual) | (mean >= worst[text])
+    chosen = chosen[(toxic[text[chosen]] == 0) | clear[chosen]]
+    scores, bias = _fitted(bag, text, low, high, chosen, toxic, known, random)
+    raw = worst_window(word_values(scores, row, count), which, first, bias)
+    calibrates = left_out if left_out.any() else ~left_out
+    share = np.where(toxic == 1, rate / (toxic[calibrates] == 1).sum(), (1 - rate) / (toxic[calibrates] == 0).sum()) * calibrates.sum()
+    slope, shift = calibration(raw[calibrates], toxic[calibrates], share[calibrates])
+    return {"scores": scores, "bias": bias, "slope": slope, "shift": shift, "rate": rate}
+
+
+def untrained(rate: float) -> dict:
+    return {"scores": np.zeros(TABLE, np.float32), "bias": 0.0, "slope": 0.0, "shift": None, "rate": rate}
+
+
+def _fitted(bag, text, low, high, chosen, toxic, known, random) -> tuple[np.ndarray, float]:
+    """Adagrad over the chosen windows; both classes weigh the same, and so do the texts of a class."""
+    row, count, which, _ = bag
     begin = np.cumsum(count) - count
-    text, low, high = window_bounds(first)
-    filled = np.flatnonzero(high > low)
-    # Both classes weigh the same, and every text as much as any other of its class.
-    per_text = np.bincount(text[filled], minlength=len(texts))
-    share = np.where(toxic == 1, 0.5 / max((toxic == 1).sum(), 1), 0.5 / max((toxic == 0).sum(), 1)) * len(texts)
-    weight = share[text] / np.maximum(per_text[text], 1) * len(filled) / len(texts)
+    n_texts = len(toxic)
+    per_text = np.bincount(text[chosen], minlength=n_texts)
+    used = per_text > 0
+    of_class = np.array([max(((toxic == y) & used).sum(), 1) for y in (0, 1)])
+    weight = (0.5 / of_class[toxic] / np.maximum(per_text, 1))[text] * len(chosen)
     table = random.uniform(-1, 1, (TABLE, DIM)).astype(np.float32) / DIM
+    table[~known] = 0
     softmax = np.zeros((DIM, 2), np.float32)
+    softmax[:, 1] = random.normal(0, 0.3, DIM)
+    softmax[:, 0] = -softmax[:, 1]
     bias = np.zeros(2, np.float32)
     seen = np.full(TABLE, 1e-6, np.float32)
     seen_softmax = np.full((DIM, 2), 1e-6, np.float32)
-    softmax[:, 1] = random.normal(0, 0.1, DIM)
-    softmax[:, 0] = -softmax[:, 1]
-    for epoch in range(EPOCHS):
-        order = random.permutation(filled)
-        for a in range(0, len(order), 256):
-            batch = order[a : a + 256]
+    for _ in range(EPOCHS):
+        order = random.permutation(chosen)
+        for a in range(0, len(order), BATCH):
+            batch = order[a : a + BATCH]
             n = high[batch] - low[batch]
-            used, at = np.unique(which[ranges(low[batch], n)], return_inverse=True)
+            words_, at = np.unique(which[ranges(low[batch], n)], return_inverse=True)
             owner = np.repeat(np.arange(len(batch)), n)
-            subs = row[ranges(begin[used], count[used])]
-            vectors = np.add.reduceat(table[subs], np.cumsum(count[used]) - count[used]) / count[used][:, None]
-            starts = np.cumsum(n) - n
-            hidden = np.add.reduceat(vectors[at], starts) / n[:, None]
+            subs = row[ranges(begin[words_], count[words_])]
+            vectors = np.add.reduceat(table[subs], np.cumsum(count[words_]) - count[words_]) / count[words_][:, None]
+            hidden = np.add.reduceat(vectors[at], np.cumsum(n) - n) / n[:, None]
             logits = hidden @ softmax + bias
             odds = np.exp(logits - logits.max(axis=1, keepdims=True))
             error = odds / odds.sum(axis=1, keepdims=True)
@@ -134,24 +181,21 @@ def train(texts: list[str], toxic: np.ndarray, rate: float, seed: int = 7) -> di
             error *= weight[batch][:, None]
             to_softmax = hidden.T @ error / len(batch)
             to_hidden = (error @ softmax.T) / n[:, None]
-            to_word = np.zeros_like(vectors)
-            for k in range(DIM):
-                to_word[:, k] = np.bincount(at, weights=to_hidden[owner, k], minlength=len(used))
-            to_word /= count[used][:, None]
+            to_word = np.stack([np.bincount(at, weights=to_hidden[owner, k], minlength=len(words_)) for k in range(DIM)], axis=1)
+            to_word /= count[words_][:, None]
             places, where = np.unique(subs, return_inverse=True)
-            word_of = np.repeat(np.arange(len(used)), count[used])
+            word_of = np.repeat(np.arange(len(words_)), count[words_])
             step = np.stack([np.bincount(where, weights=to_word[word_of, k], minlength=len(places)) for k in range(DIM)], axis=1)
+            step[~known[places]] = 0
             seen[places] += (step**2).mean(axis=1)
-            table[places] -= (0.5 * step / np.sqrt(seen[places])[:, None]).astype(np.float32)
+            table[places] -= (RATE * step / np.sqrt(seen[places])[:, None]).astype(np.float32)
             seen_softmax += to_softmax**2
             softmax -= 0.1 * to_softmax / np.sqrt(seen_softmax)
             bias -= (0.05 * error.mean(axis=0)).astype(np.float32)
     scores = (table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32)
-    offset = float(bias[1] - bias[0])
-    raw = worst_window(word_values(scores, row, count), which, first, offset)
-    share = np.where(toxic == 1, rate / max((toxic == 1).sum(), 1), (1 - rate) / max((toxic == 0).sum(), 1)) * len(texts)
-    slope, shift = calibration(raw, toxic, share)
-    return {"scores": scores, "bias": offset, "slope": slope, "shift": shift, "rate": rate}
+    # A subword that training never met leans to neither side.
+    scores[seen <= 1e-6] = 0
+    return scores, float(bias[1] - bias[0])
 
 
 def calibration(raw: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -177,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id: str
     total = sum(counts.values())
     rate = counts.get(1, 0) / total if total else 0.0
     if len(counts) < 2:
-        return {"scores": np.zeros(TABLE, np.float32), "bias": 0.0, "slope": 0.0, "shift": None, "rate": rate}
+        return untrained(rate)
     # At most 2 * per_class ids.
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -191,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id: str
             table = table.take(order)
             y = table.column("y").to_numpy().astype(np.int64)
         if len(np.unique(y)) < 2:
-            model = {"scores": np.zeros(TABLE, np.float32), "bias": 0.0, "slope": 0.0, "shift": None, "rate": rate}
+            model = untrained(rate)
         else:
             model = train([t or "" for t in table.column("text").to_pylist()], y, rate)
         rest = json.dumps({k: v for k, v in model.items() if k != "scores"})
