@@ -477,7 +477,7 @@ add(
     "cp tiers",
     f"""SELECT Segment, ABC_Class, round(Revenue, 6) AS Revenue, round(TotalRevenue, 6) AS TotalRevenue, round(Revenue / TotalRevenue, 6) AS Ratio
     FROM (SELECT Segment, ABC_Class, {total('cp.Revenue')} AS Revenue, sum({total('cp.Revenue')}) OVER (PARTITION BY Segment) AS TotalRevenue
-    FROM cp JOIN tiers USING (CustomerID) GROUP BY 1, 2)""",
+    FROM cp JOIN tiers USING (CustomerID) GROUP BY 1, 2) WHERE ABC_Class IS NOT NULL""",
 )
 _BY_CLASS = ", ".join(
     f"coalesce(CAST(sum(CASE WHEN ABC_Class = '{c}' THEN CAST(Revenue AS DECIMAL(18,4)) END) AS DOUBLE), 0.0e0) AS r{c}" for c in "ABC"

@@ -25,6 +25,7 @@ FEATURES = ("Recency", "Frequency", "Monetary")
 
 @dataclass(frozen=True)
 class RetailConfig:
+    # Defaults that the results depend on.
     country: str = "United Kingdom"
     start: date = date(2010, 1, 1)
     end: date = date(2012, 1, 1)
@@ -64,5 +65,12 @@ class RetailConfig:
             "start", "end", "static_start", "static_end", "panel_first",
             "panel_last", "model_first", "model_last", "train_end",
         )
-        moved = {n: getattr(self, n).replace(year=getattr(self, n).year + years) for n in names}
-        return replace(self, **moved)
+        return replace(self, **{n: _years_on(getattr(self, n), years) for n in names})
+
+
+def _years_on(day: date, years: int) -> date:
+    """The same day of another year; 29 February becomes the 28th where there is none."""
+    try:
+        return day.replace(year=day.year + years)
+    except ValueError:
+        return day.replace(year=day.year + years, day=28)

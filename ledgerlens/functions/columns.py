@@ -9,8 +9,8 @@ from pyspark.sql import Column, functions as F
 
 from ledgerlens.config import GRADE_NAMES, NO_ACTIVITY
 
-# Scale of exact money sums; one line keeps 14 digits before the point.
-MONEY = "decimal(18,4)"
+# Exact money sums: 30 digits before the point, so neither lines nor totals of totals overflow.
+MONEY = "decimal(38,8)"
 
 
 def instant(value: date | datetime) -> Column:
@@ -44,15 +44,14 @@ def as_text(name: str) -> Column:
 
 
 def as_id(name: str) -> Column:
-    """17850.0 -> '17850'; missing stays missing."""
-    number = as_number(name)
-    return F.when(number.isNotNull(), number.cast("bigint").cast("string"))
+    """17850.0 -> '17850'; missing, and what is no whole number of 64 bits, is missing."""
+    whole = F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)")
+    return F.when(as_number(name).isNotNull(), whole.cast("string"))
 
 
 def exact_sum(value: Column) -> Column:
     """Sum in decimals: the same result in any row order, 0 when nothing is there."""
-    total = F.sum(value.cast(MONEY))
-    return F.coalesce(total.cast("double"), F.lit(0.0))
+    return F.when(F.count(value) > 0, F.sum(value.cast(MONEY)).cast("double")).otherwise(0.0)
 
 
 def exact_mean(value: Column) -> Column:

@@ -13,9 +13,6 @@ from ledgerlens.operators.kmeans import ClusterModel
 
 _ALL = "_whole"  # constant group column of a table that is fitted as one group
 
-# Above this many rows the quadratic silhouette gives way to the linear one.
-EUCLIDEAN_LIMIT = 100_000
-
 
 def _one_group(df: DataFrame) -> DataFrame:
     return df.withColumn(_ALL, F.lit(0))
@@ -36,16 +33,13 @@ def fit_months(panel: DataFrame, config: RetailConfig) -> list[ClusterModel]:
     return kmeans.fit(panel, "AnalysisMonth", [config.final_k], **_fit_options(config))
 
 
-def evaluate_k(rfm: DataFrame, config: RetailConfig, distance: str = "auto") -> DataFrame:
+def evaluate_k(rfm: DataFrame, config: RetailConfig, distance: str = "squared") -> DataFrame:
     """Inertia and silhouette for each k that has more rows than clusters.
 
-    `distance` is 'euclidean', 'squared' or 'auto': plain distance up to
-    EUCLIDEAN_LIMIT rows and squared distance beyond. The column says which.
+    `distance` is 'squared' (two linear passes) or 'euclidean' (all pairs of distinct points), at any size.
     """
-    if distance not in ("auto", "euclidean", "squared"):
-        raise ValueError("distance must be 'auto', 'euclidean' or 'squared'")
-    if distance == "auto":
-        distance = "euclidean" if rfm.count() <= EUCLIDEAN_LIMIT else "squared"
+    if distance not in ("euclidean", "squared"):
+        raise ValueError("distance must be 'euclidean' or 'squared'")
     models = kmeans.fit(_one_group(rfm), _ALL, config.k_values, spare_rows=1, **_fit_options(config))
     spark = rfm.sparkSession
     if not models:
@@ -60,13 +54,15 @@ def evaluate_k(rfm: DataFrame, config: RetailConfig, distance: str = "auto") ->
     )
 
 
-def grade_of_cluster(model: ClusterModel, names: Sequence[str]) -> list[str | None]:
+def grade_of_cluster(model: ClusterModel, names: Sequence[str]) -> list[str]:
     """Grade name by cluster number: poorest, rarest and longest-idle center first."""
+    if model.k > len(names):
+        raise ValueError(f"{model.k} clusters need as many grade names, not {len(names)}")
     raw = model.raw_centers()
     ranking = sorted(range(model.k), key=lambda j: (raw[j][2], raw[j][1], -raw[j][0]))
-    grades: list[str | None] = [None] * model.k
+    grades = [""] * model.k
     for position, cluster in enumerate(ranking):
-        grades[cluster] = names[position] if position < len(names) else None
+        grades[cluster] = names[position]
     return grades
 
 

@@ -1,21 +1,20 @@
 """K-means over many groups, cluster counts and restarts at once.
 
-Two ways to the same result, chosen by the counted size of the groups. While
-every group fits comfortably into a task, each restart of each group is one
-task and a single job finishes all of them. Beyond that all fits advance
-together: one job per Lloyd iteration assigns every row to its nearest center
-in every unfinished fit and sums the rows per center. Either way only centers
-(fits x k rows) come back to the driver; customer rows never do, except for a
-seed sample of bounded size.
+All fits advance together, whatever the size of the groups. Starting centers come from k-means||: a few passes
+draw candidates with odds proportional to weight and squared distance, and the driver picks k of them by weight.
+Then one job per Lloyd iteration assigns every point to its nearest center in every unfinished fit and sums the
+points per center. Only centers and candidates (fits x k rows) come back to the driver; no Python runs on workers.
+
+Draws are hashes of the points and sums are decimals, so neither depends on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,8 +22,8 @@ from ledgerlens.config import FEATURES
 from ledgerlens.session import stage
 
 _FAR = 1e150  # coordinate of a padding center: never the nearest one
-_SEED_ROWS = 2000  # expected rows per group that the seeding looks at
-_TASK_ROWS = 100_000  # distinct points of a group that one task may hold (32 bytes each)
+_ROUNDS = 3  # of drawing candidates, 2 k of them each
+_EXACT = "decimal(38,12)"
 
 
 @dataclass
@@ -44,15 +43,15 @@ class ClusterModel:
 
 def scaling(df: DataFrame, group: str, features: Sequence[str] = FEATURES) -> DataFrame:
     """Mean and population deviation per group; a constant feature gets deviation 1."""
-    stats = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("Rows"),
-        *(F.avg(f).alias(f"Mean_{f}") for f in features),
-        *(F.stddev_pop(f).alias(f"Std_{f}") for f in features),
-    )
-    fixed = {
-        f"Std_{f}": F.when(F.col(f"Std_{f}") > 0, F.col(f"Std_{f}")).otherwise(1.0) for f in features
-    }
-    return stats.withColumns(fixed)
+    count = F.count(F.lit(1))
+    exact = lambda value: F.sum(value.cast(_EXACT)).cast("double")
+    means = df.groupBy(group).agg(count.alias("Rows"), *((exact(F.col(f)) / F.count(f)).alias(f"Mean_{f}") for f in features))
+    # One row per group on the right.
+    gaps = df.join(F.broadcast(means), group)
+    gap = lambda f: F.col(f) - F.col(f"Mean_{f}")
+    spread = gaps.groupBy(group).agg(*(F.sqrt(exact(gap(f) * gap(f)) / F.count(f)).alias(f"Std_{f}") for f in features))
+    fixed = {f"Std_{f}": F.when(F.col(f"Std_{f}") > 0, F.col(f"Std_{f}")).otherwise(1.0) for f in features}
+    return means.join(F.broadcast(spread), group).withColumns(fixed)
 
 
 def fit(
@@ -65,12 +64,10 @@ def fit(
     tol: float = 1e-4,
     features: Sequence[str] = FEATURES,
     spare_rows: int = 0,
-    task_rows: int = _TASK_ROWS,
 ) -> list[ClusterModel]:
     """Best of `n_init` restarts per group and k.
 
     A group with fewer than k + `spare_rows` rows gets no fit for that k.
-    `task_rows` is the largest group that may be fitted inside a task.
     """
     stats = {
         r[group]: (
@@ -90,12 +87,9 @@ def fit(
     if not plan:
         return []
     points = _weighted_points(df, group, stats, features)
-    sizes = {r[group]: r["n"] for r in points.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [{"id": i, "group": g, "k": k, "init": init} for i, (g, k, init) in enumerate(plan)]
-    if max(sizes.values()) <= task_rows:
-        _run_in_tasks(points, group, runs, seed, max_iter, tol, len(features))
-    else:
-        _run_together(points, group, runs, sizes, seed, max_iter, tol, len(features))
+    _place_seeds(points, group, runs, seed, len(features))
+    _run_together(points, group, runs, max_iter, tol, len(features))
     best: dict[tuple, dict] = {}
     for run in runs:
         key = (run["group"], run["k"])
@@ -134,45 +128,63 @@ def small_table(df: DataFrame, columns: dict) -> DataFrame:
     return df.sparkSession.createDataFrame(pa.table(columns))
 
 
-def _run_in_tasks(points, group, runs, seed, max_iter, tol, width) -> None:
-    """Every restart on its own copy of its group's points, one task each."""
+def _place_seeds(points: DataFrame, group: str, runs: list[dict], seed: int, width: int) -> None:
+    """Starting centers of every run."""
     axes = [f"_x{i}" for i in range(width)]
-    table = small_table(points, {name: [run[key] for run in runs] for name, key in
-                                  ((group, "group"), ("_run", "id"), ("_k", "k"), ("_init", "init"))})
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(axes)
-        run, k, init = (int(rows[c].iloc[0]) for c in ("_run", "_k", "_init"))
-        x, w = rows[axes].to_numpy(float), rows["_w"].to_numpy(float)
-        centers = _spread_seeds(x, w, k, np.random.default_rng([seed, k, init]))
-        centers, cost = _lloyd(x, w, centers, max_iter, tol)
-        return pd.DataFrame(
-            {"_run": run, "_cluster": np.arange(k), "_cost": cost, **{a: centers[:, i] for i, a in enumerate(axes)}}
-        )
+    place = F.array(*axes)
+
+    def luck(number: int) -> Column:
+        """A draw from (0, 1] for each point and run."""
+        bits = F.xxhash64(*axes, F.lit(seed), F.col("_k"), F.col("_init"), F.lit(number)).bitwiseAND(F.lit((1 << 53) - 1))
+        return (bits + 1) / F.lit(float(1 << 53))
+
+    def met(values: dict[str, list]) -> DataFrame:
+        table = {name: [run[key] for run in runs] for name, key in ((group, "group"), ("_run", "id"), ("_k", "k"), ("_init", "init"))}
+        return points.join(F.broadcast(small_table(points, table | values)), group)
+
+    def far(candidate: Column) -> Column:
+        return _squared([F.col(a) for a in axes], [candidate[i] for i in range(width)])
+
+    # The point with the lowest -ln(luck) / weight is a draw by weight.
+    wait = -F.log(luck(0)) / F.col("_w")
+    low = {r["_run"]: r["t"] for r in met({}).groupBy("_run").agg(F.min(wait).alias("t")).collect()}
+    rows = met({"_t": [low[run["id"]] for run in runs]}).where(wait == F.col("_t")).select("_run", place.alias("c")).collect()
+    found: dict[int, set] = {run["id"]: set() for run in runs}
+    for r in rows:
+        found[r["_run"]].add(tuple(r["c"]))
+    chosen = lambda: {"_c": [[list(c) for c in sorted(found[run["id"]])] for run in runs]}
+    near = F.array_min(F.transform("_c", far))
+    for number in range(1, _ROUNDS + 1):
+        sums = met(chosen()).groupBy("_run").agg(F.sum((F.col("_w") * near).cast(_EXACT)).cast("double").alias("s")).collect()
+        cost = {r["_run"]: r["s"] for r in sums}
+        drawn = met(chosen() | {"_cost": [cost[run["id"]] for run in runs]})
+        odds = 2 * F.col("_k") * F.col("_w") * near / F.nullif(F.col("_cost"), F.lit(0.0))
+        for r in drawn.where(luck(number) < odds).select("_run", place.alias("c")).collect():
+            found[r["_run"]].add(tuple(r["c"]))
+    gaps = F.transform("_c", far)
+    nearest = met(chosen()).select("_run", "_w", F.array_position(gaps, F.array_min(gaps)).alias("at"))
+    mass = {(r["_run"], r["at"]): r["w"] for r in nearest.groupBy("_run", "at").agg(F.sum("_w").alias("w")).collect()}
+    for run in runs:
+        x = np.array(sorted(found[run["id"]]))
+        w = np.array([mass.get((run["id"], j + 1), 0.0) for j in range(len(x))])
+        random = np.random.default_rng([seed, run["k"], run["init"]])
+        run["centers"] = _settled(x, w, _spread_seeds(x, w, run["k"], random))
 
-    schema = ", ".join(["_run long", "_cluster long", "_cost double", *(f"{a} double" for a in axes)])
-    fitted = points.join(F.broadcast(table), group).groupBy("_run").applyInPandas(settle, schema).toPandas()
-    for run_id, rows in fitted.sort_values("_cluster").groupby("_run"):
-        runs[run_id]["centers"] = rows[axes].to_numpy(float)
-        runs[run_id]["cost"] = float(rows["_cost"].iloc[0])
+
+def _settled(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Centers after some steps among the candidates alone."""
+    for _ in range(20):
+        label = _distances(x, centers).argmin(1)
+        mass = np.bincount(label, w, len(centers))
+        sums = np.stack([np.bincount(label, w * column, len(centers)) for column in x.T], 1)
+        filled = mass > 0
+        centers = centers.copy()
+        centers[filled] = sums[filled] / mass[filled, None]
+    return centers
 
 
-def _run_together(points, group, runs, sizes, seed, max_iter, tol, width) -> None:
+def _run_together(points, group, runs, max_iter, tol, width) -> None:
     """All restarts in lockstep, one pass over the points per iteration."""
-    axes = [f"_x{i}" for i in range(width)]
-    scale = 1 << 20
-    limit = small_table(
-        points, {group: list(sizes), "_limit": [int(min(1.0, _SEED_ROWS / n) * scale) for n in sizes.values()]}
-    )
-    bucket = F.pmod(F.xxhash64(group, *axes), F.lit(scale))
-    picked = points.join(F.broadcast(limit), group).where(bucket < F.col("_limit")).drop("_limit").toPandas()
-    samples = {g: rows.sort_values(axes) for g, rows in picked.groupby(group)}
-    for run in runs:
-        rows = samples[run["group"]]
-        x, w = rows[axes].to_numpy(float), rows["_w"].to_numpy(float)
-        seeds = _spread_seeds(x, w, run["k"], np.random.default_rng([seed, run["k"], run["init"]]))
-        # Settling on the sample first saves most of the passes over all points.
-        run["centers"], _ = _lloyd(x, w, seeds, max_iter, tol)
     moving = list(runs)
     for _ in range(max_iter):
         if not moving:
@@ -181,23 +193,6 @@ def _run_together(points, group, runs, sizes, seed, max_iter, tol, width) -> Non
     _advance(points, group, runs, width, move=False)
 
 
-def _lloyd(x: np.ndarray, w: np.ndarray, centers: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, float]:
-    """Centers after the last move and the weighted squared distance to them."""
-    k = len(centers)
-    for _ in range(max_iter):
-        label = _distances(x, centers).argmin(1)
-        mass = np.bincount(label, w, k)
-        sums = np.stack([np.bincount(label, w * column, k) for column in x.T], 1)
-        filled = mass > 0  # an empty cluster keeps its center
-        moved = centers.copy()
-        moved[filled] = sums[filled] / mass[filled, None]
-        shift = ((moved - centers) ** 2).sum()
-        centers = moved
-        if shift <= tol:
-            break
-    return centers, float(_distances(x, centers).min(1) @ w)
-
-
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     out = np.zeros((len(x), len(centers)))
     for i in range(x.shape[1]):
@@ -245,21 +240,20 @@ def _advance(points: DataFrame, group: str, runs: list[dict], width: int, move:
         .groupBy("_run", "_cluster")
         .agg(
             F.sum("_w").alias("_mass"),
-            F.sum(F.col("_w") * F.col("_best")).alias("_cost"),
-            *(F.sum(F.col("_w") * F.col(a)).alias(a) for a in axes),
+            F.sum((F.col("_w") * F.col("_best")).cast(_EXACT)).alias("_cost"),
+            *(F.sum((F.col("_w") * F.col(a)).cast(_EXACT)).alias(a) for a in axes),
         )
         .toArrow()
         .to_pydict()
     )
     moved = {run["id"]: run["centers"].copy() for run in runs}
-    cost = dict.fromkeys(moved, 0.0)
+    cost = dict.fromkeys(moved, Decimal(0))
     for i, run_id in enumerate(sums["_run"]):
-        # Rounded, so that the order in which tasks finish does not show.
-        center = [round(sums[a][i] / sums["_mass"][i], 11) for a in axes]
+        center = [float(sums[a][i]) / sums["_mass"][i] for a in axes]
         moved[run_id][sums["_cluster"][i]] = center
         cost[run_id] += sums["_cost"][i]
     for run in runs:
-        run["cost"] = cost[run["id"]]
+        run["cost"] = float(cost[run["id"]])
         if move:
             run["shift"] = float(((moved[run["id"]] - run["centers"]) ** 2).sum())
             run["centers"] = moved[run["id"]]  # an empty cluster keeps its center

@@ -26,7 +26,7 @@ def add_abc(sales: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Products with equal revenue are taken in stock-code order.
     """
-    exact = sales.withColumn("_money", F.col("Revenue").cast("decimal(28,4)"))
+    exact = sales.withColumn("_money", F.col("Revenue").cast(C.MONEY))
     running = add_running_sums(
         exact, {"_run": "_money"}, [F.col("Revenue").desc(), F.col("StockCode")], by, {"_total": "_money"}
     )

@@ -117,12 +117,13 @@ def with_segment(pairs: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def segment_abc_mix(pairs: DataFrame) -> DataFrame:
-    """Revenue per segment and class, with the share inside the segment."""
-    total = F.sum("Revenue").over(Window.partitionBy("Segment"))  # at most nine rows
+    """Revenue per segment and class, with the share of the whole segment (rows without a class count there)."""
+    total = F.sum("Revenue").over(Window.partitionBy("Segment"))  # at most twelve rows
     return (
-        pairs.where(F.col("Segment").isNotNull() & F.col("ABC_Class").isNotNull())
+        pairs.where(F.col("Segment").isNotNull())
         .groupBy("Segment", "ABC_Class")
         .agg(C.exact_sum(F.col("Revenue")).alias("Revenue"))
         .withColumn("TotalRevenue", total)
+        .where(F.col("ABC_Class").isNotNull())
         .withColumn("Ratio", F.col("Revenue") / F.nullif(F.col("TotalRevenue"), F.lit(0.0)))
     )

@@ -114,14 +114,15 @@ def monthly_grade_counts(panel: DataFrame, names: Sequence[str] = GRADE_NAMES) -
 def revenue_share_by_grade(panel: DataFrame) -> DataFrame:
     """Mean over months of each grade's share of the month's revenue, in percent.
 
-    A grade without customers in a month does not count for that month.
+    A grade without customers in a month does not count for that month; rows without a grade count in the
+    month's revenue.
     """
     total = F.sum("_money").over(Window.partitionBy("AnalysisMonthStr"))  # one row per grade and month
     monthly = (
-        panel.where(F.col("Customer_Grade").isNotNull())
-        .groupBy("AnalysisMonthStr", "Customer_Grade")
+        panel.groupBy("AnalysisMonthStr", "Customer_Grade")
         .agg(F.sum(F.col("Monetary").cast(C.MONEY)).alias("_money"))
         .withColumn("_share", F.col("_money").cast("double") / F.nullif(total.cast("double"), F.lit(0.0)))
+        .where(F.col("Customer_Grade").isNotNull())
     )
     return monthly.groupBy("Customer_Grade").agg(F.bround(F.avg("_share") * 100, 2).alias("Avg_Revenue_Share"))
 

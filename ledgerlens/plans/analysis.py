@@ -44,7 +44,8 @@ class Base:
 
     def product_months(self) -> DataFrame:
         """Customer-product-months of the kept customers."""
-        return rfms.of_customers(facts.product_months(self.clean), self.rfm)
+        period = (self.config.static_start, self.config.static_end)
+        return rfms.of_customers(facts.product_months(self.clean, period), self.rfm)
 
     def static_pairs(self) -> DataFrame:
         """Static-year quantity and revenue per kept customer and product."""
@@ -63,15 +64,8 @@ def prepare(raw: DataFrame, config: RetailConfig) -> Base:
 
 def prepare_clean(lines: DataFrame, config: RetailConfig) -> Base:
     static = cleaning.between(lines, config.static_start, config.static_end)
-    orders = stage(facts.order_months(lines))
-    snapshot = config.snapshot or config.static_end
-    if config.static_start.day == config.static_end.day == 1:
-        month = F.col("MonthStart")
-        year = orders.where((month >= F.lit(config.static_start)) & (month < F.lit(config.static_end)))
-        rfm_all = rfms.rfm_of_orders(year, snapshot)
-    else:
-        rfm_all = rfms.create_rfm(static, snapshot)
-    rfm_all = stage(rfm_all)
+    orders = stage(facts.order_months(lines, (config.static_start, config.static_end)))
+    rfm_all = stage(rfms.rfm_of_orders(facts.in_period(orders), config.snapshot or config.static_end))
     cutoffs = rfms.outlier_cutoffs(rfm_all, config.outlier_quantile)
     return Base(lines, static, orders, rfm_all, cutoffs, rfms.drop_outliers(rfm_all, cutoffs), config)
 
@@ -120,9 +114,9 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
     out["cluster_summary"] = transitions.cluster_summary(segmented)
 
     product_months = stage(base.product_months())
-    static_products = product_months.where(
-        (F.col("MonthStart") >= F.lit(config.static_start)) & (F.col("MonthStart") < F.lit(config.static_end))
-    ).select("CustomerID", "StockCode", F.col("Units").alias("Quantity"), F.col("Money").alias("Revenue"))
+    static_products = product_months.where(F.col("PeriodLines") > 0).select(
+        "CustomerID", "StockCode", F.col("PeriodUnits").alias("Quantity"), F.col("PeriodMoney").alias("Revenue")
+    )
     out["product_sales"] = stage(products.analyze_products(static_products))
     out["top_products"] = products.top_products(out["product_sales"])
     out["product_rank"] = products.long_tail(out["product_sales"])

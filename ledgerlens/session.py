@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +32,24 @@ def build_session(master: str | None = None, app: str = "ledgerlens", **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for staged tables: the one the session names, else a new one in local mode."""
+    """This application's folder for staged tables, below `spark.checkpoint.dir` or else the warehouse.
+
+    Both are places that every executor reaches; nothing is put into a temporary folder.
+    """
     named = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="ledgerlens-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    root = named or spark.conf.get("spark.sql.warehouse.dir")
+    return os.path.join(root, f"staged-{spark.sparkContext.applicationId}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the session's file system, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables that this application has staged. Tables that read them can't be used afterwards."""
+    delete(spark, shared_folder(spark))
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -49,9 +57,10 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage without pinning data to an executor, so a lost executor
     costs a re-read and not a recomputation. Parquet keeps column pruning and
-    gives the planner a real size for broadcast decisions.
+    gives the planner a real size for broadcast decisions. Staged tables stay
+    until `release`.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), f"stage-{uuid.uuid4().hex}")
+    path = os.path.join(shared_folder(spark), uuid.uuid4().hex)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

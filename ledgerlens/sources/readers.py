@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 # Raw columns as text: bad dates and numbers reach the lenient casts instead of
 # failing the read.
@@ -31,10 +31,19 @@ RAW_SCHEMA = T.StructType(
 
 
 def load_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Stack parts by column name; a column missing from one part is null there."""
+    """Stack parts by column name; a column missing from one part is null there.
+
+    Without a `schema` every column is read as text, so a column that holds numbers in one part and text in
+    another keeps both. The lenient casts of the cleaning come later.
+    """
     if not paths:
         raise ValueError("no input parts given")
-    return stack([_read(spark, path, fmt, schema) for path in paths])
+    parts = [_read(spark, path, fmt, schema) for path in paths]
+    return stack(parts if schema is not None else [as_text(part) for part in parts])
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
 
 
 def stack(parts: Sequence[DataFrame]) -> DataFrame:
@@ -63,8 +72,6 @@ def load_raw(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 def overview(df: DataFrame) -> DataFrame:
     """Column names and types with the row count of the table."""
-    from pyspark.sql import functions as F
-
     entries = F.array(
         *(
             F.struct(F.lit(i).alias("Position"), F.lit(f.name).alias("Column"), F.lit(f.dataType.simpleString()).alias("Dtype"))

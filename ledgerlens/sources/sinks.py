@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
+
+from ledgerlens.session import delete
 
 
 def save_table(df: DataFrame, path: str) -> None:
@@ -22,10 +24,18 @@ def save_table(df: DataFrame, path: str) -> None:
 
 
 def save_reports(tables: Mapping[str, DataFrame], folder: str) -> list[str]:
-    """Write every non-empty table below `folder`; returns the names written."""
+    """Write every non-empty table below `folder`; returns the names written.
+
+    Rows are counted by the job that writes them, and the folder of an empty table is removed again.
+    """
     written = []
     for name, table in tables.items():
-        if table is not None and not table.isEmpty():
-            save_table(table, os.path.join(folder, name))
+        if table is None:
+            continue
+        path, seen = os.path.join(folder, name), Observation()
+        save_table(table.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+        if seen.get["rows"]:
             written.append(name)
+        else:
+            delete(table.sparkSession, path)
     return written

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import date
 
 import numpy as np
@@ -20,10 +23,9 @@ def table(spark, n=240, groups=2, seed=0):
     return pdf, spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("task_rows", [100_000, 0])
-def test_rows_sit_at_their_nearest_center_and_centers_are_means(spark, task_rows):
+def test_rows_sit_at_their_nearest_center_and_centers_are_means(spark):
     pdf, df = table(spark)
-    models = kmeans.fit(df, "g", [5], n_init=4, task_rows=task_rows, tol=1e-12)
+    models = kmeans.fit(df, "g", [5], n_init=4, tol=1e-12)
     assert [m.group for m in models] == [0, 1]
     placed = kmeans.assign(df, "g", models).toPandas()
     for m in models:
@@ -38,14 +40,52 @@ def test_rows_sit_at_their_nearest_center_and_centers_are_means(spark, task_rows
             assert m.centers[j] == pytest.approx(x[rows.Cluster == j].mean(0), abs=1e-5)
 
 
-def test_both_ways_find_the_same_grouping_and_repeat_it(spark):
+def test_the_fit_does_not_depend_on_how_rows_are_dealt(spark):
     _, df = table(spark)
     labels = []
-    for task_rows in (100_000, 100_000, 0):
-        models = kmeans.fit(df, "g", [5], n_init=4, task_rows=task_rows)
-        graded = grades.apply_grades(df, models, GRADE_NAMES, "g").toPandas().sort_values("CustomerID")
-        labels.append(list(graded.Customer_Grade))
-    assert labels[0] == labels[1] == labels[2]
+    for parts in (1, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            models = kmeans.fit(df.repartition(parts, "CustomerID"), "g", [5], n_init=4)
+            placed = kmeans.assign(df, "g", models).toPandas().sort_values("CustomerID")
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        labels.append((list(placed.Cluster), [m.cost for m in models], [m.centers.tolist() for m in models]))
+    assert labels[0] == labels[1]
+
+
+def test_the_fit_finds_well_separated_spots(spark):
+    _, df = table(spark, groups=1)
+    models = kmeans.fit(df, "g", [5], n_init=6)
+    assert sorted(len(part) for _, part in kmeans.assign(df, "g", models).toPandas().groupby("Cluster"))[0] >= 10
+    assert models[0].cost < 12
+
+
+FROM_ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from ledgerlens.operators import kmeans
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rows = [(0, float(i % 3), float(i % 3), float(i)) for i in range(12)]
+df = spark.createDataFrame(rows, "g int, Recency double, Frequency double, Monetary double")
+print("rows", kmeans.assign(df, "g", kmeans.fit(df, "g", [2], n_init=2)).count())
+"""
+
+
+def test_the_fit_runs_from_another_folder_in_a_fresh_process(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run(
+        [sys.executable, "-c", FROM_ELSEWHERE.format(repo=repo)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert "rows 12" in run.stdout, run.stderr[-2000:]
+
+
+def test_more_clusters_than_grade_names_raise():
+    model = kmeans.ClusterModel(0, 6, np.zeros(3), np.ones(3), np.zeros((6, 3)))
+    with pytest.raises(ValueError):
+        grades.grade_of_cluster(model, GRADE_NAMES)
 
 
 def test_more_restarts_never_cost_more(spark):
@@ -114,7 +154,7 @@ def test_silhouette_against_all_pairs(spark, monkeypatch, block):
 def test_k_sweep_skips_k_without_spare_rows(spark):
     _, df = table(spark, 4, groups=1, seed=2)
     got = grades.evaluate_k(df, CFG).toPandas()
-    assert sorted(got.k) == [2, 3] and set(got.Distance) == {"euclidean"}
+    assert sorted(got.k) == [2, 3] and set(got.Distance) == {"squared"}
     assert grades.evaluate_k(df.limit(1), CFG).count() == 0
     with pytest.raises(ValueError):
         grades.evaluate_k(df, CFG, "cosine")
