@@ -1,3 +1,98 @@
-"""SQL for the text queries, where SQL can state their results."""
+"""SQL for the text queries, where SQL can state their results.
+
+Not here: packing (1), a trained model (2, 3, 5), hash trees (4), merges (6), signatures (7), byte strings (9).
+Their tests hold plain versions instead.
+"""
+
+from __future__ import annotations
+
+from ledgerlens.llm import url_filter
+from ledgerlens.llm.queries import RULES
 
 ORACLE: dict[str, str] = {}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = rf"coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+
+ORACLE["op8_decontamination"] = f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, w[k:k + n - 1] AS g FROM (
+  SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM iw WHERE len(w) > 0)),
+places AS (SELECT r, k, n, w[k:k + n - 1] AS g FROM (
+  SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+met AS (SELECT r, item, k, n FROM places JOIN win USING (g, n)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT r, item FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hit USING (r) LEFT JOIN found USING (r)"""
+
+
+def _rule(value: str) -> str:
+    """The longest rule that fits, or its verdict."""
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda x: -len(x[1])):
+        host, _, path = rule.partition("/")
+        shown = rule if value == "rule" else verdict
+        cases.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{shown}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+def _urls() -> str:
+    order, steps, size = url_filter.ORDER, url_filter.STEPS, len(url_filter.ALPHABET)
+    fold = (
+        f"repeat('^', {order}) || regexp_replace(regexp_replace(lower(coalesce(url, '')), '[0-9]', '0', 'g'), "
+        "'[^a-z0/.\\-_?=&#%:+]', '~', 'g') || '^'"
+    )
+    grams = lambda table, extra="": (
+        f"SELECT {extra} substr(t, CAST(k AS INTEGER), {order + 1}) AS gram FROM "
+        f"(SELECT *, unnest(range(1, length(t) - {order} + 1)) AS k FROM (SELECT *, {fold} AS t FROM {table}))"
+    )
+    parts = [
+        "cut AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN position('://' IN url) > 0 "
+        "THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest FROM pages)",
+        "split AS (SELECT *, coalesce(regexp_extract(rest, '^[^/]*'), '') AS raw_host FROM cut)",
+        f"named AS (SELECT r, page_id, url, translate(raw_host, '{_UPPER}', '{_LOWER}') AS host, "
+        "coalesce(substr(rest, length(raw_host) + 1), '') AS path FROM split)",
+        f"ruled AS (SELECT *, {_rule('rule')} AS rule, {_rule('verdict')} AS ruling FROM named)",
+        "examples AS (SELECT DISTINCT coalesce(url, '') AS url, ruling = 'allow' AS accepted FROM ruled WHERE rule IS NOT NULL)",
+        "sided AS (SELECT *, CAST('0x' || substr(md5(url), 1, 4) AS INTEGER) % 5 = 0 AS held FROM examples)",
+        "train AS (SELECT * FROM sided WHERE NOT held)",
+        "tested AS (SELECT * FROM sided WHERE held)",
+        f"seen AS ({grams('train', 'accepted,')})",
+        "counts AS (SELECT gram, CAST(count(*) FILTER (accepted) AS DOUBLE) AS yes, CAST(count(*) FILTER (NOT accepted) AS DOUBLE) AS no FROM seen GROUP BY 1)",
+        f"page_grams AS ({grams('ruled', 'r,')})",
+        f"test_grams AS ({grams('tested', 'url, accepted,')})",
+        f"l AS (SELECT gram, {1.0 / size!r}::DOUBLE AS yes, {1.0 / size!r}::DOUBLE AS no FROM (SELECT gram FROM page_grams UNION SELECT gram FROM test_grams))",
+    ]
+    below = "l"
+    for k in range(order + 1):
+        parts += [
+            f"t{k} AS (SELECT right(gram, {k + 1}) AS g, sum(yes) AS yes, sum(no) AS no FROM counts GROUP BY 1)",
+            f"x{k} AS (SELECT left(g, {k}) AS c, sum(yes) AS yes, sum(no) AS no, count(*) FILTER (yes > 0) AS k_yes, count(*) FILTER (no > 0) AS k_no FROM t{k} GROUP BY 1)",
+        ]
+        p = lambda s: (
+            f"CASE WHEN coalesce(x.{s}, 0) > 0 THEN (coalesce(t.{s}, 0) + x.k_{s} * b.{s}) / (x.{s} + x.k_{s}) ELSE b.{s} END AS {s}"
+        )
+        parts.append(
+            f"l{k} AS (SELECT b.gram, {p('yes')}, {p('no')} FROM {below} b LEFT JOIN t{k} t ON right(b.gram, {k + 1}) = t.g "
+            f"LEFT JOIN x{k} x ON left(right(b.gram, {k + 1}), {k}) = x.c)"
+        )
+        below = f"l{k}"
+    mean = f"avg(ln({below}.yes) - ln({below}.no))"
+    parts += [
+        f"test_scores AS (SELECT url, accepted, {mean} AS score FROM test_grams JOIN {below} USING (gram) GROUP BY 1, 2)",
+        f"bins AS (SELECT accepted, least(greatest(floor((score + 2) * {steps / 4}), 0), {steps - 1}) AS bin FROM test_scores)",
+        f"tried AS (SELECT edge, (SELECT count(*) FROM bins WHERE accepted AND bin >= edge) / (SELECT greatest(count(*), 1) FROM bins WHERE accepted) - "
+        f"(SELECT count(*) FROM bins WHERE NOT accepted AND bin >= edge) / (SELECT greatest(count(*), 1) FROM bins WHERE NOT accepted) AS gain FROM range({steps}) e(edge))",
+        f"best AS (SELECT edge * 4.0::DOUBLE / {steps} - 2 AS threshold FROM tried ORDER BY round(gain, 9) DESC, abs(edge - {steps // 2}), edge LIMIT 1)",
+        f"scored AS (SELECT r, {mean} AS score FROM page_grams JOIN {below} USING (gram) GROUP BY 1)",
+    ]
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) "
+        "AS verdict, round(score, 6) AS score, round(threshold, 6) AS threshold FROM ruled JOIN scored USING (r), best"
+    )
+
+
+ORACLE["op10_url_filter"] = _urls()

@@ -75,7 +75,7 @@ def _blocks(shards: int, kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, squeeze = symbol_table(), zstandard.ZstdCompressor(level=3)
-        for piece in pieces(batches, "text", 16_000_000):
+        for piece in pieces(batches, "text", 8_000_000):
             data, rows = utf8(piece.column(1))
             symbols, shard, keys = table[data], piece.column(3).to_numpy(), piece.column(4)
             out = []

@@ -82,7 +82,7 @@ def op7_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), slop=0)
     return found.select(
         "doc_id",
         "n_words",
@@ -90,7 +90,6 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_ids").cast("long").alias("n_near_items"),
     )
 
 
@@ -101,4 +100,5 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    return url_filter.judge(table(spark, folder, "pages"), RULES)
+    judged = url_filter.judge(table(spark, folder, "pages"), RULES)
+    return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})

@@ -109,11 +109,16 @@ def calibrated(held_out: DataFrame) -> DataFrame:
     )
     total = bins.agg(F.greatest(F.sum("yes"), F.lit(1)).alias("all_yes"), F.greatest(F.sum("no"), F.lit(1)).alias("all_no"))
     gain = F.coalesce(F.col("yes"), F.lit(0)) / F.col("all_yes") - F.coalesce(F.col("no"), F.lit(0)) / F.col("all_no")
-    # Ties go to the threshold nearest to 0.
-    best = F.max_by("edge", F.struct(F.round(gain, 9), -F.abs(F.col("edge") - STEPS // 2)))
+    # Ties go to the threshold nearest to 0, then to the lower one.
+    best = F.max_by("edge", F.struct(F.round(gain, 9), -F.abs(F.col("edge") - STEPS // 2), -F.col("edge")))
     return tried.join(F.broadcast(total)).agg((F.coalesce(best, F.lit(STEPS // 2)) * 4.0 / STEPS - 2).alias("threshold"))
 
 
+def is_held_out(url: Column) -> Column:
+    """A fifth of the URLs, by a hash."""
+    return F.conv(F.substring(F.md5(url), 1, 4), 16, 10).cast("int") % 5 == 0
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
@@ -134,7 +139,7 @@ def judge(
     if labelled is None:
         labelled = rows.withColumn("fit", fit).where("fit is not null").select("url", (F.col("fit.verdict") == "allow").alias("accepted"))
     labelled = labelled.select(F.coalesce("url", F.lit("")).alias("url"), "accepted").distinct()
-    held = F.crc32("url") % 5 == 0
+    held = is_held_out(F.col("url"))
     needed = (
         rows.select("url").unionByName(labelled.where(held).select("url"))
         .select(F.explode(grams(F.col("url"), order)).alias("gram")).distinct()
