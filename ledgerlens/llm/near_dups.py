@@ -8,8 +8,8 @@ to the weighted Jaccard similarity of the texts. Ranks beyond what fills all coo
 where a coordinate stays empty, the text throws on.
 
 Signatures meet in bands. With 26 bands of 5 coordinates a pair of similarity 0.8 is missed once in 30,000
-times. Every candidate is checked exactly. A bucket does not emit its pairs: all members are compared to a
-leader (the member that meets the most others over all bands), and only members that then are not connected
+times. Every candidate is checked exactly. A bucket does not emit its pairs: all members are compared to two
+leaders (the members that meet the most others over all bands), and only members that then are not connected
 are compared among themselves.
 
 Weights are 1 (Jaccard similarity of sets of runs) or the number of times a run occurs.
@@ -37,7 +37,6 @@ RUN = 5
 BANDS = 26
 ROWS = 5
 SIMILARITY = 0.8
-LEADER_ROUNDS = 3
 STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,6 +174,19 @@ def _similar(run: int, least: float, counted: bool):
     return work
 
 
+def _checked(pairs: DataFrame, chosen: DataFrame, run: int, least: float, counted: bool) -> DataFrame:
+    """The pairs (a, b) of texts that are similar."""
+    texts = pairs.join(chosen.toDF("a", "text_a"), "a").join(chosen.toDF("b", "text_b"), "b")
+    return texts.select("a", "b", "text_a", "text_b").mapInArrow(_similar(run, least, counted), "a binary, b binary")
+
+
+def _leader(members: DataFrame) -> DataFrame:
+    """(bucket, b): the member with the most company, by numbers alone so that a full bucket combines early."""
+    most = members.groupBy("bucket").agg(F.max("company").alias("company"))
+    one = members.join(most, ["bucket", "company"]).groupBy("bucket").agg(F.min("node").alias("node"))
+    return members.join(one, ["bucket", "node"]).select("bucket", F.col("key").alias("b"))
+
+
 def classes(
     docs: DataFrame,
     run: int = RUN,
@@ -202,44 +214,38 @@ def classes(
     # Only texts that met another one travel, each once.
     chosen = stage(first_copies(rows, company.join(texts, "key")).select("key", "text").distinct())
     members = stage(members.drop("size").join(company, "key"))
-    links = None
-    labels = company.select("key", F.col("key").alias("label"))
-    seen = None
-    for round in range(LEADER_ROUNDS + 1):
+    # First every member meets the two members of its bucket with the most company ...
+    first = stage(_leader(members))
+    after = members.join(first, "bucket").where("key != b")
+    pairs = after.select(F.col("key").alias("a"), "b")
+    second = _leader(after.drop("b"))
+    pairs = pairs.union(after.drop("b").join(second, "bucket").where("key != b").select(F.col("key").alias("a"), "b"))
+    pairs = stage(pairs.distinct())
+    links = labels = None
+    if not pairs.isEmpty():
+        links = stage(_checked(pairs, chosen, run, least, counted))
+        labels = components(links)
+        # ... then members of one bucket meet that are not connected by now.
         open_ = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         parted = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
-        open_ = stage(open_.join(parted, "bucket", "left_semi"))
-        if open_.isEmpty():
-            break
-        if round < LEADER_ROUNDS:
-            order = "company" if round == 0 else F.xxhash64("node", "bucket", F.lit(round))
-            others = open_.withColumn("order", order if round else F.col("company"))
-            top = others.groupBy("bucket").agg(F.max("order").alias("order"))
-            ahead = others.join(top, ["bucket", "order"]).groupBy("bucket").agg(F.min("node").alias("node"))
-            others = others.join(ahead, ["bucket", "node"]).select("bucket", F.col("key").alias("b"), F.col("label").alias("of_b"))
-        else:
-            others = open_.select("bucket", F.col("key").alias("b"), F.col("label").alias("of_b"))
-        pairs = open_.select("bucket", F.col("key").alias("a"), F.col("label").alias("of_a")).join(others, "bucket").where("of_a != of_b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) if round == LEADER_ROUNDS else pairs.select("a", "b")
-        pairs = pairs.distinct()
-        if seen is not None:
-            known = seen.union(seen.select("b", "a"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = stage(pairs)
-        if pairs.isEmpty():
-            continue
-        seen = pairs if seen is None else seen.union(pairs)
-        with_texts = pairs.join(chosen.toDF("a", "text_a"), "a").join(chosen.toDF("b", "text_b"), "b")
-        found = with_texts.select("a", "b", "text_a", "text_b").mapInArrow(_similar(run, least, counted), "a binary, b binary")
-        links = stage(found if links is None else found.union(links))
-        labels = components(links)
+        open_ = stage(open_.join(parted, "bucket", "left_semi").select("bucket", "key", "label"))
+        others = open_.select("bucket", F.col("key").alias("b"), F.col("label").alias("of_b"))
+        rest = open_.withColumnRenamed("key", "a").join(others, "bucket").where("label < of_b").select("a", "b").distinct()
+        known = pairs.union(pairs.select("b", "a"))
+        rest = stage(rest.join(known, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            more = stage(_checked(rest, chosen, run, least, counted))
+            links = links.union(more)
+            if not more.isEmpty():
+                labels = components(links)
     classed = texts if links is None else texts.join(labels, "key", "left")
     classed = classed.withColumn("class_key", F.coalesce("label", "key") if links is not None else F.col("key"))
     lowest = classed.groupBy("class_key").agg(F.min("one").alias("class_id"))
     if links is None:
         degrees = texts.select("key", F.lit(0).cast("long").alias("n_links"))
     else:
-        ends = links.select(F.col("a").alias("key")).union(links.select(F.col("b").alias("key")))
+        pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
         degrees = ends.groupBy("key").agg(F.count("*").alias("n_links"))
     classed = classed.join(lowest, "class_key").join(degrees, "key", "left")
     classed = classed.select("key", "one", "copies", "class_key", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
