@@ -9,8 +9,8 @@ where a coordinate stays empty, the text throws on.
 
 Signatures meet in bands. With 26 bands of 5 coordinates a pair of similarity 0.8 is missed once in 30,000
 times. Every candidate is checked exactly. A bucket does not emit its pairs: all members are compared to two
-leaders (the members that meet the most others over all bands), and only members that then are not connected
-are compared among themselves.
+leaders (the members that meet the most others over all bands). Buckets whose members then are not all
+connected are compared in blocks, inside tasks and without a row per pair, so no link is lost.
 
 Weights are 1 (Jaccard similarity of sets of runs) or the number of times a run occurs.
 
@@ -37,6 +37,8 @@ RUN = 5
 BANDS = 26
 ROWS = 5
 SIMILARITY = 0.8
+MEMBERS = 800  # of a bucket in one block
+COLUMNS = 4096
 STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,6 +176,70 @@ def _similar(run: int, least: float, counted: bool):
     return work
 
 
+def expanded(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Elements of weight n as n elements: then sets give the weighted similarity."""
+    times = weight.astype(np.int64)
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    return mix(np.repeat(element, times) + nth.astype(np.uint64) * STRIDE)
+
+
+def similar_pairs(sets: list[np.ndarray], own: np.ndarray, label: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different labels that are similar: of all sets if there is one block, else across the blocks.
+
+    Common elements are counted by products of incidence matrices, some thousand elements at a time.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    member = np.repeat(np.arange(n), size)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[at] > 1
+    number = np.cumsum(times > 1) - 1
+    member, at = member[shared], number[at[shared]]
+    order = np.argsort(at, kind="stable")
+    member, at = member[order], at[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, (low, low + COLUMNS))
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[member[a:b], at[a:b] - low] = 1
+        both += x @ x.T
+    union = size[:, None] + size[None, :] - both
+    hit = (both >= (least - 1e-9) * union) & (label[:, None] != label[None, :])
+    if own.min() != own.max():
+        hit &= own[:, None] != own[None, :]
+    a, b = np.nonzero(hit)
+    return a[a < b], b[a < b]
+
+
+def _met_again(run: int, least: float, counted: bool):
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        texts = [t.encode() for *_, t in held]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        found = words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]))
+        text, element, weight = weighted(*elements(found.hash, found.first, run))
+        weight = weight if counted else np.ones(len(weight))
+        cuts = np.searchsorted(text, np.arange(len(held) + 1))
+        sets = [expanded(element[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        label = np.unique([h[2] for h in held], return_inverse=True)[1]
+        a, b = similar_pairs(sets, np.array([h[0] for h in held]), label, least)
+        keys = pa.array([h[1] for h in held], pa.binary())
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, i, j, own, key, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, i, j) != now:
+                    if len(held) > 1:
+                        yield links(held)
+                    now, held = (bucket, i, j), []
+                held.append((own, key, label, text))
+        if len(held) > 1:
+            yield links(held)
+
+    return work
+
+
 def _checked(pairs: DataFrame, chosen: DataFrame, run: int, least: float, counted: bool) -> DataFrame:
     """The pairs (a, b) of texts that are similar."""
     texts = pairs.join(chosen.toDF("a", "text_a"), "a").join(chosen.toDF("b", "text_b"), "b")
@@ -229,15 +295,18 @@ def classes(
         open_ = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         parted = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         open_ = stage(open_.join(parted, "bucket", "left_semi").select("bucket", "key", "label"))
-        others = open_.select("bucket", F.col("key").alias("b"), F.col("label").alias("of_b"))
-        rest = open_.withColumnRenamed("key", "a").join(others, "bucket").where("label < of_b").select("a", "b").distinct()
-        known = pairs.union(pairs.select("b", "a"))
-        rest = stage(rest.join(known, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            more = stage(_checked(rest, chosen, run, least, counted))
+        sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("key", F.lit(5)), "blocks").cast("int")
+        placed = open_.join(sizes, "bucket").withColumn("own", own)
+        # A block meets itself and all others of its bucket, one meeting to a task at a time.
+        meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
+        placed = placed.select("bucket", "own", "key", "label", meeting.alias("m")).join(chosen, "key").select("bucket", "m.i", "m.j", "own", "key", "label", "text")
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met_again = placed.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own")
+        more = stage(met_again.mapInArrow(_met_again(run, least, counted), "a binary, b binary").distinct())
+        if not more.isEmpty():
             links = links.union(more)
-            if not more.isEmpty():
-                labels = components(links)
+            labels = components(links)
     classed = texts if links is None else texts.join(labels, "key", "left")
     classed = classed.withColumn("class_key", F.coalesce("label", "key") if links is not None else F.col("key"))
     lowest = classed.groupBy("class_key").agg(F.min("one").alias("class_id"))
