@@ -718,3 +718,39 @@ add(
     {share('Stay', 'Stay_Rate')}, {share('Down', 'Down_Rate')}, {share('NoActivity', 'NoActivity_Rate')} FROM repeats GROUP BY 1""",
 )
 add("drv6_repeat_distribution", "repeats", _dist("repeats", "RepeatStatus"))
+
+
+def _followed(table: str, group: str, steps: int, out: str) -> str:
+    """Lloyd steps from the fixed centers, one pair of CTEs each; every group has its own scaling."""
+    names = ("Recency", "Frequency", "Monetary")
+    stats = ", ".join(f"avg({n}) AS m{i}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS s{i}" for i, n in enumerate(names))
+    start = " UNION ALL ".join(
+        f"SELECT g, {j} AS j, " + ", ".join(f"({_num(float(c[i]))} - m{i}) / s{i} AS a{i}" for i in range(3)) + " FROM st"
+        for j, c in enumerate(fixed.CENTERS)
+    )
+    gap = " + ".join(f"(x{i} - a{i}) * (x{i} - a{i})" for i in range(3))
+    parts = [
+        f"src AS (SELECT *, {group} AS g FROM {table})",
+        f"st AS (SELECT g, {stats} FROM src GROUP BY 1)",
+        "pt AS (SELECT src.*, " + ", ".join(f"({n} - m{i}) / s{i} AS x{i}" for i, n in enumerate(names)) + " FROM src JOIN st USING (g))",
+        f"c0 AS ({start})",
+    ]
+    near = lambda k: (
+        f"n{k} AS (SELECT g, CustomerID, any_value(x0) AS x0, any_value(x1) AS x1, any_value(x2) AS x2, arg_min(j, d) AS j "
+        f"FROM (SELECT pt.g, CustomerID, x0, x1, x2, j, {gap} AS d FROM pt JOIN c{k} USING (g)) GROUP BY 1, 2)"
+    )
+    for k in range(steps):
+        moved = ", ".join(f"coalesce(avg(x{i}), any_value(a{i})) AS a{i}" for i in range(3))
+        parts += [near(k), f"c{k + 1} AS (SELECT c.g, c.j, {moved} FROM c{k} c LEFT JOIN n{k} n ON c.g = n.g AND c.j = n.j GROUP BY 1, 2)"]
+    raw = [f"a{i} * s{i} + m{i}" for i in range(3)]
+    labels = " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GRADE_NAMES, 1))
+    parts += [
+        near(steps),
+        f"named AS (SELECT g, j, CASE row_number() OVER (PARTITION BY g ORDER BY {raw[2]}, {raw[1]}, {raw[0]} DESC) {labels} END AS grade "
+        f"FROM c{steps} JOIN st USING (g))",
+    ]
+    return "(WITH " + ", ".join(parts) + f" SELECT {out} CAST(j AS BIGINT) AS Cluster, grade AS Customer_Grade FROM n{steps} JOIN named USING (g, j))"
+
+
+add("ml2_steps_from_given_centers", "rfm", "SELECT * FROM " + _followed("rfm", "0", 4, "CustomerID,"))
+add("tim4_steps_from_given_centers", "panel", "SELECT * FROM " + _followed("panel", "AnalysisMonthStr", 3, "g AS AnalysisMonthStr, CustomerID,"))

@@ -575,6 +575,23 @@ def ml2_kmeans_grades(spark, folder):
     return graded.select("CustomerID", "Cluster", "Customer_Grade")
 
 
+@query
+def ml2_steps_from_given_centers(spark, folder):
+    """Four steps from fixed centers, so that SQL can follow them."""
+    rfm = base(spark, folder).rfm.withColumn("all", F.lit(0))
+    models = kmeans.from_centers(rfm, "all", fixed.CENTERS, 4)
+    return grades.apply_grades(rfm, models, GRADE_NAMES, "all").select("CustomerID", "Cluster", "Customer_Grade")
+
+
+@query
+def tim4_steps_from_given_centers(spark, folder):
+    """The same for every month of the panel, each with its own scaling."""
+    panel = stage(analysis.rolling_panel(base(spark, folder)))
+    models = kmeans.from_centers(panel, "AnalysisMonth", fixed.CENTERS, 3)
+    graded = grades.apply_grades(panel, models, GRADE_NAMES, "AnalysisMonth")
+    return graded.select("AnalysisMonthStr", "CustomerID", "Cluster", "Customer_Grade")
+
+
 @query
 def ml3_nearest_center(spark, folder):
     return graded_static(base(spark, folder)).select("CustomerID", "Cluster")

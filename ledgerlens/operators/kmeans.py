@@ -101,6 +101,27 @@ def fit(
     ]
 
 
+def from_centers(
+    df: DataFrame, group: str, centers: np.ndarray, steps: int, features: Sequence[str] = FEATURES
+) -> list[ClusterModel]:
+    """Models after a fixed number of steps from given centers in raw units, for every group of `df`."""
+    stats = {
+        r[group]: (r["Rows"], np.array([r[f"Mean_{f}"] for f in features]), np.array([r[f"Std_{f}"] for f in features]))
+        for r in scaling(df, group, features).collect()
+    }
+    if not stats:
+        return []
+    points = _weighted_points(df, group, stats, features)
+    runs = [
+        {"id": i, "group": g, "k": len(centers), "centers": (np.asarray(centers, float) - stats[g][1]) / stats[g][2]}
+        for i, g in enumerate(sorted(stats, key=str))
+    ]
+    for _ in range(steps):
+        _advance(points, group, runs, len(features))
+    _advance(points, group, runs, len(features), move=False)
+    return [ClusterModel(r["group"], r["k"], *stats[r["group"]][1:], r["centers"], r["cost"]) for r in runs]
+
+
 def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[str]) -> DataFrame:
     """Distinct scaled points with their row counts, staged once for all iterations.
 

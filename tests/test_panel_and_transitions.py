@@ -126,6 +126,9 @@ def test_revenue_share_counts_only_months_with_the_grade(spark):
     df = spark.createDataFrame(rows, "AnalysisMonthStr string, Customer_Grade string, Monetary double")
     got = dict(T.revenue_share_by_grade(df).collect())
     assert got == {L1: 25.0, L2: 87.5}
+    # Rows without a grade count in the month's revenue.
+    df = df.union(spark.createDataFrame([("2011-02", None, 5.0)], df.schema))
+    assert dict(T.revenue_share_by_grade(df).collect()) == {L1: 25.0, L2: 62.5}
 
 
 def test_median_split_ties(spark):

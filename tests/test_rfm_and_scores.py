@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import date, datetime
 
 import numpy as np
@@ -5,6 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.config import RetailConfig
+from ledgerlens.functions import columns as C
 from ledgerlens.operators import products, rfm as R, scores as S
 from ledgerlens.operators.facts import order_months
 
@@ -129,3 +132,30 @@ def test_share_of_a_missing_class_is_null(spark):
     got = products.abc_revenue_share(products.add_abc(sales(spark, [("x", 1.0, 5.0)]))).toPandas()
     assert list(got.ABC_Class) == ["A", "B", "C"]
     assert got.Share.isna().tolist() == [True, True, False] and got.Share[2] == 1.0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_totals_and_fine_prices_keep_their_money(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        lines = spark.createDataFrame([("a", 1.0, 9e14), ("a", 1.0, 3e14), ("b", 3.0, 0.000001), ("b", 1.0, 0.000002)], "StockCode string, Quantity double, Revenue double")
+        got = {r.StockCode: r for r in products.analyze_products(lines).collect()}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+    assert got["a"].Revenue == 1.2e15 and got["b"].Revenue == 0.000003
+    assert got["a"].CumulativeRevenue == 1.2e15 and got["b"].ABC_Class == "C"
+
+
+def test_revenue_without_a_class_counts_in_its_segment(spark):
+    pairs = spark.createDataFrame([("VIP", "A", 60.0), ("VIP", None, 40.0)], "Segment string, ABC_Class string, Revenue double")
+    rows = S.segment_abc_mix(pairs).collect()
+    assert [(r.ABC_Class, r.TotalRevenue, r.Ratio) for r in rows] == [("A", 100.0, 0.6)]
+
+
+def test_ids_beyond_whole_numbers_are_missing(spark):
+    df = spark.createDataFrame([(17850.0,), (float("inf"),), (1e20,), (float("nan"),), (None,)], "x double")
+    assert [r.x for r in df.select(C.as_id("x").alias("x")).collect()] == ["17850", None, None, None, None]
+
+
+def test_shifting_a_leap_day():
+    assert replace(RetailConfig(), start=date(2012, 2, 29)).shifted(1).start == date(2013, 2, 28)

@@ -1,4 +1,7 @@
 import os
+import tempfile
+from dataclasses import replace
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,8 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 from ledgerlens.operators import clean as K
 from ledgerlens.plans import analysis
-from ledgerlens.session import shared_folder
+from ledgerlens.operators import rfm
+from ledgerlens.session import release, shared_folder, stage
 from ledgerlens.sources import readers, sinks
 from ledgerlens.sources.retail_view import VIEW_CONFIG, retail_lines
 from tests.conftest import plan_of
@@ -67,8 +71,37 @@ def test_cleaning_prunes_and_pushes_down(spark, tmp_path):
     assert "Exchange" in plan and plan.count("Exchange") == 1
 
 
-def test_the_session_names_the_shared_folder(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_parts_of_unlike_types_are_stacked_as_text(spark, tmp_path):
+    spark.createDataFrame([(536365, 2.5)], "Invoice int, Price double").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("C536379", 7)], "Invoice string, Quantity int").write.parquet(str(tmp_path / "b"))
+    got = readers.load_parts(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("Invoice").collect()
+    assert [(r.Invoice, r.Price, r.Quantity) for r in got] == [("536365", "2.5", None), ("C536379", None, "7")]
+
+
+def test_staged_tables_lie_in_the_shared_folder_and_can_be_released(spark):
+    assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    before = set(os.listdir(tempfile.gettempdir()))
+    other = spark.newSession()
+    assert stage(other.range(3)).count() == 3
+    assert os.listdir(shared_folder(spark))
+    kept = f"{shared_folder(spark)}-kept"
+    os.rename(shared_folder(spark), kept)
+    os.makedirs(shared_folder(spark))
+    release(spark)
+    assert not os.path.exists(shared_folder(spark))
+    os.rename(kept, shared_folder(spark))
+    assert not [f for f in set(os.listdir(tempfile.gettempdir())) - before if "staged" in f or "ledgerlens" in f]
+
+
+def test_static_year_may_begin_inside_a_month(spark, folder):
+    config = replace(VIEW_CONFIG, static_start=date(2000, 1, 15), static_end=date(2000, 12, 20))
+    base = analysis.prepare(retail_lines(spark, folder), config)
+    lines = base.static.join(base.rfm.select("CustomerID"), "CustomerID", "left_semi")
+    want = {r.StockCode: round(r.m, 4) for r in lines.groupBy("StockCode").agg(F.sum("Revenue").alias("m")).collect()}
+    months = base.product_months().where("PeriodLines > 0").groupBy("StockCode").agg(F.sum("PeriodMoney").alias("m"))
+    assert {r.StockCode: round(float(r.m), 4) for r in months.collect()} == pytest.approx(want)
+    plain = rfm.create_rfm(base.static, config.static_end)
+    assert sorted(base.rfm_all.collect()) == sorted(plain.collect())
 
 
 def test_whole_analysis(spark, folder, tmp_path):
