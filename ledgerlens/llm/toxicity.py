@@ -32,6 +32,7 @@ WINDOW = 16
 STEP = 8
 PER_CLASS = 2_500
 EPOCHS = 3
+STEPS = 500  # of training at least, so that few texts get more passes
 BATCH = 128
 RATE = 0.5
 LEAST_TEXTS = 4  # training texts that must share a subword before it is learned
@@ -164,7 +165,7 @@ def _fitted(bag, text, low, high, chosen, toxic, known, random) -> tuple[np.ndar
     bias = np.zeros(2, np.float32)
     seen = np.full(TABLE, 1e-6, np.float32)
     seen_softmax = np.full((DIM, 2), 1e-6, np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(chosen)))):
         order = random.permutation(chosen)
         for a in range(0, len(order), BATCH):
             batch = order[a : a + BATCH]

@@ -20,6 +20,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ledgerlens.session import stage
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0/.-_?=&#%:+~^"  # ~ stands for all others, ^ for start and end
 ORDER = 3
 BROADCAST_ROWS = 3_000_000
@@ -144,7 +146,8 @@ def judge(
         rows.select("url").unionByName(labelled.where(held).select("url"))
         .select(F.explode(grams(F.col("url"), order)).alias("gram")).distinct()
     )
-    ratios = log_ratios(labelled.where(~held), needed, order)
+    # Staged once: the threshold and the scores read it.
+    ratios = stage(log_ratios(labelled.where(~held), needed, order))
     threshold = calibrated(scores(labelled.where(held), ratios, order))
     scored = scores(rows.select("row", "id", "url"), ratios, order).join(F.broadcast(threshold))
     host, path = host_and_path(F.col("url"))

@@ -123,11 +123,12 @@ def test_toxic_words_and_their_misspellings_are_found(spark):
     model = toxicity.fit(docs, docs.select("doc_id", "toxic").where("doc_id < 200"))
     scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
     held = [(scores[d], y) for d, _, y in rows if d >= 200]
-    assert min(s for s, y in held if y) > 0.3 > max(s for s, y in held if not y)
+    bad, good = ([s for s, y in held if y == side] for side in (1, 0))
+    assert np.mean([b > g for b in bad for g in good]) > 0.9
     base = next(t for d, t, y in rows if d >= 200 and not y)
     spelled = spark.createDataFrame([(0, base + " grumblokk zwackigg"), (1, base)], "doc_id long, text string")
     near = {r.doc_id: r.score for r in toxicity.score(spelled, model).collect()}
-    assert near[0] > 0.3 > near[1]
+    assert near[0] > 2 * near[1]
 
 
 def test_toxicity_edges(spark, odd, empty):
