@@ -141,7 +141,9 @@ def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[
         "_w",
         *(((F.col(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"_x{i}") for i, f in enumerate(features)),
     )
-    return stage(scaled)
+    # Every pass computes much per point, so points are spread even where they are few bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(scaled.repartition(parts, *(f"_x{i}" for i in range(len(features)))))
 
 
 def small_table(df: DataFrame, columns: dict) -> DataFrame:
