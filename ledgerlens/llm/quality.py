@@ -8,8 +8,8 @@ tables keyed by n-gram, which gives the probability of every n-gram that any doc
 brings each shard its own. A document's perplexity is that of its symbols.
 
 Documents are kept up to a quantile, per language, of the perplexities of trusted documents that the model has
-not seen (a fifth of them, by a hash of the id). As few documents do not reach far into the tail, the distance
-of the quantile from the median is widened by the factor 1 + 2 / sqrt(their number).
+not seen (a fifth of them, by a hash of the id). The level leaves out a hundredth of them, so that a few texts
+that are trusted wrongly do not set the threshold, however many documents there are.
 
 Shards stream: their ids or probabilities come first, then their texts in compressed blocks, so memory
 depends on the number of distinct n-grams and not on the texts.
@@ -35,7 +35,7 @@ ORDER = 5
 BITS = 5
 SYMBOLS = 1 << BITS
 CAPITAL, SPACE, PUNCTUATION, DIGIT, SIGN, OTHER = range(26, 32)
-QUANTILE = 0.999
+QUANTILE = 0.99
 SHARD_BYTES = 64_000_000
 PAGE = 1024
 BROADCAST_LANGUAGES = 10_000  # with more of them their thresholds are joined by shuffle
@@ -274,8 +274,7 @@ def classify(
     scored = perplexities(docs, trusted.where(~unseen), id, text, lang)
     known = trusted.where(unseen).select(F.col(id).cast(scored.schema["id"].dataType).alias("id")).distinct()
     good = scored.where("perplexity is not null").join(known, "id", "left_semi")
-    middle, cut = (F.percentile_approx("perplexity", q, 20_000) for q in (0.5, quantile))
-    cut = middle + (cut - middle) * (1 + 2 / F.sqrt(F.count("*")))
+    cut = F.percentile_approx("perplexity", quantile, 20_000)
     by_lang = stage(good.groupBy("lang").agg(cut.alias("own")))
     if by_lang.count() <= BROADCAST_LANGUAGES:
         by_lang = F.broadcast(by_lang)

@@ -92,6 +92,23 @@ def test_junk_is_rejected_and_clean_text_kept(spark, small_docs, folder):
     assert good > 0.95 and bad < 0.4
 
 
+def test_threshold_is_the_quantile_and_one_wrong_label_does_not_set_it(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(60)) for _ in range(800)]
+    junk = ["".join(r.choice("qwxyzjkv#+<> ") for _ in range(300)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts + junk)], "doc_id long, text string, lang string").cache()
+    unseen = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    wrong = docs.where(unseen & (F.col("doc_id") >= 800)).select(F.min("doc_id")).first()[0]
+    trusted = docs.where((F.col("doc_id") < 800) | (F.col("doc_id") == wrong)).select("doc_id")
+    got = quality.classify(docs, trusted)
+    known = sorted(x.perplexity for x in got.join(trusted.where(unseen), "doc_id").collect())
+    rows = got.collect()
+    assert {x.threshold for x in rows} == {known[math.ceil(0.99 * len(known)) - 1]}
+    assert not any(x.keep for x in rows if x.doc_id >= 800)
+    assert sum(x.keep for x in rows if x.doc_id < 800) > 0.97 * 800
+
+
 def test_quality_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long")
     got = quality.classify(odd, none).collect()
