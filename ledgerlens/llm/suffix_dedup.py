@@ -36,7 +36,8 @@ GRAM = 192
 PER_ARRAY = 24  # segments of a bucket that share one suffix array
 BATCH_BYTES = 1_500_000  # of strings whose arrays are built in step
 PIECE = 1_000_000
-PLACE_BITS = np.uint64(24)
+STRETCH = 1_000_000  # windows of a long text that are hashed at a time
+CUT_BYTES = 16_000_000  # of segments that leave a task as one batch
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -65,36 +66,43 @@ def lowest_place(hashes: np.ndarray, width: int) -> np.ndarray:
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    mask = (np.uint64(1) << PLACE_BITS) - np.uint64(1)
-    key = hashes & ~mask | np.arange(len(hashes), dtype=np.uint64)
-    padded = np.full(-(-len(key) // width) * width, np.uint64(2**64 - 1))
-    padded[: len(key)] = key
+    padded = np.full(-(-len(hashes) // width) * width, np.uint64(2**64 - 1))
+    padded[: len(hashes)] = hashes
     blocks = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & mask).astype(np.int64)
+    ahead = np.minimum.accumulate(blocks, axis=1)
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
+    # Ahead, the lowest so far has the place where it first came; behind, the next place that is itself the lowest.
+    place = np.arange(len(padded)).reshape(blocks.shape)
+    new = np.ones(blocks.shape, bool)
+    new[:, 1:] = ahead[:, 1:] < ahead[:, :-1]
+    ahead_at = np.maximum.accumulate(np.where(new, place, 0).ravel())
+    behind_at = np.minimum.accumulate(np.where(blocks == behind, place, len(padded)).ravel()[::-1])[::-1]
+    last = slice(width - 1, width - 1 + n)
+    return np.where(behind.ravel()[:n] <= ahead.ravel()[last], behind_at[:n], ahead_at[last])
 
 
 def segments(data: np.ndarray, rows: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first window, number of windows and chosen hash of each segment."""
-    hashes = gram_hashes(data, gram)
+    found = [_stretch(data, rows, first, length, gram) for first in range(0, max(len(data) - length + 1, 1), STRETCH)]
+    row, start, count, mh, place = (np.concatenate(x) for x in zip(*found))
+    # A segment that goes on in the next stretch is one.
+    head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])])) if len(row) else row
+    return row[head], start[head], np.add.reduceat(count, head) if len(row) else count, mh[head]
+
+
+def _stretch(data: np.ndarray, rows: np.ndarray, first: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments, and the places of their strings, among the `STRETCH` windows from `first`; these reach length - 1 bytes further."""
+    hashes = gram_hashes(data[first : first + STRETCH + length - 1], gram)
     chosen = lowest_place(hashes, length - gram + 1)
-    size = np.diff(rows)
-    row = np.repeat(np.arange(len(size)), np.maximum(size - length + 1, 0))
-    start = ranges(rows[:-1], np.maximum(size - length + 1, 0))
+    low = np.maximum(rows[:-1], first)
+    size = np.maximum(np.minimum(rows[1:] - length + 1, first + STRETCH) - low, 0)
+    row, start = np.repeat(np.arange(len(size)), size), ranges(low, size)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
-    place = chosen[start]
+        return none, none, none, np.zeros(0, np.uint64), none
+    place = chosen[start - first]
     head = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (row[1:] != row[:-1])]))
-    return row[head], start[head], np.diff(np.append(head, len(start))), hashes[place[head]]
-
-
-def _long_pieces(batches, text: str) -> Iterator[pa.RecordBatch]:
-    for piece in pieces(batches, text, PIECE):
-        if len(utf8(piece.column(piece.schema.get_field_index(text)))[0]) >= 1 << int(PLACE_BITS):
-            raise ValueError(f"a text has {1 << int(PLACE_BITS)} bytes or more; split it first")
-        yield piece
+    return row[head], start[head], np.diff(np.append(head, len(start))), hashes[place[head]], place[head] + first
 
 
 def identified(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -108,7 +116,7 @@ def _chosen_strings(length: int, gram: int):
     """(key, mh, n): each document's chosen hashes and how many segments have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _long_pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             row, _, _, mh = segments(*utf8(piece.column(1)), length, gram)
             order = np.lexsort((mh, row))
             row, mh = row[order], mh[order]
@@ -122,30 +130,37 @@ def _chosen_strings(length: int, gram: int):
 
 
 def _cut(length: int, gram: int):
-    """Distinct segments of each document that have a wanted hash, with all their starts."""
+    """Segments of each document that have a wanted hash, equal ones of a batch as one row with all their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _long_pieces(batches, "text"):
+        for piece in pieces(batches, "text", PIECE):
             data, rows = utf8(piece.column(1))
             row, start, count, mh = segments(data, rows, length, gram)
-            whole = data.tobytes()
             wanted = [dict(zip(w.as_py(), p.as_py())) for w, p in zip(piece.column(2), piece.column(3))]
+            keys = piece.column(0).to_pylist()
             found: dict[tuple, list[int]] = {}
+            size = 0
             for r, s, c, m in zip(row.tolist(), start.tolist(), count.tolist(), mh.view(np.int64).tolist()):
                 if m in wanted[r]:
-                    found.setdefault((r, m, whole[s : s + c + length - 1]), []).append(s - int(rows[r]))
-            keys = piece.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([m for _, m, _ in found], pa.int64()),
-                    pa.array([(keys[r][0] * 256 + keys[r][1]) % wanted[r][m] for r, m, _ in found], pa.int32()),
-                    pa.array([wanted[r][m] for r, m, _ in found], pa.int32()),
-                    pa.array([keys[r] for r, _, _ in found], pa.binary()),
-                    pa.array(list(found.values()), pa.list_(pa.int32())),
-                    pa.array([b for _, _, b in found], pa.binary()),
-                ],
-                ["mh", "part", "parts", "key", "starts", "bytes"],
-            )
+                    if size >= CUT_BYTES:
+                        yield batch_of(found, keys, wanted)
+                        found, size = {}, 0
+                    found.setdefault((r, m, data[s : s + c + length - 1].tobytes()), []).append(s - int(rows[r]))
+                    size += c + length - 1
+            yield batch_of(found, keys, wanted)
+
+    def batch_of(found, keys, wanted):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([m for _, m, _ in found], pa.int64()),
+                pa.array([(keys[r][0] * 256 + keys[r][1]) % wanted[r][m] for r, m, _ in found], pa.int32()),
+                pa.array([wanted[r][m] for r, m, _ in found], pa.int32()),
+                pa.array([keys[r] for r, _, _ in found], pa.binary()),
+                pa.array(list(found.values()), pa.list_(pa.int32())),
+                pa.array([b for _, _, b in found], pa.binary()),
+            ],
+            ["mh", "part", "parts", "key", "starts", "bytes"],
+        )
 
     return run
 
@@ -270,14 +285,14 @@ def _kept(length: int):
         for piece in pieces(batches, "text"):
             keys, n_removed, n_spans, sha, kept = piece.column(0), [], [], [], []
             for text, low, high in zip(*(piece.column(k).to_pylist() for k in (1, 2, 3))):
-                data = np.frombuffer(text.encode(), np.uint8)
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, np.array(low), 1)
-                np.add.at(edge, np.array(high) + length - 1, -1)
-                gone = np.cumsum(edge)[:-1] > 0
-                rest = data[~gone].tobytes()
-                n_removed.append(int(gone.sum()))
-                n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
+                data, low = text.encode(), np.array(low)
+                order = np.argsort(low)
+                low, high = low[order], np.maximum.accumulate(np.array(high)[order] + length - 1)
+                first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+                low, high = low[first].tolist(), high[np.append(first[1:], len(high)) - 1].tolist()
+                rest = b"".join(data[a:b] for a, b in zip([0, *high], [*low, len(data)]))
+                n_removed.append(len(data) - len(rest))
+                n_spans.append(len(low))
                 sha.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest.decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays(

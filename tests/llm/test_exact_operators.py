@@ -59,6 +59,39 @@ def test_buckets_dealt_to_several_arrays_give_the_same(odd, odd_rows, monkeypatc
     assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=60), st.integers(1, 9))
+def test_lowest_places(values, width):
+    hashes = np.array(values, np.uint64) + np.uint64(2**64 - 5)
+    want = [k + values[k : k + width].index(min(values[k : k + width])) for k in range(len(values) - width + 1)]
+    assert suffix_dedup.lowest_place(hashes, width).tolist() == want
+
+
+def test_stretches_and_batches_of_a_text_give_the_same(odd, odd_rows, monkeypatch):
+    rng = np.random.default_rng(3)
+    data, rows = rng.integers(97, 99, 5000).astype(np.uint8), np.array([0, 10, 4000, 4030, 5000])
+    whole = suffix_dedup.segments(data, rows, 60, 24)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 70)
+    for a, b in zip(whole, suffix_dedup.segments(data, rows, 60, 24)):
+        assert a.tolist() == b.tolist()
+    monkeypatch.setattr(suffix_dedup, "CUT_BYTES", 500)
+    want = Counter((r[0], *x) for r, x in zip(odd_rows, brute.removals(texts_of(odd_rows), 60)))
+    assert by_row(suffix_dedup.removals(odd, length=60, gram=24), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_a_text_beyond_16_mb_loses_its_repeats(spark):
+    rng = np.random.default_rng(4)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, between = letters(700), letters(17_000_000)
+    long = f"1{passage}2{between}3{passage}4"
+    other = letters(500)
+    docs = spark.createDataFrame([(1, long), (2, f"5{between[16_900_000:16_900_450]}6{other}")], "doc_id long, text string")
+    kept = {1: f"12{between[:16_900_000]}{between[16_900_450:]}34", 2: f"56{other}"}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removals(docs).collect()}
+    sha = lambda k: hashlib.sha256(kept[k].encode()).hexdigest()
+    assert got == {1: (1850, 3, sha(1)), 2: (450, 1, sha(2))}
+
+
 def test_text_form_of_repeat_removal_keeps_rows_and_columns(odd):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
