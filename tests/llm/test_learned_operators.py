@@ -109,6 +109,22 @@ def test_threshold_is_the_quantile_and_one_wrong_label_does_not_set_it(spark):
     assert sum(x.keep for x in rows if x.doc_id < 800) > 0.97 * 800
 
 
+def test_characters_of_any_script_are_told_apart(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    clean = [" ".join(r.choice(words) for _ in range(60)) for _ in range(300)]
+    junk = [" ".join("".join(r.choice("abcdefgh") for _ in w) for w in t.split()) for t in clean[:30]]
+    other = {ord(a): b for a, b in zip("abcdefgh", "бвгд漢字ñ𝒜")}
+    frame = lambda texts: spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    trusted = spark.range(300).toDF("doc_id")
+    here = quality.perplexities(frame(clean + junk), trusted, folded=False).collect()
+    there = quality.perplexities(frame([t.translate(other) for t in clean + junk]), trusted, folded=False).collect()
+    assert {x.id: (x.n_symbols, round(x.perplexity, 5)) for x in here} == {x.id: (x.n_symbols, round(x.perplexity, 5)) for x in there}
+    got = quality.classify(frame([t.translate(other) for t in clean + junk]), trusted).collect()
+    assert not any(x.keep for x in got if x.doc_id >= 300)
+    assert sum(x.keep for x in got if x.doc_id < 300) > 0.95 * 300
+
+
 def test_quality_edges(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long")
     got = quality.classify(odd, none).collect()
