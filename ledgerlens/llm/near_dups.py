@@ -109,7 +109,7 @@ def _darts(text, seed, weight, low, high, depth, best, k) -> None:
         h = mix(h ^ np.uint64(0xD1B54A32D192ED03))
         hit = ranks <= depth[text][:, None]
         going = hit[:, -1]
-        if weight.max() < high:
+        if weight.min() < high:
             hit &= low + _uniform(mix(h)) * (high - low) <= weight[:, None]
         of, which = np.nonzero(hit)
         coordinate = (h[of, which] % np.uint64(k)).astype(np.int64)

@@ -220,6 +220,14 @@ def test_dart_signatures_estimate_weighted_similarity():
         assert np.isfinite(s).all()
 
 
+def test_weighted_signatures_do_not_depend_on_the_other_texts_of_a_piece():
+    names = near_dups.mix(np.arange(60, dtype=np.uint64))
+    light, heavy = np.full(30, 3.0), np.full(30, 9.0)
+    alone = near_dups.dart_signatures(np.zeros(30, int), names[:30], light, 1, 500)
+    beside = near_dups.dart_signatures(np.repeat([0, 1], 30), names, np.concatenate([light, heavy]), 2, 500)
+    assert np.array_equal(alone[0], beside[0])
+
+
 def check_packing(rows, sizes, lengths):
     """Every token once, no overlap, no bin beyond the cheapest length that holds it."""
     bins, seen = defaultdict(list), Counter()
