@@ -76,9 +76,10 @@ class Words(NamedTuple):
     first: np.ndarray  # word where each row starts, and the number of all words
 
 
-def words(data: np.ndarray, rows: np.ndarray) -> Words:
+def words(data: np.ndarray, rows: np.ndarray, table: np.ndarray | None = None) -> Words:
+    """Words of the rows; `table` says which bytes they consist of, if not those above."""
     lowered = lower_table()[data]
-    inside = word_table()[lowered]
+    inside = (word_table() if table is None else table)[lowered]
     begins = inside.copy()
     if len(data):
         begins[1:] &= ~inside[:-1]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm import decontaminate, fingerprints, language, near_dups, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
+from ledgerlens.llm import conversations, decontaminate, fingerprints, importance, language, near_dups, ngram_join, packing, quality, suffix_dedup, token_counts, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,19 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge(table(spark, folder, "pages"), RULES)
     return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components_of(table(spark, folder, "documents"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, folder, "conversations")))
