@@ -5,8 +5,9 @@ of fixed size), scaled to unit length. One linear support vector machine per fam
 chooses the family; within a family each pair of languages has its own machine, and the language with the
 most votes wins (then the larger sum of margins, then the first by name).
 
-The machines are trained in numpy, in one task, on a bounded sample of labelled rows (`per_language` of each
-language, in the order of a hash). Predicting needs one small matrix; no text is shuffled.
+The machines are trained in numpy, in one task, on a bounded sample of labelled rows: those of every language whose
+hash is low enough for `per_language` of them on average, or for an equal share of `SAMPLE_ROWS` where there are
+many languages. Only the sample goes to that task. Predicting needs one small matrix; no text is shuffled.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without training rows every
 text is `und`; a family of one language needs no second step; rows with the same id stay separate rows.
@@ -24,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.bytes_and_words import hashed_range, lower_table, mix, pieces, utf8
+from ledgerlens.session import stage
 
 # Families of related languages. A language not listed is a family of its own.
 FAMILIES = {
@@ -36,7 +38,8 @@ FAMILIES = {
 }
 TABLE = 4096
 PER_LANGUAGE = 1_200
-MAX_LANGUAGES = 200
+SAMPLE_ROWS = 24_000  # of all languages, at least one of each
+BROADCAST_LANGUAGES = 10_000  # with more of them their sizes are joined by shuffle
 COST = 20.0
 ROUNDS = 150
 
@@ -76,21 +79,26 @@ def features(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def machine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge loss; y is 1 or -1, both sides weigh the same."""
+def machines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and bias of a linear SVM with squared hinge loss for each column of y.
+
+    y is 1, -1, or 0 for texts that a machine does not see; both sides weigh the same.
+    """
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    each = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    y = y.astype(np.float32)
+    side = lambda s: s / np.maximum(2 * s.sum(axis=0), 1)
+    each = (side(y > 0) + side(y < 0)).astype(np.float32)
+    w = np.zeros((x.shape[1], y.shape[1]), np.float32)
     ahead, t = w.copy(), 1.0
-    step = 1.0 / (1.0 + 2 * COST * 2)
+    step = np.float32(1.0 / (1.0 + 2 * COST * 2))
     for _ in range(ROUNDS):
         slack = np.maximum(1 - y * (x @ ahead), 0) * each
-        gradient = ahead - 2 * COST * (x.T @ (slack * y).astype(np.float32))
+        gradient = ahead - np.float32(2 * COST) * (x.T @ (slack * y))
         new = ahead - step * gradient
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - w)
+        ahead = new + np.float32((t - 1) / t_new) * (new - w)
         w, t = new, t_new
-    return w
+    return w.T
 
 
 def train(texts: list[str], languages: list[str]) -> dict:
@@ -103,11 +111,15 @@ def train(texts: list[str], languages: list[str]) -> dict:
     lang = np.array(languages)
     family = np.array([family_of(n) for n in languages])
     pairs = [(a, b) for f in families for a, b in itertools.combinations([n for n in names if family_of(n) == f], 2)]
-    weights = [machine(x, np.where(family == f, 1.0, -1.0)) for f in families if len(families) > 1]
-    for a, b in pairs:
-        of = (lang == a) | (lang == b)
-        weights.append(machine(x[of], np.where(lang[of] == a, 1.0, -1.0)))
-    matrix = np.stack(weights) if weights else np.zeros((0, TABLE + 1), np.float32)
+    weights = [np.zeros((0, TABLE + 1), np.float32)]
+    if len(families) > 1:
+        weights.append(machines(x, np.where(family[:, None] == np.array(families), 1, -1)))
+    for f in families:
+        of = family == f
+        own = [(lang[of] == a).astype(int) - (lang[of] == b) for a, b in pairs if family_of(a) == f]
+        if own:
+            weights.append(machines(x[of], np.stack(own, axis=1)))
+    matrix = np.concatenate(weights)
     return {"matrix": matrix, "names": names, "families": families, "pairs": pairs}
 
 
@@ -158,19 +170,19 @@ def has_letter(text: str | None) -> bool:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang", id: str = "doc_id") -> dict:
     """The model, from a bounded sample of the rows of `docs` that have a language.
 
-    Sampling takes ids, in the order of their hash, of the MAX_LANGUAGES most frequent languages.
+    Rows that repeat an id and a language count once. However many languages there are, all are learned.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    known = rows.where("lang is not null and id is not null").select("id", "lang")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    chosen = None
-    for r in sorted(most, key=lambda r: r.lang):
-        part = known.where(F.col("lang") == r.lang).orderBy(F.xxhash64("id"), "id").limit(per_language)
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
+    known = rows.where("lang is not null and id is not null")
+    sizes = stage(known.groupBy("lang").agg(F.count("*").alias("of")))
+    n_languages = sizes.count()
+    if not n_languages:
         return {"matrix": np.zeros((0, TABLE + 1), np.float32), "names": [], "families": [], "pairs": []}
-    # At most per_language ids of each language.
-    sample = rows.join(F.broadcast(chosen.distinct()), ["id", "lang"]).select("text", "lang")
+    wanted = min(per_language, max(SAMPLE_ROWS // n_languages, 1))
+    draw = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    sizes = F.broadcast(sizes) if n_languages <= BROADCAST_LANGUAGES else sizes
+    drawn = known.join(sizes, "lang").where(draw < F.lit(float(wanted)) / F.col("of"))
+    sample = drawn.groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
@@ -179,7 +191,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", l
         rest = json.dumps({k: v for k, v in model.items() if k != "matrix"})
         yield pa.RecordBatch.from_arrays([pa.array([model["matrix"].astype(np.float32).tobytes()], pa.binary()), pa.array([rest])], ["matrix", "rest"])
 
-    made = sample.coalesce(1).mapInArrow(run, "matrix binary, rest string").collect()[0]
+    made = sample.mapInArrow(run, "matrix binary, rest string").collect()[0]
     return {"matrix": np.frombuffer(bytes(made.matrix), np.float32).reshape(-1, TABLE + 1)} | json.loads(made.rest)
 
 

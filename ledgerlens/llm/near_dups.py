@@ -91,7 +91,7 @@ def _throw(text, element, weight, depth, best, k) -> None:
     # Regions of an element: weights [0, 1), [1, 2), [2, 4), ... up to its own.
     low, high, region = 0.0, 1.0, 0
     while len(text):
-        seed = mix(element + np.uint64(region) * np.uint64(0xA24BAED4963EE407))
+        seed = mix(element + np.uint64(region * 0xA24BAED4963EE407 % 2**64))
         _darts(text, seed, weight, low, high, depth, best, k)
         over = weight > high
         text, element, weight = text[over], element[over], weight[over]

@@ -346,7 +346,7 @@ def repeated_strings(
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), changed."""
     found = repeated_strings(docs, length, gram, id, text).drop("kept")
     rows = join_by_text(identified(docs, id, text).select("id", "key", "sha", "n_bytes"), found)
     none = F.lit(0).cast("long")
@@ -356,6 +356,8 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str =
         F.coalesce("n_removed", none).alias("n_removed"),
         F.coalesce("n_spans", none).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        (F.col("n_bytes") - F.coalesce("n_removed", none)).alias("n_kept"),
+        (F.coalesce("n_removed", none) > 0).alias("changed"),
     )
 
 

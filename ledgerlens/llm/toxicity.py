@@ -226,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id: str
     # At most 2 * per_class ids.
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("text", "y")
+    # The join is made where the documents are; one task gets the sample alone.
+    sample = rows.join(F.broadcast(chosen[0].union(chosen[1])), "id").select("text", "y").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
@@ -242,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id: str
         rest = json.dumps({k: v for k, v in model.items() if k != "scores"})
         yield pa.RecordBatch.from_arrays([pa.array([model["scores"].tobytes()], pa.binary()), pa.array([rest])], ["scores", "rest"])
 
-    made = sample.coalesce(1).mapInArrow(run, "scores binary, rest string").collect()[0]
+    made = sample.mapInArrow(run, "scores binary, rest string").collect()[0]
     return {"scores": np.frombuffer(bytes(made.scores), np.float32)} | json.loads(made.rest)
 
 

@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import language, quality, toxicity, url_filter
+from ledgerlens.llm.bytes_and_words import hashed_range, mix, text_hashes
+from tests.llm import brute
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -164,6 +166,33 @@ def test_toxic_words_and_their_misspellings_are_found(spark):
     assert near[0] > 2 * near[1]
 
 
+def plain_toxicity(model, text):
+    """Score of a text by loops over its words, their subwords and its windows."""
+    factors = [int(f) | 1 for f in hashed_range(5, 41)]
+    hashed = lambda v: int(mix(np.array([v % 2**64], np.uint64))[0]) % toxicity.TABLE
+    values = []
+    for word in brute.words(text):
+        marked = [0, *(b + 1 for b in word), 0]
+        rows = [int(text_hashes([word])[0][0]) % toxicity.TABLE]
+        for n in (3, 4, 5):
+            rows += [hashed(n + sum(marked[i + k] * factors[k] for k in range(n))) for i in range(len(marked) - n + 1)]
+        values.append(sum(float(model["scores"][r]) for r in rows) / len(rows))
+    n, size = len(values), toxicity.WINDOW
+    starts = [k for k in range(0, n - size, toxicity.STEP)] + [max(n - size, 0)]
+    worst = max(sum(values[s : s + size]) / max(min(size, n), 1) for s in starts) + model["bias"]
+    return 1 / (1 + math.exp(-max(min(model["slope"] * worst + model["shift"], 30), -30)))
+
+
+def test_toxicity_scores_match_a_plain_version(spark, odd, odd_rows):
+    rows = toxic_texts(120, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    texts = [r[1] for r in rows[:40]] + [r[1] for r in odd_rows if len(r[1] or "") < 3000] + ["Long " * 2000]
+    many = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for r in toxicity.score(many, model).collect():
+        assert r.score == pytest.approx(plain_toxicity(model, texts[r.doc_id]), abs=1e-9)
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(k, k % 2) for k in range(30)] + [(3, 1), (900, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
@@ -185,6 +214,46 @@ def test_languages_are_told_apart_on_held_out_rows(spark, small_docs):
     assert set(model["families"]) == {"germanic", "romance"} and len(model["pairs"]) == 2
 
 
+def plain_votes(model, vector):
+    """Language by the largest family margin, then by votes of the pairs; ties by sums of confidence."""
+    margin = [float(w[:-1] @ vector + w[-1]) for w in model["matrix"]]
+    chance = lambda m: 1 / (1 + np.exp(-4 * m))
+    families = model["families"]
+    head = len(families) if len(families) > 1 else 0
+    family = families[int(np.argmax(margin[:head]))] if head else families[0]
+    votes = {n: 0.0 for n in model["names"] if language.family_of(n) == family}
+    for (a, b), m in zip(model["pairs"], margin[head:]):
+        if a in votes:
+            votes[a] += (m > 0) + chance(m) * 1e-3
+            votes[b] += (m <= 0) + chance(-m) * 1e-3
+    return max(sorted(votes), key=votes.get)
+
+
+def test_votes_match_a_plain_version(small_docs):
+    rows = small_docs.where("lang is not null and text is not null").select("text", "lang").limit(60).collect()
+    model = language.train([r.text for r in rows], [r.lang for r in rows])
+    data = [r.text.encode() for r in rows] + [b"", b"x", b"der the la"]
+    joined = np.frombuffer(b"".join(data), np.uint8)
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got, _ = language.predict(model, joined, starts)
+    assert got == [plain_votes(model, v) for v in language.features(joined, starts)]
+
+
+def test_more_languages_than_any_list_are_all_learned(spark):
+    rows = [(k * 10 + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * 12 + "xyz " * j, f"l{k:03}") for k in range(250) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model["names"] == sorted({r[2] for r in rows})
+    got = language.identify(docs, model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id // 10:03}" for r in got) > 0.98 * len(rows)
+
+
+def test_a_row_repeated_very_often_counts_once(spark):
+    rows = [(1, "immer wieder", "de")] * 500 + [(2 + k, f"the text {k}", "en") for k in range(20)] + [(40 + k, f"der Satz {k}", "de") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs)["names"] == ["de", "en"]
+
+
 def test_language_edges(spark, odd, empty):
     for docs in (odd, odd.where("lang = 'en'"), odd.where("lang is null"), empty):
         model = language.fit(docs)
