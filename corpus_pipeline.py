@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents with their columns, the last one the pieces of
 the packed sequences. Documents meet decisions about them by id and the digest of their text, so rows that
-share an id are told apart. Extra columns travel along; rows with null ids or texts are treated as the
-operators' docstrings say.
+share an id are told apart. A document's own columns travel as one, so extra columns may have any name; rows
+with null ids or texts are treated as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -14,21 +14,32 @@ from ledgerlens.llm import decontaminate, near_dups, packing, quality, suffix_de
 from ledgerlens.session import stage
 
 
+# Bytes of a repeated string that the third stage removes. A passage of 50 words has some 300 bytes, and 250 at
+# least: strings of 400, as in the query of that operator, would miss most passages of 50 to 60 words.
+REPEAT = 250
+REPEAT_GRAM = 112
+
+
 def _key() -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32))
 
 
 def _matching(docs: DataFrame, wanted: DataFrame, how: str) -> DataFrame:
-    """`docs` joined with `wanted` (__id, __text, ...) by id and text."""
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-    return docs.withColumn("__key", _key()).join(wanted, same, how)
+    """The rows of `docs` as (row, key), joined with `wanted` (id, text, ...) by id and text."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _key().alias("key"))
+    wanted = wanted.withColumnsRenamed({"id": "wanted_id", "text": "wanted_text"})
+    return rows.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("key") == F.col("wanted_text")), how)
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under a model of trusted text is not above their language's threshold."""
     trusted = quality.labelled_good(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = quality.classify(docs, trusted).where("keep").select(F.col("doc_id").alias("__id"), F.col("key").alias("__text")).distinct()
-    return _matching(docs, kept, "left_semi").select(docs.columns)
+    kept = quality.classify(docs, trusted).where("keep").select(F.col("doc_id").alias("id"), F.col("key").alias("text")).distinct()
+    return _columns(_matching(docs, kept, "left_semi"), docs)
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,23 +48,26 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # Rows that repeat id and text are counted, so that only they need to be told apart afterwards.
     texts = found.groupBy("class_key", "key").agg(F.first("doc_id").alias("id"), F.count("*").alias("n"))
     first = texts.groupBy("class_key").agg(F.min_by(F.struct("id", "key", "n"), "key").alias("one"))
-    first = first.select(F.col("one.id").alias("__id"), F.col("one.key").alias("__text"), F.col("one.n").alias("__n"))
+    first = first.select(F.col("one.id").alias("id"), F.col("one.key").alias("text"), F.col("one.n").alias("n"))
     rows = _matching(docs, first, "inner")
-    repeated = rows.where("__n > 1").dropDuplicates(["__key"])
-    return rows.where("__n = 1").unionByName(repeated).select(docs.columns)
+    repeated = rows.where("n > 1").dropDuplicates(["key"])
+    return _columns(rows.where("n = 1").unionByName(repeated), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that the corpus holds more than once."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Texts without the byte strings of REPEAT that the corpus holds more than once."""
+    left = suffix_dedup.without_repeats(docs, REPEAT, REPEAT_GRAM)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     rows = docs.select(F.struct("doc_id", _key().alias("key")).alias("row"), "text")
     found = decontaminate.contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), slop=0, id="row").where("n_hit > 0")
-    found = found.select(F.col("row.doc_id").alias("__id"), F.col("row.key").alias("__text")).distinct()
-    return _matching(docs, found, "left_anti").select(docs.columns)
+    found = found.select(F.col("row.doc_id").alias("id"), F.col("row.key").alias("text")).distinct()
+    return _columns(_matching(docs, found, "left_anti"), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
