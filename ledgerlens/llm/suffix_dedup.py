@@ -366,7 +366,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id:
     found = repeated_strings(docs, length, gram, id, text).select("key", "one", "copies", "kept")
     key = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
     # The document's own columns travel as one, so that their names are free.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id).alias("id"), key.alias("key"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).alias("id"), key.alias("key"))
     # Texts travel once: documents that lose nothing drop out before.
     losing = join_by_text(rows.select("id", "key"), found).where(F.col("kept").isNotNull()).distinct()
     losing = losing.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "kept")

@@ -55,7 +55,7 @@ def test_stages_keep_what_plain_versions_keep(spark, odd, inputs, tmp_path):
 
     before = rows_of(docs)
     docs = written(2)
-    want = brute.removals([r[text] for r in before], 400)
+    want = brute.removals([r[text] for r in before], pipeline.REPEAT)
     got = {(r[0], r[1]): r for r in rows_of(docs.select("doc_id", "n_chars", "text"))}
     assert docs.columns == columns and docs.count() == len(before)
     assert Counter(n - gone for n, gone, _, _ in want) == Counter(len((r[2] or "").encode()) for r in got.values())
@@ -80,6 +80,17 @@ def test_run_applies_the_stages_in_order(spark, folder):
     assert out.where("bin is not null").count() > 50 and out.agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_columns_of_any_name_travel_along(spark, odd, inputs):
+    extra = odd.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(["row", "key", "id", "n", "wanted_id", "__key", "a.b", "kept", "lang", "source"])))
+    docs = extra
+    for _, apply in pipeline.STAGES[:-1]:
+        out = apply(spark, docs, inputs)
+        assert out.columns == extra.columns
+        docs = spark.createDataFrame(out.collect(), extra.schema)
+    assert {tuple(r)[2:] for r in docs.collect()} == {tuple(range(10))}
+    assert pipeline.STAGES[-1][1](spark, docs, inputs).count() >= docs.count()
+
+
 def test_empty_documents(spark, empty, inputs):
     docs = empty
     for _, apply in pipeline.STAGES:
