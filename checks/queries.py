@@ -626,7 +626,7 @@ def _assigned(spark, folder) -> DataFrame:
 
 @query
 def ml7_silhouette(spark, folder):
-    return silhouette.euclidean(_assigned(spark, folder), ["_x0", "_x1", "_x2"])
+    return silhouette.euclidean_exact(_assigned(spark, folder), ["_x0", "_x1", "_x2"])
 
 
 @query

@@ -36,21 +36,23 @@ def fit_months(panel: DataFrame, config: RetailConfig) -> list[ClusterModel]:
 def evaluate_k(rfm: DataFrame, config: RetailConfig, distance: str = "squared") -> DataFrame:
     """Inertia and silhouette for each k that has more rows than clusters.
 
-    `distance` is 'squared' (two linear passes) or 'euclidean' (all pairs of distinct points), at any size.
+    `distance` is 'squared' (two linear passes), 'euclidean' (from cells, with the column Bound) or
+    'euclidean_exact' (all pairs of distinct points), at any size.
     """
-    if distance not in ("euclidean", "squared"):
-        raise ValueError("distance must be 'euclidean' or 'squared'")
+    methods = {"squared": silhouette.squared, "euclidean": silhouette.euclidean, "euclidean_exact": silhouette.euclidean_exact}
+    if distance not in methods:
+        raise ValueError(f"distance must be one of {', '.join(methods)}")
     models = kmeans.fit(_one_group(rfm), _ALL, config.k_values, spare_rows=1, **_fit_options(config))
     spark = rfm.sparkSession
     if not models:
-        return spark.createDataFrame([], "k int, Inertia double, Silhouette double, Distance string")
+        bound = ", Bound double" if distance == "euclidean" else ""
+        return spark.createDataFrame([], f"k int, Inertia double, Silhouette double{bound}, Distance string")
     labelled = kmeans.assign(_one_group(rfm), _ALL, models)
     axes = [f"_x{i}" for i in range(len(FEATURES))]
-    method = silhouette.euclidean if distance == "euclidean" else silhouette.squared
-    scores = method(labelled.select("K", *axes, "Cluster"), axes)
+    scores = methods[distance](labelled.select("K", *axes, "Cluster"), axes)
     inertia = spark.createDataFrame([(m.k, m.cost) for m in models], "K int, Inertia double")
     return inertia.join(scores, "K", "left").select(
-        F.col("K").alias("k"), "Inertia", "Silhouette", F.lit(distance).alias("Distance")
+        F.col("K").alias("k"), "Inertia", *scores.columns[1:], F.lit(distance).alias("Distance")
     )
 
 

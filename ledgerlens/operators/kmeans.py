@@ -2,23 +2,25 @@
 
 All fits advance together, whatever the size of the groups. Starting centers come from k-means||: a few passes
 draw candidates with odds proportional to weight and squared distance, and the driver picks k of them by weight.
-Then one job per Lloyd iteration assigns every point to its nearest center in every unfinished fit and sums the
-points per center. Only centers and candidates (fits x k rows) come back to the driver; no Python runs on workers.
+Then one job per Lloyd iteration reads every point once, meets it with the centers of all unfinished fits as one
+matrix, and adds up per task what it finds; only centers and candidates (fits x k rows) come back to the driver.
 
-Draws are hashes of the points and sums are decimals, so neither depends on how rows are dealt to tasks.
+Draws are hashes of the points and sums are whole numbers of a fixed fraction, so neither depends on how rows are
+dealt. Distances are not bounded from pass to pass: with three features and ten centers they are quicker to
+compute than bounds are to read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.config import FEATURES
+from ledgerlens.operators import batch_sums
 from ledgerlens.session import stage
 
 _FAR = 1e150  # coordinate of a padding center: never the nearest one
@@ -86,10 +88,10 @@ def fit(
     ]
     if not plan:
         return []
-    points = _weighted_points(df, group, stats, features)
-    runs = [{"id": i, "group": g, "k": k, "init": init} for i, (g, k, init) in enumerate(plan)]
-    _place_seeds(points, group, runs, seed, len(features))
-    _run_together(points, group, runs, max_iter, tol, len(features))
+    points, numbers = _weighted_points(df, group, stats, features)
+    runs = [{"group": g, "number": numbers[g], "k": k, "init": init} for g, k, init in plan]
+    _place_seeds(points, runs, seed, len(features))
+    _run_together(points, runs, max_iter, tol, len(features))
     best: dict[tuple, dict] = {}
     for run in runs:
         key = (run["group"], run["k"])
@@ -111,39 +113,42 @@ def from_centers(
     }
     if not stats:
         return []
-    points = _weighted_points(df, group, stats, features)
+    points, numbers = _weighted_points(df, group, stats, features)
     runs = [
-        {"id": i, "group": g, "k": len(centers), "centers": (np.asarray(centers, float) - stats[g][1]) / stats[g][2]}
-        for i, g in enumerate(sorted(stats, key=str))
+        {"group": g, "number": numbers[g], "k": len(centers), "centers": (np.asarray(centers, float) - stats[g][1]) / stats[g][2]}
+        for g in sorted(stats, key=str)
     ]
     for _ in range(steps):
-        _advance(points, group, runs, len(features))
-    _advance(points, group, runs, len(features), move=False)
+        _advance(points, runs, len(features))
+    _advance(points, runs, len(features), move=False)
     return [ClusterModel(r["group"], r["k"], *stats[r["group"]][1:], r["centers"], r["cost"]) for r in runs]
 
 
-def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[str]) -> DataFrame:
-    """Distinct scaled points with their row counts, staged once for all iterations.
+def _weighted_points(df: DataFrame, group: str, stats: dict, features: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Distinct scaled points (_g, _w, _x0, ...) with their row counts, staged once for all iterations, and the
+    number `_g` of each group.
 
     Idle customers are all the same point; as one weighted row they cost nothing.
     """
     distinct = df.groupBy(group, *features).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    numbers = {g: i for i, g in enumerate(stats)}
     scale = small_table(
         df,
         {
             group: list(stats),
+            "_g": np.arange(len(stats), dtype=np.int32),
             **{f"_m{i}": [float(s[1][i]) for s in stats.values()] for i in range(len(features))},
             **{f"_s{i}": [float(s[2][i]) for s in stats.values()] for i in range(len(features))},
         },
     )
     scaled = distinct.join(F.broadcast(scale), group).select(
-        group,
+        "_g",
         "_w",
         *(((F.col(f) - F.col(f"_m{i}")) / F.col(f"_s{i}")).alias(f"_x{i}") for i, f in enumerate(features)),
     )
     # Every pass computes much per point, so points are spread even where they are few bytes.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stage(scaled.repartition(parts, *(f"_x{i}" for i in range(len(features)))))
+    return stage(scaled.repartition(parts, *(f"_x{i}" for i in range(len(features))))), numbers
 
 
 def small_table(df: DataFrame, columns: dict) -> DataFrame:
@@ -151,47 +156,64 @@ def small_table(df: DataFrame, columns: dict) -> DataFrame:
     return df.sparkSession.createDataFrame(pa.table(columns))
 
 
-def _place_seeds(points: DataFrame, group: str, runs: list[dict], seed: int, width: int) -> None:
-    """Starting centers of every run."""
-    axes = [f"_x{i}" for i in range(width)]
-    place = F.array(*axes)
-
-    def luck(number: int) -> Column:
-        """A draw from (0, 1] for each point and run."""
-        bits = F.xxhash64(*axes, F.lit(seed), F.col("_k"), F.col("_init"), F.lit(number)).bitwiseAND(F.lit((1 << 53) - 1))
-        return (bits + 1) / F.lit(float(1 << 53))
-
-    def met(values: dict[str, list]) -> DataFrame:
-        table = {name: [run[key] for run in runs] for name, key in ((group, "group"), ("_run", "id"), ("_k", "k"), ("_init", "init"))}
-        return points.join(F.broadcast(small_table(points, table | values)), group)
-
-    def far(candidate: Column) -> Column:
-        return _squared([F.col(a) for a in axes], [candidate[i] for i in range(width)])
-
-    # The point with the lowest -ln(luck) / weight is a draw by weight.
-    wait = -F.log(luck(0)) / F.col("_w")
-    low = {r["_run"]: r["t"] for r in met({}).groupBy("_run").agg(F.min(wait).alias("t")).collect()}
-    rows = met({"_t": [low[run["id"]] for run in runs]}).where(wait == F.col("_t")).select("_run", place.alias("c")).collect()
-    found: dict[int, set] = {run["id"]: set() for run in runs}
-    for r in rows:
-        found[r["_run"]].add(tuple(r["c"]))
-    chosen = lambda: {"_c": [[list(c) for c in sorted(found[run["id"]])] for run in runs]}
-    near = F.array_min(F.transform("_c", far))
-    for number in range(1, _ROUNDS + 1):
-        sums = met(chosen()).groupBy("_run").agg(F.sum((F.col("_w") * near).cast(_EXACT)).cast("double").alias("s")).collect()
-        cost = {r["_run"]: r["s"] for r in sums}
-        drawn = met(chosen() | {"_cost": [cost[run["id"]] for run in runs]})
-        odds = 2 * F.col("_k") * F.col("_w") * near / F.nullif(F.col("_cost"), F.lit(0.0))
-        for r in drawn.where(luck(number) < odds).select("_run", place.alias("c")).collect():
-            found[r["_run"]].add(tuple(r["c"]))
-    gaps = F.transform("_c", far)
-    nearest = met(chosen()).select("_run", "_w", F.array_position(gaps, F.array_min(gaps)).alias("at"))
-    mass = {(r["_run"], r["at"]): r["w"] for r in nearest.groupBy("_run", "at").agg(F.sum("_w").alias("w")).collect()}
+def _by_number(runs: list[dict]) -> dict[int, list[dict]]:
+    """Runs of each group, in the order in which their centers are stacked."""
+    out: dict[int, list[dict]] = {}
     for run in runs:
-        x = np.array(sorted(found[run["id"]]))
-        w = np.array([mass.get((run["id"], j + 1), 0.0) for j in range(len(x))])
-        random = np.random.default_rng([seed, run["k"], run["init"]])
-        run["centers"] = _settled(x, w, _spread_seeds(x, w, run["k"], random))
+        out.setdefault(run["number"], []).append(run)
+    return out
+
+
+def _stacked(rows: Sequence[np.ndarray], width: int) -> np.ndarray:
+    """(runs, most rows, axes); places that a run does not have are too far to be the nearest."""
+    out = np.full((len(rows), max(len(r) for r in rows), width), _FAR)
+    for place, r in zip(out, rows):
+        place[: len(r)] = r
+    return out
+
+
+def _key(run: dict, seed: int, number: int) -> int:
+    return int(np.random.SeedSequence([seed, run["k"], run["init"], number]).generate_state(1, np.uint64)[0])
+
+
+def _place_seeds(points: DataFrame, runs: list[dict], seed: int, width: int) -> None:
+    """Starting centers of every run."""
+    groups = _by_number(runs)
+    found = {id(run): [] for run in runs}
+    for number in range(_ROUNDS + 1):
+        keys = {g: np.array([_key(run, seed, number) for run in of], np.uint64) for g, of in groups.items()}
+        chosen = {g: _stacked([np.array(found[id(run)]) for run in of], width) if number else None for g, of in groups.items()}
+        many = 2 * max(run["k"] for run in runs) if number else 1
+        race = points.mapInArrow(batch_sums.drawn(keys, chosen, many, width), "g int, r int, t double, c array<double>")
+        # The tasks' first ones, of which the first go on.
+        won = race.groupBy("g", "r").agg(F.slice(F.array_sort(F.collect_list(F.struct("t", "c"))), 1, many).alias("first"))
+        for row in won.collect():
+            run = groups[row.g][row.r]
+            found[id(run)] += [tuple(e.c) for e in row.first[: 2 * run["k"] if number else 1]]
+    candidates = {id(run): np.array(sorted(set(found[id(run)]))) for run in runs}
+    for run, mass in zip(runs, _masses(points, runs, candidates, width)):
+        x, random = candidates[id(run)], np.random.default_rng([seed, run["k"], run["init"]])
+        run["centers"] = _settled(x, mass, _spread_seeds(x, mass, run["k"], random))
+
+
+def _masses(points: DataFrame, runs: list[dict], centers: dict[int, np.ndarray], width: int) -> list[np.ndarray]:
+    out = {id(run): np.zeros(len(centers[id(run)])) for run in runs}
+    for run, place, row in _passed(points, runs, centers, width):
+        out[id(run)][place] = row["mass"]
+    return [out[id(run)] for run in runs]
+
+
+def _passed(points: DataFrame, runs: list[dict], centers: dict[int, np.ndarray], width: int):
+    """One pass over the points: (run, center, sums) wherever points are nearest to a center."""
+    groups = _by_number(runs)
+    stacked = {g: _stacked([centers[id(run)] for run in of], width) for g, of in groups.items()}
+    names = batch_sums.names(width)
+    schema = ", ".join(f"{n} {'int' if n in ('g', 'place') else 'long'}" for n in names)
+    partial = points.mapInArrow(batch_sums.sums(stacked, width), schema)
+    total = partial.groupBy("g", "place").agg(*(F.sum(n).alias(n) for n in names[2:]))
+    for row in total.toArrow().to_pylist():
+        number, place = divmod(row["place"], stacked[row["g"]].shape[1])
+        yield groups[row["g"]][number], place, row
 
 
 def _settled(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -206,14 +228,14 @@ def _settled(x: np.ndarray, w: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return centers
 
 
-def _run_together(points, group, runs, max_iter, tol, width) -> None:
+def _run_together(points: DataFrame, runs: list[dict], max_iter: int, tol: float, width: int) -> None:
     """All restarts in lockstep, one pass over the points per iteration."""
     moving = list(runs)
     for _ in range(max_iter):
         if not moving:
             break
-        moving = [run for run in _advance(points, group, moving, width) if run["shift"] > tol]
-    _advance(points, group, runs, width, move=False)
+        moving = [run for run in _advance(points, moving, width) if run["shift"] > tol]
+    _advance(points, runs, width, move=False)
 
 
 def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -239,47 +261,21 @@ def _spread_seeds(x: np.ndarray, w: np.ndarray, k: int, rng) -> np.ndarray:
     return np.array(chosen)
 
 
-def _advance(points: DataFrame, group: str, runs: list[dict], width: int, move: bool = True) -> list[dict]:
+def _advance(points: DataFrame, runs: list[dict], width: int, move: bool = True) -> list[dict]:
     """One pass over the points: new centers, their shift and the cost, per run."""
-    axes = [f"_x{i}" for i in range(width)]
-    widest = max(run["k"] for run in runs)
-    flat = {
-        run["id"]: np.vstack([run["centers"], np.full((widest - run["k"], width), _FAR)]).ravel() for run in runs
-    }
-    table = small_table(
-        points,
-        {
-            group: [run["group"] for run in runs],
-            "_run": [run["id"] for run in runs],
-            **{f"_c{i}": [float(c[i]) for c in flat.values()] for i in range(widest * width)},
-        },
-    )
-    placed = points.join(F.broadcast(table), group)
-    distances = [
-        _squared([F.col(a) for a in axes], [F.col(f"_c{j * width + i}") for i in range(width)]) for j in range(widest)
-    ]
-    sums = (
-        _nearest(placed.select("_run", "_w", *axes, *(d.alias(f"_d{j}") for j, d in enumerate(distances))), widest)
-        .groupBy("_run", "_cluster")
-        .agg(
-            F.sum("_w").alias("_mass"),
-            F.sum((F.col("_w") * F.col("_best")).cast(_EXACT)).alias("_cost"),
-            *(F.sum((F.col("_w") * F.col(a)).cast(_EXACT)).alias(a) for a in axes),
-        )
-        .toArrow()
-        .to_pydict()
-    )
-    moved = {run["id"]: run["centers"].copy() for run in runs}
-    cost = dict.fromkeys(moved, Decimal(0))
-    for i, run_id in enumerate(sums["_run"]):
-        center = [float(sums[a][i]) / sums["_mass"][i] for a in axes]
-        moved[run_id][sums["_cluster"][i]] = center
-        cost[run_id] += sums["_cost"][i]
+    # An empty cluster keeps its center.
+    moved = {id(run): run["centers"].copy() for run in runs}
+    cost = {id(run): [0, 0] for run in runs}
+    for run, place, row in _passed(points, runs, {id(run): run["centers"] for run in runs}, width):
+        center = [batch_sums.joined(row[f"whole{i}"], row[f"fine{i}"]) / row["mass"] for i in range(width)]
+        moved[id(run)][place] = center
+        cost[id(run)][0] += row["cost_whole"]
+        cost[id(run)][1] += row["cost_fine"]
     for run in runs:
-        run["cost"] = float(cost[run["id"]])
+        run["cost"] = batch_sums.joined(*cost[id(run)])
         if move:
-            run["shift"] = float(((moved[run["id"]] - run["centers"]) ** 2).sum())
-            run["centers"] = moved[run["id"]]  # an empty cluster keeps its center
+            run["shift"] = float(((moved[id(run)] - run["centers"]) ** 2).sum())
+            run["centers"] = moved[id(run)]
     return runs
 
 

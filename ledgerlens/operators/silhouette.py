@@ -1,9 +1,11 @@
 """Mean silhouette of an assignment, in two distances.
 
-`squared` uses squared Euclidean distance: cluster sums are enough, two linear
-passes. `euclidean` is the plain distance; it has no such shortcut and compares
-every distinct point with every other, so its work grows with the square of
-the table.
+`squared` uses squared Euclidean distance: cluster sums are enough, two linear passes. For the plain distance
+`euclidean` gives lower and upper bounds from cells: points of a cluster that share a cell of a grid are met as one,
+by their centroid and spread. The mean distance from a point to the points of a cell is at least the distance D to
+their centroid and at most sqrt(D^2 + s) with s their mean squared distance from it (both by Jensen's inequality),
+so every mean has a bracket, and so has the silhouette. Its work grows with the points times the cells that hold
+any; a finer grid narrows the bracket. `euclidean_exact` compares every distinct point with every other.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.session import stage
@@ -25,8 +28,8 @@ def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str
     norm = sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0]))
     clusters = df.groupBy(by, label).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
-        F.sum(norm).alias("q"),
-        F.array(*(F.sum(a) for a in axes)).alias("s"),
+        _exact_sum(norm).alias("q"),
+        F.array(*(_exact_sum(F.col(a)) for a in axes)).alias("s"),
     )
     # A handful of clusters per model, gathered into one array per model.
     packed = clusters.groupBy(by).agg(F.collect_list(F.struct(F.col(label).alias("c"), "n", "q", "s")).alias("_all"))
@@ -42,14 +45,86 @@ def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str
     # Rounding can leave a tiny negative sum where all points coincide.
     a = F.greatest(F.col("_own"), F.lit(0.0)) / F.nullif(F.col("_n") - 1, F.lit(0.0))
     value = F.when(F.col("_n") > 1, _score(a, F.col("_b"))).otherwise(0.0)
-    return scored.groupBy(by).agg(F.avg(value).alias("Silhouette"))
+    return scored.groupBy(by).agg((_exact_sum(value) / F.count(F.lit(1))).alias("Silhouette"))
+
+
+def _exact_sum(value):
+    """A sum that does not depend on the order of its rows."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
 
 
 def _score(a, b):
     return F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
 
 
-def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
+def _cells(df: DataFrame, axes: Sequence[str], label: str, by: str, grid: int) -> DataFrame:
+    """(by, label, n, centroid, spread) of the points of a cluster in a cell of `grid` steps per axis."""
+    ends = df.groupBy(by).agg(*(f(a).alias(f"{n}_{a}") for a in axes for n, f in (("_low", F.min), ("_high", F.max))))
+    # One row per model.
+    placed = df.join(F.broadcast(ends), by)
+    step = lambda a: (F.col(f"_high_{a}") - F.col(f"_low_{a}")) / grid
+    cell = lambda a: F.coalesce(F.least(F.floor((F.col(a) - F.col(f"_low_{a}")) / F.nullif(step(a), F.lit(0.0))), F.lit(grid - 1)), F.lit(0))
+    held = placed.groupBy(by, label, *(cell(a).alias(f"_at_{a}") for a in axes)).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *((_exact_sum(F.col(a)) / F.count(F.lit(1))).alias(f"_c_{a}") for a in axes),
+        (sum((_exact_sum(F.col(a) * F.col(a)) for a in axes), F.lit(0.0)) / F.count(F.lit(1))).alias("_q"),
+    )
+    spread = F.col("_q") - sum((F.col(f"_c_{a}") * F.col(f"_c_{a}") for a in axes), F.lit(0.0))
+    return held.select(by, F.col(label).cast("int").alias("c"), "n", *(F.col(f"_c_{a}") for a in axes), F.greatest(spread, F.lit(0.0)).alias("s"))
+
+
+def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K", grid: int = 16) -> DataFrame:
+    """One row per `by` value: Silhouette, and the Bound on how far it can be from the exact one.
+
+    At most grid^axes cells per cluster go to the tasks.
+    """
+    width, schema = len(axes), f"{by} int, low double, high double, n long"
+    cells = {}
+    for k, rows in _cells(df, axes, label, by, grid).toPandas().groupby(by):
+        clusters, at = np.unique(rows["c"], return_inverse=True)
+        member = np.zeros((len(rows), len(clusters)))
+        member[np.arange(len(rows)), at] = rows["n"]
+        cells[int(k)] = (clusters, member, rows[[f"_c_{a}" for a in axes]].to_numpy(float), rows["s"].to_numpy(float))
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+
+    def brackets(batches):
+        def score(a, b):
+            top = np.maximum(a, b)
+            return np.divide(b - a, top, out=np.zeros(len(a)), where=top > 0)
+
+        for batch in batches:
+            model, cluster = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = np.stack([batch.column(2 + i).to_numpy() for i in range(width)], axis=1)
+            for k in np.unique(model).tolist():
+                clusters, member, center, spread = shared.value[k]
+                rows = np.flatnonzero(model == k)
+                size = member.sum(axis=0)
+                low = high = 0.0
+                for part in np.array_split(rows, max(1, len(rows) * len(center) // 2_000_000)):
+                    gap = np.zeros((len(part), len(center)))
+                    for i in range(width):
+                        gap += (x[part, i, None] - center[None, :, i]) ** 2
+                    sums = np.sqrt(gap) @ member, np.sqrt(gap + spread) @ member
+                    own = np.searchsorted(clusters, cluster[part])
+                    at = np.arange(len(part))
+                    inside = [s[at, own] / np.maximum(size[own] - 1, 1) for s in sums]
+                    outside = []
+                    for s in sums:
+                        mean = s / size
+                        mean[at, own] = np.inf
+                        outside.append(mean.min(axis=1))
+                    several = (size[own] > 1) & np.isfinite(outside[0])
+                    for r, (a, b) in enumerate(((inside[1], outside[0]), (inside[0], outside[1]))):
+                        value = np.rint(np.where(several, score(a, np.where(np.isfinite(b), b, 0.0)), 0.0) * 1e12).sum() / 1e12
+                        low, high = (low + value, high) if r == 0 else (low, high + value)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((k, pa.int32()), (low, pa.float64()), (high, pa.float64()), (len(rows), pa.int64()))], [by, "low", "high", "n"])
+
+    numbered = df.select(F.col(by).cast("int").alias(by), F.col(label).cast("int").alias(label), *axes)
+    total = numbered.mapInArrow(brackets, schema).groupBy(by).agg(_exact_sum(F.col("low")).alias("l"), _exact_sum(F.col("high")).alias("h"), F.sum("n").alias("n"))
+    return total.select(by, ((F.col("l") + F.col("h")) / (2 * F.col("n"))).alias("Silhouette"), ((F.col("h") - F.col("l")) / (2 * F.col("n"))).alias("Bound"))
+
+
+def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
     """One row per `by` value, exact for any size. Every row needs a label for every `by` value.
 
     Equal points become one weighted row that carries its label in every model,
@@ -65,7 +140,8 @@ def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: st
         (F.count(F.lit(1)) / len(ks)).alias("w"),
         *(F.max(F.when(F.col(by) == k, F.col(label))).alias(c) for k, c in zip(ks, labels)),
     )
-    points = stage(points.withColumn("id", F.xxhash64(*axes)))
+    # Staged, so that a point keeps its number.
+    points = stage(points.withColumn("id", F.monotonically_increasing_id()))
     sizes = (
         points.select("w", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("c")) for i, c in enumerate(labels)))).alias("e"))
         .groupBy("e.i", "e.c")
@@ -78,7 +154,7 @@ def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: st
 
     blocks = max(1, math.ceil(points.count() / _BLOCK_ROWS))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    tagged = points.withColumn("block", F.pmod("id", F.lit(blocks)).cast("int"))
+    tagged = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = tagged.withColumn("other", every)
     right = tagged.withColumnRenamed("block", "other").drop("id").withColumn("block", every)
     names = list(axes)

@@ -5,6 +5,7 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,12 +146,65 @@ def test_silhouette_against_all_pairs(spark, monkeypatch, block):
     placed = kmeans.assign(df.withColumn("g", F.lit(0)), "g", models)
     axes = ["_x0", "_x1", "_x2"]
     rows = placed.toPandas()
-    for fn, square in ((silhouette.euclidean, False), (silhouette.squared, True)):
+    for fn, square in ((silhouette.euclidean_exact, False), (silhouette.squared, True)):
         got = dict(fn(placed, axes).collect())
         for k, part in rows.groupby("K"):
             assert got[k] == pytest.approx(brute_silhouette(part[axes].to_numpy(), part.Cluster.to_numpy(), square), abs=1e-9)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_silhouette_from_cells_is_within_its_bound(spark, seed):
+    pdf, df = table(spark, 160, seed=seed)
+    axes = ["_x0", "_x1", "_x2"]
+    one = df.withColumn("g", F.lit(0))
+    placed = kmeans.assign(one, "g", kmeans.fit(one, "g", [2, 3, 5], n_init=2))
+    rows = placed.toPandas()
+    exact = {k: brute_silhouette(part[axes].to_numpy(), part.Cluster.to_numpy(), False) for k, part in rows.groupby("K")}
+    bounds = []
+    for grid in (2, 8, 64):
+        got = {r.K: r for r in silhouette.euclidean(placed, axes, grid=grid).collect()}
+        for k, want in exact.items():
+            assert abs(got[k].Silhouette - want) <= got[k].Bound + 1e-9
+        bounds.append(max(r.Bound for r in got.values()))
+    assert bounds[0] > bounds[1] > bounds[2] and bounds[2] < 0.01
+    assert silhouette.euclidean(placed.where("false"), axes).collect() == []
+
+
+def test_points_that_differ_stay_apart_in_the_exact_silhouette(spark):
+    rows = [(2, float(x), 0.0, 0.0, x % 2) for x in range(40)] * 2
+    df = spark.createDataFrame(rows, "K int, x double, y double, z double, Cluster int")
+    got = dict(silhouette.euclidean_exact(df, ["x", "y", "z"]).collect())
+    x = np.array([r[1:4] for r in rows])
+    assert got[2] == pytest.approx(brute_silhouette(x, np.array([r[4] for r in rows]), False))
+
+
+def test_sums_are_the_same_in_any_order():
+    from ledgerlens.operators import batch_sums
+
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(0, 50, (9000, 3)), rng.integers(1, 10**7, 9000).astype(float)
+    centers = {0: rng.normal(0, 50, (4, 3, 3))}
+
+    def total(order, size):
+        batches = []
+        for a in range(0, len(order), size):
+            rows = order[a : a + size]
+            arrays = [np.zeros(len(rows), np.int32), w[rows], *x[rows].T]
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in arrays], list("gwxyz")))
+        (out,) = batch_sums.sums(centers, 3)(iter(batches))
+        return {(r["place"]): (r["mass"], *(r[f"whole{i}"] + r[f"fine{i}"] / 2**30 for i in range(3))) for r in out.to_pylist()}, out.to_pylist()
+
+    first, rows = total(np.arange(9000), 9000)
+    again, shuffled = total(rng.permutation(9000), 700)
+    assert sorted(map(str, rows)) == sorted(map(str, shuffled)) and first == again
+    gap = ((x[:, None, None] - centers[0][None]) ** 2).sum(3)
+    for run in range(4):
+        for j in range(3):
+            own = gap[:, run].argmin(1) == j
+            if own.any():
+                assert first[run * 3 + j] == pytest.approx((w[own].sum(), *(w[own, None] * x[own]).sum(0)), rel=1e-9)
+
+
 def test_k_sweep_skips_k_without_spare_rows(spark):
     _, df = table(spark, 4, groups=1, seed=2)
     got = grades.evaluate_k(df, CFG).toPandas()
@@ -200,6 +254,25 @@ def test_logistic_model_solves_the_balanced_objective(spark):
     assert [*model.coefficients, model.intercept] == pytest.approx(want, rel=1e-4, abs=1e-6)
 
 
+def test_all_widths_are_fitted_by_few_passes(spark):
+    pdf, df = snapshots(spark, 600, 3)
+    counts = {int(w): part.TargetBuyNextMonth.value_counts().to_dict() for w, part in pdf.groupby("WindowMonths")}
+    models = predict.fit_logistic_by(df, counts, c=0.3)
+    assert sorted(models) == [3, 6]
+    for w, part in pdf.groupby("WindowMonths"):
+        want = newton(part[list(FEATURES)].to_numpy(), part.TargetBuyNextMonth.to_numpy(), 0.3)
+        assert [*models[w].coefficients, models[w].intercept] == pytest.approx(want, rel=1e-8, abs=1e-10)
+        assert models[w].passes < 10
+
+
+def test_separable_and_constant_features_still_have_a_model(spark):
+    rows = [(3, 1.0, 0.0 + i, 5.0, int(i >= 10)) for i in range(20)]
+    df = spark.createDataFrame(rows, "WindowMonths int, Recency double, Frequency double, Monetary double, TargetBuyNextMonth int")
+    model = predict.fit_logistic_by(df, {3: {0: 10, 1: 10}})[3]
+    x = np.array([r[1:4] for r in rows])
+    assert [*model.coefficients, model.intercept][1] == pytest.approx(newton(x[:, 1:2], np.array([r[4] for r in rows]))[0], rel=1e-6)
+
+
 def pair_auc(y, s):
     pos, neg = s[y == 1], s[y == 0]
     if not len(pos) or not len(neg):
