@@ -25,3 +25,8 @@ GRADES = (GRADE_NAMES[3], GRADE_NAMES[0], GRADE_NAMES[4], GRADE_NAMES[1], GRADE_
 def model(group: object = 0) -> ClusterModel:
     mean, std = np.array(MEAN), np.array(STD)
     return ClusterModel(group, len(CENTERS), mean, std, (np.array(CENTERS) - mean) / std)
+
+
+def starts(k: int) -> list[tuple[float, float, float]]:
+    """k centers on the line from a customer who is long gone to one who buys much."""
+    return [(7.0 - 6.0 * j / (k - 1), 5.0 * j / (k - 1), 600000.0 * j / (k - 1)) for j in range(k)]

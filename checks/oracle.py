@@ -6,11 +6,44 @@ windows, all-pairs comparison) and shares no method with the Spark side.
 
 from __future__ import annotations
 
+from datetime import date
+from types import SimpleNamespace
+
 from checks import fixed
-from ledgerlens.config import GRADE_NAMES, NON_PRODUCT_CODES
-from ledgerlens.operators.clean import STEPS
-from ledgerlens.operators.drivers import HALVES
-from ledgerlens.sources.retail_view import VIEW_CONFIG as CFG
+
+# Fixed values, stated here once more so that a wrong one in the library shows.
+NON_PRODUCT_CODES = ("POST", "D", "M", "BANK CHARGES", "DOT", "C2")
+GRADE_NAMES = ("Lv1.이탈관리", "Lv2.관심필요", "Lv3.신규성장", "Lv4.우수충성", "Lv5.최우수VIP")
+STEPS = (
+    "00_raw_loaded",
+    "01_drop_missing_customer_date_stockcode",
+    "02_remove_cancel_orders",
+    "03_remove_non_positive_quantity_price",
+    "04_remove_non_product_codes",
+    "05_filter_country_uk",
+    "06_filter_analysis_period",
+)
+HALVES = {
+    "Recency": ("LowRecency(최근구매)", "HighRecency(오래전구매)"),
+    "Frequency": ("LowFrequency(저빈도)", "HighFrequency(고빈도)"),
+    "Monetary": ("LowMonetary(저매출)", "HighMonetary(고매출)"),
+}
+# The run over the test tables: eleven years before the usual dates.
+CFG = SimpleNamespace(
+    country="United Kingdom",
+    start=date(1999, 1, 1),
+    end=date(2001, 1, 1),
+    static_start=date(2000, 1, 1),
+    static_end=date(2001, 1, 1),
+    target_grade=GRADE_NAMES[2],
+    panel_first=date(2000, 1, 1),
+    panel_last=date(2000, 12, 1),
+    rolling_months=6,
+    model_first=date(2000, 1, 1),
+    model_last=date(2000, 10, 1),
+    train_end=date(2000, 7, 1),
+    k_values=range(2, 11),
+)
 
 _LEVELS = ", ".join(f"'{g}'" for g in GRADE_NAMES)
 _CODES = ", ".join(f"'{c}'" for c in NON_PRODUCT_CODES)
@@ -309,11 +342,19 @@ add(
     + ") v(p, c, t)",
 )
 add("snk1_table_sink", "clean", f"SELECT YearMonth, round({total('Revenue')}, 6) AS Revenue FROM clean GROUP BY 1")
+_LATE = f"(InvoiceDate < {_ts(CFG.static_start)} OR Quantity <= 25)"
 add(
-    "snk2_report_sizes",
-    "clean",
-    """SELECT * FROM (VALUES ('preprocessing_stats', CAST(7 AS BIGINT))) v("Table", Rows)
-    UNION ALL SELECT 'yearly_summary', count(DISTINCT Year) FROM clean UNION ALL SELECT 'monthly_sales', count(DISTINCT YearMonth) FROM clean""",
+    "src1_refreshed_snapshot",
+    "raw",
+    f"""SELECT v.r AS Run, CAST(v.n AS BIGINT) AS PartsRead, (SELECT count(*) FROM raw WHERE {_LATE}) AS Rows, (SELECT sum(Quantity) FROM raw WHERE {_LATE}) AS Quantity
+    FROM (VALUES ('first', 2), ('unchanged', 0), ('changed', 1)) v(r, n)""",
+)
+add("src3_first_rows", "raw", "SELECT Invoice, StockCode, Quantity FROM raw ORDER BY Invoice, StockCode, Quantity LIMIT 5")
+add(
+    "prj3_missing_columns",
+    "raw",
+    """SELECT c AS "Case", m AS Missing, (SELECT count(*) FROM raw) AS Rows
+    FROM (VALUES ('whole', ''), ('no price', 'UnitPrice'), ('no ids', 'InvoiceNo,CustomerID')) v(c, m)""",
 )
 add(
     "prj2_trim_and_alias",
@@ -323,8 +364,9 @@ add(
 add(
     "prj4_lenient_casts",
     "dirty",
-    """SELECT Country, count(*) AS Rows, count(InvoiceDate) AS Dates, count(Quantity) AS Quantities, count(UnitPrice) AS Prices,
-    count(Quantity * UnitPrice) AS Revenues, count(RawID) AS Ids FROM dirty GROUP BY 1""",
+    f"""SELECT Country, count(*) AS Rows, count(InvoiceDate) AS Dates, max(InvoiceDate) AS LastDate, count(Quantity) AS Quantities,
+    round({total('Quantity')}, 6) AS Units, count(UnitPrice) AS Prices, round(CAST(sum(CAST(UnitPrice AS DECIMAL(38,8))) AS DOUBLE), 6) AS PriceSum,
+    count(Quantity * UnitPrice) AS Revenues, count(RawID) AS Ids, max(CAST(CAST(RawID AS BIGINT) AS VARCHAR)) AS LastId FROM dirty GROUP BY 1""",
 )
 add(
     "prj5_text_casts",
@@ -345,6 +387,12 @@ add(
     "rfm",
     "SELECT CustomerID, round(ln(1 + Frequency), 6) AS log_Frequency, round(ln(1 + Monetary), 6) AS log_Monetary FROM rfm",
 )
+add(
+    "prj10_center_logs",
+    "grfm",
+    f"""SELECT Cluster, round(ln(1 + {mean('Frequency')}), 6) AS log_Frequency, round(ln(1 + {mean('Monetary')}), 6) AS log_Monetary
+    FROM grfm GROUP BY 1""",
+)
 add(
     "prj11_replace_segment",
     "kept tiers",
@@ -463,6 +511,12 @@ CTES["os"] = (
     {total('Revenue')} AS OrderRevenue, max(YearMonth) AS YearMonth FROM kept GROUP BY 1, 2) o LEFT JOIN grfm USING (CustomerID)""",
 )
 add("agg14_order_summary", "os", "SELECT CustomerID, InvoiceNo, round(OrderRevenue, 6) AS OrderRevenue, YearMonth, Customer_Grade FROM os")
+add(
+    "agg14_order_summary_all",
+    "static grfm",
+    f"""SELECT o.CustomerID, o.InvoiceNo, round(o.OrderRevenue, 6) AS OrderRevenue, o.YearMonth, grfm.Customer_Grade FROM (SELECT CustomerID, InvoiceNo,
+    {total('Revenue')} AS OrderRevenue, max(YearMonth) AS YearMonth FROM static GROUP BY 1, 2) o LEFT JOIN grfm USING (CustomerID)""",
+)
 add(
     "agg15_segment_summary",
     "os",
@@ -720,13 +774,15 @@ add(
 add("drv6_repeat_distribution", "repeats", _dist("repeats", "RepeatStatus"))
 
 
-def _followed(table: str, group: str, steps: int, out: str) -> str:
-    """Lloyd steps from the fixed centers, one pair of CTEs each; every group has its own scaling."""
+def _steps(table: str, group: str, steps: int, starts: dict[str, list]) -> list[str]:
+    """Lloyd steps from given centers, one pair of CTEs each; every group has its own scaling. `starts` holds the
+    centers by a condition on the group."""
     names = ("Recency", "Frequency", "Monetary")
     stats = ", ".join(f"avg({n}) AS m{i}, CASE WHEN stddev_pop({n}) > 0 THEN stddev_pop({n}) ELSE 1 END AS s{i}" for i, n in enumerate(names))
     start = " UNION ALL ".join(
-        f"SELECT g, {j} AS j, " + ", ".join(f"({_num(float(c[i]))} - m{i}) / s{i} AS a{i}" for i in range(3)) + " FROM st"
-        for j, c in enumerate(fixed.CENTERS)
+        f"SELECT g, {j} AS j, " + ", ".join(f"({_num(float(c[i]))} - m{i}) / s{i} AS a{i}" for i in range(3)) + f" FROM st WHERE {which}"
+        for which, centers in starts.items()
+        for j, c in enumerate(centers)
     )
     gap = " + ".join(f"(x{i} - a{i}) * (x{i} - a{i})" for i in range(3))
     parts = [
@@ -736,16 +792,21 @@ def _followed(table: str, group: str, steps: int, out: str) -> str:
         f"c0 AS ({start})",
     ]
     near = lambda k: (
-        f"n{k} AS (SELECT g, CustomerID, any_value(x0) AS x0, any_value(x1) AS x1, any_value(x2) AS x2, arg_min(j, d) AS j "
+        f"n{k} AS (SELECT g, CustomerID, any_value(x0) AS x0, any_value(x1) AS x1, any_value(x2) AS x2, arg_min(j, d) AS j, min(d) AS d "
         f"FROM (SELECT pt.g, CustomerID, x0, x1, x2, j, {gap} AS d FROM pt JOIN c{k} USING (g)) GROUP BY 1, 2)"
     )
     for k in range(steps):
         moved = ", ".join(f"coalesce(avg(x{i}), any_value(a{i})) AS a{i}" for i in range(3))
         parts += [near(k), f"c{k + 1} AS (SELECT c.g, c.j, {moved} FROM c{k} c LEFT JOIN n{k} n ON c.g = n.g AND c.j = n.j GROUP BY 1, 2)"]
+    return [*parts, near(steps)]
+
+
+def _followed(table: str, group: str, steps: int, out: str) -> str:
+    """Grades after some steps from the fixed centers."""
+    parts = _steps(table, group, steps, {"true": fixed.CENTERS})
     raw = [f"a{i} * s{i} + m{i}" for i in range(3)]
     labels = " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GRADE_NAMES, 1))
     parts += [
-        near(steps),
         f"named AS (SELECT g, j, CASE row_number() OVER (PARTITION BY g ORDER BY {raw[2]}, {raw[1]}, {raw[0]} DESC) {labels} END AS grade "
         f"FROM c{steps} JOIN st USING (g))",
     ]
@@ -754,3 +815,137 @@ def _followed(table: str, group: str, steps: int, out: str) -> str:
 
 add("ml2_steps_from_given_centers", "rfm", "SELECT * FROM " + _followed("rfm", "0", 4, "CustomerID,"))
 add("tim4_steps_from_given_centers", "panel", "SELECT * FROM " + _followed("panel", "AnalysisMonthStr", 3, "g AS AnalysisMonthStr, CustomerID,"))
+
+
+def _k_sweep() -> str:
+    """Inertia and silhouette in squared distance, from all pairs, after three steps for every k."""
+    ks = ", ".join(map(str, CFG.k_values))
+    parts = _steps("(SELECT rfm.*, unnest([" + ks + "]) AS kk FROM rfm)", "kk", 3, {f"g = {k}": fixed.starts(k) for k in CFG.k_values})
+    gap = " + ".join(f"(p.x{i} - q.x{i}) * (p.x{i} - q.x{i})" for i in range(3))
+    return f"""(WITH {", ".join(parts)},
+    pairs AS (SELECT p.g, p.CustomerID, p.j, q.j AS other, count(*) AS n, sum({gap}) AS s FROM n3 p JOIN n3 q ON p.g = q.g GROUP BY 1, 2, 3, 4),
+    rows_ AS (SELECT g, CustomerID, max(CASE WHEN j = other THEN n END) AS n, max(CASE WHEN j = other AND n > 1 THEN s / (n - 1) ELSE 0 END) AS a,
+      min(CASE WHEN j <> other THEN s / n END) AS b FROM pairs GROUP BY 1, 2),
+    scores AS (SELECT g, avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0.0e0 ELSE (b - a) / greatest(a, b) END) AS s FROM rows_ GROUP BY 1)
+    SELECT CAST(g AS BIGINT) AS K, round(i, 6) AS Inertia, round(s, 6) AS Silhouette FROM (SELECT g, sum(d) AS i FROM n3 GROUP BY 1) JOIN scores USING (g))"""
+
+
+add("ml6_steps_from_given_starts", "rfm", "SELECT * FROM " + _k_sweep())
+
+_CELL = lambda a: f"coalesce(least(floor(({a} - l{a}) / nullif((h{a} - l{a}) / 16, 0)), 15), 0)"
+_GAP2 = "((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z))"
+add(
+    "ml7_silhouette_cells",
+    "places",
+    f"""SELECT * FROM (WITH ends AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM places),
+    cells AS (SELECT c, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z, greatest(avg(x * x + y * y + z * z) - avg(x) ** 2 - avg(y) ** 2 - avg(z) ** 2, 0) AS s
+      FROM places, ends GROUP BY c, {_CELL('x')}, {_CELL('y')}, {_CELL('z')}),
+    met AS (SELECT p.i, p.c = q.c AS own, sum(q.n) AS n, sum(q.n * sqrt({_GAP2})) AS low, sum(q.n * sqrt({_GAP2} + q.s)) AS high
+      FROM places p CROSS JOIN cells q GROUP BY p.i, p.c, q.c),
+    ab AS (SELECT i, max(CASE WHEN own THEN n END) AS n, max(CASE WHEN own THEN low / greatest(n - 1, 1) END) AS al, max(CASE WHEN own THEN high / greatest(n - 1, 1) END) AS ah,
+      min(CASE WHEN NOT own THEN low / n END) AS bl, min(CASE WHEN NOT own THEN high / n END) AS bh FROM met GROUP BY i),
+    s AS (SELECT CASE WHEN n = 1 THEN 0.0e0 ELSE coalesce((bl - ah) / nullif(greatest(bl, ah), 0), 0) END AS low,
+      CASE WHEN n = 1 THEN 0.0e0 ELSE coalesce((bh - al) / nullif(greatest(bh, al), 0), 0) END AS high FROM ab)
+    SELECT CAST(5 AS BIGINT) AS K, round((avg(low) + avg(high)) / 2, 6) AS Silhouette, round((avg(high) - avg(low)) / 2, 6) AS Bound FROM s)""",
+)
+
+
+def _newton(steps: int = 14) -> list[str]:
+    """Logistic models of all widths by unrolled Newton steps on scaled features; b holds the last coefficients."""
+    z = [f"(x{i} - m{i}) / s{i}" for i in range(3)]
+    names = ("Recency", "Frequency", "Monetary")
+    stats = ", ".join(f"avg({n}) AS m{i}, stddev_pop({n}) AS s{i}" for i, n in enumerate(names))
+    parts = [
+        f"st AS (SELECT WindowMonths AS w, count(*) AS n, sum(TargetBuyNextMonth) AS n1, {stats} FROM snap WHERE BaseMonth < DATE '{CFG.train_end}' GROUP BY 1)",
+        "tr AS (SELECT WindowMonths AS w, TargetBuyNextMonth AS y, CASE WHEN TargetBuyNextMonth = 1 THEN n / (2.0e0 * n1) ELSE n / (2.0e0 * (n - n1)) END AS wt, "
+        + ", ".join(f"{e.replace(f'x{i}', names[i])} AS z{i}" for i, e in enumerate(z))
+        + f" FROM snap JOIN st ON WindowMonths = st.w WHERE BaseMonth < DATE '{CFG.train_end}')",
+        "b0 AS (SELECT w, 0.0e0 AS b0, 0.0e0 AS b1, 0.0e0 AS b2, 0.0e0 AS b3 FROM st)",
+    ]
+    axis = ["z0", "z1", "z2", "1.0e0"]
+    for k in range(steps):
+        sums = [f"sum(wt * (p - y) * {axis[i]}) AS q{i}" for i in range(4)]
+        sums += [f"sum(wt * p * (1 - p) * {axis[i]} * {axis[j]}) AS r{j}{i}" for i in range(4) for j in range(i + 1)]
+        parts.append(
+            f"d{k} AS (SELECT w, {', '.join(sums)} FROM (SELECT tr.*, 1 / (1 + exp(-(z0 * b0 + z1 * b1 + z2 * b2 + b3))) AS p FROM tr JOIN b{k} USING (w)) GROUP BY w)"
+        )
+        ridge = lambda i: f" + 1 / (s{i} * s{i})" if i < 3 else ""
+        h = {(j, i): f"(r{j}{i}{ridge(i) if i == j else ''})" for i in range(4) for j in range(i + 1)}
+        g = [f"(q{i} + b{i} / (s{i} * s{i}))" if i < 3 else "q3" for i in range(4)]
+        parts += [
+            # Square-root-free Cholesky factors, one more pivot in each.
+            f"e{k} AS (SELECT *, {h[0, 0]} AS d0, {h[0, 1]} / {h[0, 0]} AS l10, {h[0, 2]} / {h[0, 0]} AS l20, {h[0, 3]} / {h[0, 0]} AS l30 FROM d{k} JOIN st USING (w) JOIN b{k} USING (w))",
+            f"f{k} AS (SELECT *, {h[1, 1]} - l10 * l10 * d0 AS d1, ({h[1, 2]} - l20 * l10 * d0) / ({h[1, 1]} - l10 * l10 * d0) AS l21, ({h[1, 3]} - l30 * l10 * d0) / ({h[1, 1]} - l10 * l10 * d0) AS l31 FROM e{k})",
+            f"g{k} AS (SELECT *, {h[2, 2]} - l20 * l20 * d0 - l21 * l21 * d1 AS d2 FROM f{k})",
+            f"h{k} AS (SELECT *, ({h[2, 3]} - l30 * l20 * d0 - l31 * l21 * d1) / d2 AS l32 FROM g{k})",
+            f"i{k} AS (SELECT *, {h[3, 3]} - l30 * l30 * d0 - l31 * l31 * d1 - l32 * l32 * d2 AS d3, {g[1]} - l10 * {g[0]} AS y1 FROM h{k})",
+            f"j{k} AS (SELECT *, {g[2]} - l20 * {g[0]} - l21 * y1 AS y2 FROM i{k})",
+            f"k{k} AS (SELECT *, ({g[3]} - l30 * {g[0]} - l31 * y1 - l32 * y2) / d3 AS u3 FROM j{k})",
+            f"l{k} AS (SELECT *, y2 / d2 - l32 * u3 AS u2 FROM k{k})",
+            f"m{k} AS (SELECT *, y1 / d1 - l21 * u2 - l31 * u3 AS u1 FROM l{k})",
+            f"b{k + 1} AS MATERIALIZED (SELECT w, b0 - ({g[0]} / d0 - l10 * u1 - l20 * u2 - l30 * u3) AS b0, b1 - u1 AS b1, b2 - u2 AS b2, b3 - u3 AS b3 FROM m{k})",
+        ]
+    margin = " + ".join(f"({n} - m{i}) / s{i} * b{i}" for i, n in enumerate(names))
+    parts.append(f"found AS MATERIALIZED (SELECT snap.*, 1 / (1 + exp(-({margin} + b3))) AS PredProb FROM snap JOIN st ON WindowMonths = st.w JOIN b{steps} b ON b.w = st.w WHERE BaseMonth >= DATE '{CFG.train_end}')")
+    return parts
+
+
+_FITTED = "WITH " + ",\n".join(_newton())
+_POSITIVE = "sum(TargetBuyNextMonth)"
+
+
+def _area(by: str) -> str:
+    part = f"PARTITION BY {by}"
+    return f"""SELECT *, rank() OVER ({part} ORDER BY PredProb) + (count(*) OVER ({part}, PredProb) - 1) / 2.0e0 AS rnk FROM found"""
+
+
+_AUC = f"round((sum(CASE WHEN TargetBuyNextMonth = 1 THEN rnk END) - {_POSITIVE} * ({_POSITIVE} + 1) / 2.0e0) / nullif({_POSITIVE} * (count(*) - {_POSITIVE}), 0), 6)"
+_SIZES = f"""SELECT WindowMonths, count_if(BaseMonth < DATE '{CFG.train_end}') AS TrainN, count_if(BaseMonth >= DATE '{CFG.train_end}') AS TestN FROM snap GROUP BY 1"""
+
+
+def add_fitted(key: str, final: str, dates: tuple[str, ...] = ()) -> None:
+    add(key, "snap", f"SELECT * FROM ({_FITTED}\n{final})", dates)
+
+
+add_fitted("ml9_scored_test", "SELECT CustomerID, BaseMonth, WindowMonths, TargetBuyNextMonth, round(PredProb, 6) AS PredProb FROM found", ("BaseMonth",))
+add_fitted(
+    "ml12_auc_summary",
+    f"""SELECT WindowMonths, OverallAUC, CAST(TrainN AS BIGINT) AS TrainN, CAST(TestN AS BIGINT) AS TestN FROM ({_SIZES})
+    JOIN (SELECT WindowMonths, {_AUC} AS OverallAUC FROM ({_area('WindowMonths')}) GROUP BY 1) USING (WindowMonths)""",
+)
+add_fitted(
+    "ml12_monthly_auc",
+    f"""SELECT BaseMonthStr, {_AUC} AS AUC, count(*) AS N, round({_POSITIVE} / count(*), 6) AS PositiveRate, WindowMonths
+    FROM ({_area('WindowMonths, BaseMonthStr')}) GROUP BY WindowMonths, BaseMonthStr""",
+)
+add(
+    "ml11_degenerate_splits",
+    "snap",
+    f"""SELECT 'no test rows' AS "Case", WindowMonths, CAST(NULL AS DOUBLE) AS OverallAUC, count(*) AS TrainN, CAST(0 AS BIGINT) AS TestN FROM snap GROUP BY 2
+    UNION ALL SELECT 'one class', WindowMonths, NULL, CAST(TrainN AS BIGINT), CAST(TestN AS BIGINT) FROM ({_SIZES})""",
+)
+
+# Table of the report -> the query that makes it.
+_REPORT = {
+    "dataset_summary": "agg1_dataset_summary",
+    "preprocessing_stats": "aud1_cleaning_audit",
+    "yearly_summary": "agg2_yearly_summary",
+    "variable_info": "agg3_variable_info",
+    "outlier_summary": "agg6_outlier_summary",
+    "cluster_summary": "agg7_cluster_summary",
+    "auc_summary": "ml12_auc_summary",
+    "monthly_auc": "ml12_monthly_auc",
+    "mobility_summary": "trn4_mobility",
+    "movement_dist": "trn5_movement_distribution",
+    "lv3_next_month_ratio": "trn7_transition_ratios",
+    "lv3_abc_summary": "tim10_mover_mix_summary",
+    "high_m_freq_summary": "drv5_high_monetary",
+    "repeat_summary": "drv6_repeat_summary",
+    "repeat_dist": "drv6_repeat_distribution",
+}
+ORACLE["snk2_report"] = "\nUNION ALL ".join(
+    f"""SELECT '{name}' AS "Table", c AS "Column", count(*) AS Cells, round(sum(try_cast(v AS DOUBLE)), 3) AS Total,
+    min(CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END) AS "First", max(CASE WHEN try_cast(v AS DOUBLE) IS NULL THEN v END) AS "Last"
+    FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({ORACLE[key]})) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c"""
+    for name, key in _REPORT.items()
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 from collections.abc import Callable
@@ -9,14 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks import fixed
-from ledgerlens.config import GRADE_NAMES
+from ledgerlens.config import FEATURES, GRADE_NAMES
 from ledgerlens.functions import columns as C
 from ledgerlens.operators import clean as cleaning
 from ledgerlens.operators import drivers, facts, grades, kmeans, panel as panels, predict, products, profile
 from ledgerlens.operators import rfm as rfms, scores, segments, silhouette, transitions
 from ledgerlens.plans import analysis
 from ledgerlens.session import shared_folder, stage
-from ledgerlens.sources import readers, sinks
+from ledgerlens.sources import readers, sinks, snapshot
 from ledgerlens.sources.retail_view import VIEW_CONFIG as CFG, retail_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,12 +88,38 @@ def totals(lines: DataFrame) -> DataFrame:
 # --- sources and sinks -------------------------------------------------------
 
 
-@query
-def src1_stack_parts(spark, folder):
+def _scratch(spark, name: str) -> str:
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def _written_parts(spark, folder) -> list[str]:
+    """The raw view as two parts of unlike types: numbers in the early one, text without a country in the late one."""
     raw = retail_lines(spark, folder)
     early = F.col("InvoiceDate") < C.instant(CFG.static_start)
-    both = readers.stack([raw.where(early), raw.where(~early).drop("Country")])
-    return both.groupBy("Country").agg(F.count(F.lit(1)).alias("Rows"), F.sum("Quantity").alias("Quantity"))
+    paths = [_scratch(spark, "early"), _scratch(spark, "late")]
+    raw.where(early).write.parquet(paths[0])
+    readers.as_text(raw.where(~early).drop("Country")).write.parquet(paths[1])
+    return paths
+
+
+@query
+def src1_stack_parts(spark, folder):
+    both = readers.load_parts(spark, _written_parts(spark, folder))
+    return both.groupBy("Country").agg(F.count(F.lit(1)).alias("Rows"), F.sum(F.col("Quantity").try_cast("double")).alias("Quantity"))
+
+
+@query
+def src1_refreshed_snapshot(spark, folder):
+    """A snapshot of two parts, one of which then loses the lines of more than 25 pieces: what is read again, and what is there."""
+    paths, target = _written_parts(spark, folder), _scratch(spark, "snapshot")
+    runs = [("first", snapshot.refresh(spark, paths, target)), ("unchanged", snapshot.refresh(spark, paths, target))]
+    late = stage(spark.read.parquet(paths[1]))
+    late.where(F.col("Quantity").try_cast("double") <= 25).write.mode("overwrite").parquet(paths[1])
+    runs.append(("changed", snapshot.refresh(spark, paths, target)))
+    again = snapshot.load_data(spark, paths, target)
+    rows = again.groupBy().agg(F.count(F.lit(1)).alias("Rows"), F.sum(F.col("Quantity").try_cast("double")).alias("Quantity"))
+    read = F.array(*(F.struct(F.lit(name).alias("Run"), F.lit(len(parts)).alias("PartsRead")) for name, parts in runs))
+    return rows.select(F.explode(read).alias("_e"), "Rows", "Quantity").select("_e.*", "Rows", "Quantity")
 
 
 @query
@@ -108,6 +135,12 @@ def src3_overview(spark, folder):
     return readers.overview(retail_lines(spark, folder))
 
 
+@query
+def src3_first_rows(spark, folder):
+    lines = retail_lines(spark, folder).select("Invoice", "StockCode", "Quantity").orderBy("Invoice", "StockCode", "Quantity")
+    return readers.first_rows(lines)
+
+
 @query
 def snk1_table_sink(spark, folder):
     path = os.path.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
@@ -126,6 +159,21 @@ def prj2_trim_and_alias(spark, folder):
     return named.groupBy("InvoiceNo").agg(F.count("CustomerID").alias("Lines"), F.max("UnitPrice").alias("UnitPrice"))
 
 
+@query
+def prj3_missing_columns(spark, folder):
+    """What the check names for tables that lack columns, beside the rows of each table."""
+    raw, found = retail_lines(spark, folder), []
+    for case, gone in (("whole", []), ("no price", ["Price"]), ("no ids", ["Invoice", "Customer ID"])):
+        left = cleaning.rename_columns(raw.drop(*gone))
+        try:
+            cleaning.require_columns(left)
+            missing = ""
+        except KeyError as error:
+            missing = ",".join(c for c in cleaning.REQUIRED if f"'{c}'" in str(error).split(";")[0])
+        found.append(left.agg(F.count(F.lit(1)).alias("Rows")).select(F.lit(case).alias("Case"), F.lit(missing).alias("Missing"), "Rows"))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def dirty_text(spark, folder) -> DataFrame:
     """The raw view as text, with unreadable dates and numbers in known places."""
     raw = retail_lines(spark, folder)
@@ -147,10 +195,14 @@ def prj4_lenient_casts(spark, folder):
     return lines.groupBy("Country").agg(
         F.count(F.lit(1)).alias("Rows"),
         F.count("InvoiceDate").alias("Dates"),
+        F.max("InvoiceDate").alias("LastDate"),
         F.count("Quantity").alias("Quantities"),
+        C.exact_sum(F.col("Quantity")).alias("Units"),
         F.count("UnitPrice").alias("Prices"),
+        C.exact_sum(F.col("UnitPrice")).alias("PriceSum"),
         F.count("Revenue").alias("Revenues"),
         F.count("CustomerID").alias("Ids"),
+        F.max("CustomerID").alias("LastId"),
     )
 
 
@@ -173,6 +225,13 @@ def prj10_log_columns(spark, folder):
     return scores.add_log_columns(base(spark, folder).rfm).select("CustomerID", "log_Frequency", "log_Monetary")
 
 
+@query
+def prj10_center_logs(spark, folder):
+    """Log columns of the cluster means of the customers."""
+    means = transitions.cluster_means(graded_static(base(spark, folder)))
+    return scores.add_log_columns(means).select("Cluster", "log_Frequency", "log_Monetary")
+
+
 @query
 def prj11_replace_segment(spark, folder):
     b = base(spark, folder)
@@ -246,17 +305,17 @@ def aud4_duplicate_lines(spark, folder):
 @query
 def agg1_dataset_summary(spark, folder):
     raw = retail_lines(spark, folder)
-    return profile.dataset_summary(raw, cleaning.clean(raw, CFG))
+    return profile.dataset_summary(raw, stage(cleaning.clean(raw, CFG)))
 
 
 @query
 def agg2_yearly_summary(spark, folder):
-    return profile.yearly_summary(clean(spark, folder))
+    return profile.yearly_summary(stage(clean(spark, folder)))
 
 
 @query
 def agg3_variable_info(spark, folder):
-    return profile.variable_info(clean(spark, folder))
+    return profile.variable_info(stage(clean(spark, folder)))
 
 
 @query
@@ -337,13 +396,20 @@ def agg13_monthly_sales(spark, folder):
 @query
 def agg14_order_summary(spark, folder):
     b = base(spark, folder)
-    return segments.order_summary(b.static, graded_static(b), "inner")
+    return segments.order_summary_of_months(facts.in_period(b.orders), graded_static(b), "inner")
+
+
+@query
+def agg14_order_summary_all(spark, folder):
+    """All orders of the static year, also those of customers without a grade."""
+    b = base(spark, folder)
+    return segments.order_summary(b.static, graded_static(b), "left")
 
 
 @query
 def agg15_segment_summary(spark, folder):
     b = base(spark, folder)
-    return segments.segment_summary(segments.order_summary(b.static, graded_static(b), "inner"))
+    return segments.segment_summary(segments.order_summary_of_months(facts.in_period(b.orders), graded_static(b), "inner"))
 
 
 @query
@@ -360,7 +426,7 @@ def agg17_grade_abc_matrix(spark, folder):
 @query
 def agg18_grade_month_revenue(spark, folder):
     b = base(spark, folder)
-    return segments.grade_month_revenue(b.static, graded_static(b))
+    return segments.grade_month_revenue(facts.in_period(b.orders), graded_static(b))
 
 
 @query
@@ -619,6 +685,18 @@ def ml6_k_sweep(spark, folder):
     return grades.evaluate_k(base(spark, folder).rfm, CFG)
 
 
+@query
+def ml6_steps_from_given_starts(spark, folder):
+    """Three steps for every k from starts spread evenly over the range of the customers."""
+    rfm = base(spark, folder).rfm
+    each = rfm.withColumn("K", F.explode(F.array(*map(F.lit, CFG.k_values))))
+    models = kmeans.from_centers(each, "K", {k: fixed.starts(k) for k in CFG.k_values}, 3)
+    axes = [f"_x{i}" for i in range(len(FEATURES))]
+    placed = stage(kmeans.assign(each, "K", models).withColumn("K", F.col("K").cast("int")).select("K", *axes, "Cluster"))
+    inertia = kmeans.small_table(rfm, {"K": [m.k for m in models], "Inertia": [m.cost for m in models]})
+    return inertia.join(silhouette.squared(placed, axes), "K")
+
+
 def _assigned(spark, folder) -> DataFrame:
     near = kmeans.assign(base(spark, folder).rfm, None, [fixed.model()])
     return stage(near.select(F.lit(5).alias("K"), "_x0", "_x1", "_x2", "Cluster"))
@@ -629,6 +707,11 @@ def ml7_silhouette(spark, folder):
     return silhouette.euclidean_exact(_assigned(spark, folder), ["_x0", "_x1", "_x2"])
 
 
+@query
+def ml7_silhouette_cells(spark, folder):
+    return silhouette.euclidean(_assigned(spark, folder), ["_x0", "_x1", "_x2"])
+
+
 @query
 def ml7_silhouette_squared(spark, folder):
     return silhouette.squared(_assigned(spark, folder), ["_x0", "_x1", "_x2"])
@@ -659,6 +742,16 @@ def ml10_auc(spark, folder):
     return predict.auc(scored, ["WindowMonths", "BaseMonthStr"])
 
 
+@query
+def ml11_degenerate_splits(spark, folder):
+    """Summaries where no test rows are left, and where every customer buys: no model, but counts."""
+    panel = stage(analysis.snapshots(base(spark, folder)))
+    late = predict.evaluate_windows(panel, CFG.model_windows, CFG.end).summary
+    buyers = panel.withColumn("TargetBuyNextMonth", F.lit(1))
+    same = predict.evaluate_windows(buyers, CFG.model_windows, CFG.train_end).summary
+    return late.withColumn("Case", F.lit("no test rows")).unionByName(same.withColumn("Case", F.lit("one class")))
+
+
 @query
 def ml12_auc_summary(spark, folder):
     return predict.evaluate_windows(
@@ -716,23 +809,40 @@ def drv6_repeat_distribution(spark, folder):
     return transitions.distribution(rows, "RepeatStatus")
 
 
+def _results(spark, folder) -> dict[str, DataFrame]:
+    return analysis.run(retail_lines(spark, folder), CFG, fixed.model())
+
+
+def _cells(name: str, table: DataFrame) -> DataFrame:
+    """Per column of a table: cells that are not null, the sum of the numbers, first and last of the other texts."""
+    named = [F.struct(F.lit(c).alias("Column"), F.col(f"`{c}`").cast("string").alias("_v")) for c in table.columns]
+    cells = table.select(F.explode(F.array(*named)).alias("_e")).select("_e.*").where("_v is not null")
+    number = F.col("_v").try_cast("double")
+    text = F.when(number.isNull(), F.col("_v"))
+    return cells.groupBy("Column").agg(
+        F.count(F.lit(1)).alias("Cells"), F.round(F.sum(number), 3).alias("Total"), F.min(text).alias("First"), F.max(text).alias("Last")
+    ).withColumn("Table", F.lit(name))
+
+
 @query
-def snk2_report_sizes(spark, folder):
-    """Writes the small reports that need no model and reads their sizes back."""
-    raw = retail_lines(spark, folder)
-    lines = cleaning.clean(raw, CFG)
-    tables = {
-        "preprocessing_stats": cleaning.cleaning_audit(raw, CFG),
-        "yearly_summary": profile.yearly_summary(lines),
-        "monthly_sales": profile.monthly_sales(lines),
-        "nothing": profile.yearly_summary(lines).where(F.lit(False)),
-    }
-    target = os.path.join(shared_folder(spark), f"report-{uuid.uuid4().hex}")
-    out = None
-    for name in sinks.save_reports(tables, target):
-        size = (
-            spark.read.option("header", True).csv(os.path.join(target, name))
-            .agg(F.count(F.lit(1)).alias("Rows")).withColumn("Table", F.lit(name))
-        )
-        out = size if out is None else out.unionByName(size)
-    return out
+def snk2_report(spark, folder):
+    """Writes the whole report with a broken run after it, and reads back what all tables hold."""
+    target = _scratch(spark, "report")
+    tables = analysis.report_tables(_results(spark, folder))
+    tables["nothing"] = tables["yearly_summary"].where(F.lit(False))
+    sinks.save_reports(tables, target)
+    broken = {"yearly_summary": tables["yearly_summary"], "broken": tables["yearly_summary"].select(F.raise_error(F.lit("stop")).alias("x"))}
+    try:
+        sinks.save_reports(broken, target)
+    except Exception:
+        pass  # the report before must still be there
+    return functools.reduce(DataFrame.unionByName, (_cells(n, tidy(t)) for n, t in sinks.read_reports(spark, target).items()))
+
+
+@query
+def snk3_result_set(spark, folder):
+    """Names and columns of all results, beside the clean rows they come from."""
+    results = _results(spark, folder)
+    rows = results["df_clean"].agg(F.count(F.lit(1)).alias("CleanRows"))
+    named = [F.struct(F.lit(n).alias("Result"), F.lit(",".join(sorted(t.columns))).alias("Columns")) for n, t in results.items()]
+    return rows.select(F.explode(F.array(*named)).alias("_e"), "CleanRows").select("_e.*", "CleanRows")

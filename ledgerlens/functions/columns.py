@@ -44,8 +44,9 @@ def as_text(name: str) -> Column:
 
 
 def as_id(name: str) -> Column:
-    """17850.0 -> '17850'; missing, and what is no whole number of 64 bits, is missing."""
-    whole = F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)")
+    """17850.0 -> '17850', as is 17850.5; text that is a whole number keeps all its digits. What is no number, or
+    is beyond 64 bits, is missing."""
+    whole = F.expr(f"coalesce(try_cast(cast(`{name}` as string) as bigint), try_cast(try_cast(`{name}` as double) as bigint))")
     return F.when(as_number(name).isNotNull(), whole.cast("string"))
 
 

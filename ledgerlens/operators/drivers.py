@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.config import FEATURES
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.hot_keys import join_hot
 from ledgerlens.functions.ordered import quantile_values
 from ledgerlens.operators.transitions import distribution
+from ledgerlens.session import stage
 
 # Labels of the lower and the upper half per variable.
 HALVES = {
@@ -126,7 +128,7 @@ def mover_mix(base: DataFrame, product_months: DataFrame, classes: DataFrame, gr
             F.sequence(F.add_months("AnalysisMonth", -window), F.add_months("AnalysisMonth", -1), F.expr("interval 1 month"))
         ).alias("MonthStart"),
     )
-    bought = (
+    bought = stage(
         movers.join(product_months, ["CustomerID", "MonthStart"])
         .groupBy("CustomerID", "AnalysisMonth", "MovementType", "StockCode")
         .agg(F.sum("Money").alias("_money"))
@@ -134,7 +136,8 @@ def mover_mix(base: DataFrame, product_months: DataFrame, classes: DataFrame, gr
     known = classes.select("AnalysisMonth", "StockCode", "ABC_Class")
     total = F.col("_all").cast("double")
     return (
-        bought.join(known, ["AnalysisMonth", "StockCode"])
+        # A best-seller is bought by most movers of a month.
+        join_hot(bought, known, ["AnalysisMonth", "StockCode"])
         .groupBy("CustomerID", "AnalysisMonth", "MovementType")
         .agg(
             F.sum("_money").alias("_all"),

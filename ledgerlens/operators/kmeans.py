@@ -104,9 +104,13 @@ def fit(
 
 
 def from_centers(
-    df: DataFrame, group: str, centers: np.ndarray, steps: int, features: Sequence[str] = FEATURES
+    df: DataFrame, group: str, centers: np.ndarray | dict, steps: int, features: Sequence[str] = FEATURES
 ) -> list[ClusterModel]:
-    """Models after a fixed number of steps from given centers in raw units, for every group of `df`."""
+    """Models after a fixed number of steps from given centers in raw units, for every group of `df`.
+
+    `centers` are those of all groups, or a mapping from group to centers.
+    """
+    starts = lambda g: np.asarray(centers[g] if isinstance(centers, dict) else centers, float)
     stats = {
         r[group]: (r["Rows"], np.array([r[f"Mean_{f}"] for f in features]), np.array([r[f"Std_{f}"] for f in features]))
         for r in scaling(df, group, features).collect()
@@ -115,7 +119,7 @@ def from_centers(
         return []
     points, numbers = _weighted_points(df, group, stats, features)
     runs = [
-        {"group": g, "number": numbers[g], "k": len(centers), "centers": (np.asarray(centers, float) - stats[g][1]) / stats[g][2]}
+        {"group": g, "number": numbers[g], "k": len(starts(g)), "centers": (starts(g) - stats[g][1]) / stats[g][2]}
         for g in sorted(stats, key=str)
     ]
     for _ in range(steps):

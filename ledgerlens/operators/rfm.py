@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.functions import columns as C
+from ledgerlens.functions.hot_keys import join_hot
 from ledgerlens.functions.ordered import quantile_values
 
 COLUMNS = ("CustomerID", "FirstPurchaseDate", "LastPurchaseDate", "Recency", "Frequency", "Monetary")
@@ -110,3 +111,8 @@ def outlier_summary(rfm: DataFrame, cutoffs: tuple[float | None, float | None])
 def of_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
     """Rows whose customer is in `customers`."""
     return df.join(customers.select("CustomerID"), "CustomerID", "left_semi")
+
+
+def lines_of_customers(lines: DataFrame, customers: DataFrame) -> DataFrame:
+    """The same for lines: a customer with very many of them keeps them spread over the tasks."""
+    return join_hot(lines, customers.select("CustomerID").distinct(), ["CustomerID"], "left_semi")

@@ -25,6 +25,14 @@ def order_summary(lines: DataFrame, graded: DataFrame, how: str = "left") -> Dat
     return orders.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID", how)
 
 
+def order_summary_of_months(orders: DataFrame, graded: DataFrame, how: str = "left") -> DataFrame:
+    """`order_summary` from `order_months` rows, so that lines need not be read again."""
+    whole = orders.groupBy("CustomerID", "InvoiceNo").agg(
+        F.sum("Money").cast("double").alias("OrderRevenue"), C.month_text(F.max("MonthStart")).alias("YearMonth")
+    )
+    return whole.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID", how)
+
+
 def segment_summary(orders: DataFrame) -> DataFrame:
     per_grade = (
         orders.where(F.col("Customer_Grade").isNotNull())
@@ -61,17 +69,13 @@ def grade_abc_matrix(pairs: DataFrame) -> DataFrame:
     )
 
 
-def grade_month_revenue(lines: DataFrame, graded: DataFrame, names: Sequence[str] = GRADE_NAMES) -> DataFrame:
-    """Revenue per month and grade, one column per grade.
+def grade_month_revenue(orders: DataFrame, graded: DataFrame, names: Sequence[str] = GRADE_NAMES) -> DataFrame:
+    """Revenue per month and grade of `order_months` rows, one column per grade.
 
-    Lines collapse to customer-months before they meet the grades, so a busy
-    customer brings a handful of rows to the join.
+    Orders collapse to customer-months before they meet the grades, so a busy customer brings a handful of rows to
+    the join.
     """
-    monthly = (
-        lines.where(F.col("CustomerID").isNotNull())
-        .groupBy("CustomerID", "YearMonth")
-        .agg(F.sum(F.col("Revenue").cast(C.MONEY)).alias("_money"))
-    )
+    monthly = orders.groupBy("CustomerID", C.month_text(F.col("MonthStart")).alias("YearMonth")).agg(F.sum("Money").alias("_money"))
     return (
         monthly.join(graded.select("CustomerID", "Customer_Grade"), "CustomerID")
         .where(F.col("Customer_Grade").isNotNull())

@@ -10,6 +10,7 @@ from ledgerlens.config import RetailConfig
 from ledgerlens.operators import clean as cleaning
 from ledgerlens.operators import drivers, facts, grades, panel as panels, predict, products, profile, rfm as rfms
 from ledgerlens.operators import scores, segments, transitions
+from ledgerlens.operators.kmeans import ClusterModel
 from ledgerlens.session import stage
 
 
@@ -27,12 +28,12 @@ class Base:
 
     @property
     def static_filtered(self) -> DataFrame:
-        return rfms.of_customers(self.static, self.rfm)
+        return rfms.lines_of_customers(self.static, self.rfm)
 
     @property
     def dynamic(self) -> DataFrame:
         """All lines of the kept customers, also those outside the static year."""
-        return rfms.of_customers(self.clean, self.rfm)
+        return rfms.lines_of_customers(self.clean, self.rfm)
 
     # The tables below filter by customer only after their aggregation: the join
     # then sees a few rows per customer, also for one that owns a third of the lines.
@@ -88,8 +89,11 @@ def snapshots(base: Base, months: DataFrame | None = None) -> DataFrame:
     return panels.snapshot_panel(months, c.model_first, c.model_last, c.model_windows, c.gap_months)
 
 
-def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
-    """Every result table by name. Shared tables are staged once, reports stay lazy."""
+def run(raw: DataFrame, config: RetailConfig, model: ClusterModel | None = None) -> dict[str, DataFrame]:
+    """Every result table by name. Shared tables are staged once, reports stay lazy.
+
+    A known `model` grades all customers and months in place of the fits; the sweep over k is then left out.
+    """
     lines = stage(cleaning.clean(raw, config))
     base = prepare_clean(lines, config)
     out: dict[str, DataFrame] = {
@@ -107,9 +111,10 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
         "df_dynamic": base.dynamic,
         "rfm_static": base.rfm,
     }
-    out["k_evaluation"] = grades.evaluate_k(base.rfm, config)
-    model = grades.fit_whole(base.rfm, config)
-    segmented = grades.apply_grades(base.rfm, [model] if model else [], config.grade_names)
+    if model is None:
+        out["k_evaluation"] = grades.evaluate_k(base.rfm, config)
+    static_model = model or grades.fit_whole(base.rfm, config)
+    segmented = grades.apply_grades(base.rfm, [static_model] if static_model else [], config.grade_names)
     out["rfm_segmented"] = segmented
     out["cluster_summary"] = transitions.cluster_summary(segmented)
 
@@ -130,14 +135,16 @@ def run(raw: DataFrame, config: RetailConfig) -> dict[str, DataFrame]:
     threshold = scores.vip_threshold(base.rfm)
     out["vip_summary"] = scores.vip_summary(base.rfm, threshold)
     out["vip_class_a"] = scores.vip_class_a_share(pairs, threshold)
-    orders = segments.order_summary(base.static, segmented, "inner")
+    static_orders = facts.in_period(base.orders)
+    orders = segments.order_summary_of_months(static_orders, segmented, "inner")
     out["order_summary"] = orders
     out["segment_summary"] = segments.segment_summary(orders)
     out["segment_abc_ratio"] = segments.grade_abc_matrix(pairs)
-    out["grade_month_revenue"] = segments.grade_month_revenue(base.static, segmented)
+    out["grade_month_revenue"] = segments.grade_month_revenue(static_orders, segmented)
 
     months = stage(base.months())
-    panel = stage(graded_panel(stage(rolling_panel(base, months)), config))
+    rolling = stage(rolling_panel(base, months))
+    panel = stage(grades.apply_grades(rolling, [model], config.grade_names) if model else graded_panel(rolling, config))
     out["monthly_panel"] = panel
     out["monthly_grade_counts"] = transitions.monthly_grade_counts(panel, config.grade_names)
 

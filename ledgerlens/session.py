@@ -41,10 +41,54 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(root, f"staged-{spark.sparkContext.applicationId}")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the session's file system, if it is there."""
+def _located(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of the session's file system, if it is there."""
+    files, where = _located(spark, path)
+    files.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _located(spark, path)
+    return files.exists(where)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, where = _located(spark, path)
+    if not files.rename(where, _located(spark, to)[1]):
+        raise OSError(f"{path} could not become {to}")
+
+
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name below `path`, length, modification time) of all files; one file has the empty name."""
+    files, where = _located(spark, path)
+    root, found = files.makeQualified(where).toString(), []
+    every = files.listFiles(where, True)
+    while every.hasNext():
+        one = every.next()
+        found.append((one.getPath().toString().removeprefix(root).lstrip("/"), one.getLen(), one.getModificationTime()))
+    return found
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: written aside first, so a reader never sees half of it."""
+    aside = f"{path}.{uuid.uuid4().hex}"
+    files, where = _located(spark, aside)
+    out = files.create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    delete(spark, path)
+    rename(spark, aside, path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
 
 
 def release(spark: SparkSession) -> None:
