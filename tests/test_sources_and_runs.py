@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from checks.compare import connect, difference
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
+from ledgerlens.functions import columns
 from ledgerlens.operators import clean as K
 from ledgerlens.plans import analysis
 from ledgerlens.operators import rfm
 from ledgerlens.session import release, shared_folder, stage
-from ledgerlens.sources import readers, sinks
+from ledgerlens.sources import readers, sinks, snapshot
 from ledgerlens.sources.retail_view import VIEW_CONFIG, retail_lines
 from tests.conftest import plan_of
 
@@ -61,6 +62,73 @@ def test_empty_reports_are_skipped(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "full")).first().a == "한글"
 
 
+def test_a_report_replaces_the_one_before_as_a_whole(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1.5, date(2011, 1, 1)), (None, 2.0, None)], "a string, b double, c date")
+    target = str(tmp_path / "out")
+    sinks.save_reports({"one": df, "two": df.select("b"), "nested": df.select(F.array("b").alias("l"))}, target)
+    again = sinks.read_reports(spark, target)
+    assert list(again) == ["one", "two", "nested"]
+    assert sorted(again["one"].collect(), key=str) == sorted(df.collect(), key=str)
+    assert sorted(r.l for r in again["nested"].collect()) == ["[1.5]", "[2.0]"]
+    sinks.save_reports({"two": df.select("a")}, target)
+    assert sorted(os.listdir(target)) == ["two"] and list(sinks.read_reports(spark, target)) == ["two"]
+    assert sinks.save_reports({"two": df.where("false")}, target) == [] and sinks.read_reports(spark, target) == {}
+
+
+def test_a_broken_report_leaves_the_one_before(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1)], "a string, b int")
+    target = str(tmp_path / "out")
+    sinks.save_reports({"one": df}, target)
+    with pytest.raises(Exception, match="stop"):
+        sinks.save_reports({"one": df.where("b > 5"), "bad": df.select(F.raise_error(F.lit("stop")).alias("z"))}, target)
+    assert sinks.read_reports(spark, target)["one"].collect() == df.collect()
+    assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["out", "out.manifest.json"]
+
+
+def test_snapshots_read_changed_parts_only(spark, tmp_path):
+    a, b, target = str(tmp_path / "a"), str(tmp_path / "b.csv"), str(tmp_path / "snap")
+    spark.createDataFrame([(1, 2.5)], "Invoice int, Price double").write.parquet(a)
+    spark.createDataFrame([("x", 7)], "Invoice string, Quantity int").write.parquet(b)
+    rows = lambda: sorted((r.Invoice, r.Price, r.Quantity) for r in snapshot.load(spark, target).collect())
+    assert snapshot.refresh(spark, [a, b], target) == [a, b] and rows() == [("1", "2.5", None), ("x", None, "7")]
+    assert snapshot.refresh(spark, [a, b], target) == []
+    spark.createDataFrame([("y", 70)], "Invoice string, Quantity int").write.mode("overwrite").parquet(b)
+    assert snapshot.stale_parts(spark, [a, b], target) == [b]
+    assert snapshot.refresh(spark, [a, b], target) == [b] and rows() == [("1", "2.5", None), ("y", None, "70")]
+    assert len([f for f in os.listdir(target) if f.startswith("part-")]) == 2
+    # A part that is left out goes, another schema reads again, and nothing is trusted without the cache.
+    assert snapshot.load_data(spark, [b], target).count() == 1 and snapshot.stale_parts(spark, [a, b], target) == [a]
+    schema = "Invoice string, Quantity int"
+    kind = spark.createDataFrame([], schema).schema
+    assert snapshot.refresh(spark, [b], target, schema=kind) == [b] and snapshot.load(spark, target).schema == kind
+    assert snapshot.load_data(spark, [a, b], target, use_cache=False).count() == 2
+    with pytest.raises(ValueError):
+        snapshot.refresh(spark, [], target)
+    with pytest.raises(ValueError):
+        snapshot.load(spark, str(tmp_path / "none"))
+
+
+def test_a_refresh_that_breaks_leaves_the_snapshot(spark, tmp_path, monkeypatch):
+    a, target = str(tmp_path / "a"), str(tmp_path / "snap")
+    spark.createDataFrame([(1,)], "Invoice int").write.parquet(a)
+    snapshot.refresh(spark, [a], target)
+    spark.createDataFrame([(2,)], "Invoice int").write.mode("overwrite").parquet(a)
+    monkeypatch.setattr(snapshot, "write_text", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        snapshot.refresh(spark, [a], target)
+    assert [r.Invoice for r in snapshot.load(spark, target).collect()] == ["1"]
+    monkeypatch.undo()
+    assert snapshot.refresh(spark, [a], target) == [a]
+    assert [r.Invoice for r in snapshot.load(spark, target).collect()] == ["2"]
+
+
+def test_ids_keep_their_digits(spark):
+    df = spark.createDataFrame([("17850.0",), ("17850",), ("9007199254740993",), ("17850.5",), ("x",), (None,), ("99999999999999999999",)], "id string")
+    got = [r[0] for r in df.select(columns.as_id("id")).collect()]
+    assert got == ["17850", "17850", "9007199254740993", "17850", None, None, None]
+    assert spark.range(1).select(F.lit(17850.0).alias("id")).select(columns.as_id("id")).first()[0] == "17850"
+
+
 def test_cleaning_prunes_and_pushes_down(spark, tmp_path):
     path = str(tmp_path / "raw")
     spark.createDataFrame([], readers.RAW_SCHEMA).write.parquet(path)
