@@ -167,7 +167,8 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, i
     for block in range(blocks):
         # Bounded: about BLOCK_WINDOWS rows.
         queries = spark.sparkContext.broadcast(tuple(as_queries(windows.where(F.col("block") == block).collect(), width)))
-        matches = index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(_searcher(queries, slop), schema)
+        matches = stage(index.select("shard", "n_words", "terms", "counts", "places").mapInArrow(_searcher(queries, slop), schema))
+        queries.destroy()
         out = matches if out is None else out.union(matches)
     return out if out is not None else spark.createDataFrame([], schema)
 

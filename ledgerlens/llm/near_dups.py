@@ -9,8 +9,9 @@ where a coordinate stays empty, the text throws on.
 
 Signatures meet in bands. With 26 bands of 5 coordinates a pair of similarity 0.8 is missed once in 30,000
 times. Every candidate is checked exactly. A bucket does not emit its pairs: all members are compared to two
-leaders (the members that meet the most others over all bands). Buckets whose members then are not all
-connected are compared in blocks, inside tasks and without a row per pair, so no link is lost.
+leaders (the members that meet the most others over all bands). Where the members of a bucket are not all
+connected then, those that are not in its largest part visit all blocks of the bucket and are compared with what
+is there, inside tasks and without a row per pair, so no link is lost and the largest part stays where it is.
 
 Weights are 1 (Jaccard similarity of sets of runs) or the number of times a run occurs.
 
@@ -184,7 +185,7 @@ def expanded(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def similar_pairs(sets: list[np.ndarray], own: np.ndarray, label: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different labels that are similar: of all sets if there is one block, else across the blocks.
+    """Pairs of different labels that are similar: of all sets if `own` is one value, else those of unlike `own`.
 
     Common elements are counted by products of incidence matrices, some thousand elements at a time.
     """
@@ -228,11 +229,11 @@ def _met_again(run: int, least: float, counted: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, i, j, own, key, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, i, j) != now:
+            for bucket, block, own, key, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, block) != now:
                     if len(held) > 1:
                         yield links(held)
-                    now, held = (bucket, i, j), []
+                    now, held = (bucket, block), []
                 held.append((own, key, label, text))
         if len(held) > 1:
             yield links(held)
@@ -296,13 +297,17 @@ def classes(
         parted = open_.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("bucket")
         open_ = stage(open_.join(parted, "bucket", "left_semi").select("bucket", "key", "label"))
         sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("key", F.lit(5)), "blocks").cast("int")
-        placed = open_.join(sizes, "bucket").withColumn("own", own)
-        # A block meets itself and all others of its bucket, one meeting to a task at a time.
-        meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
-        placed = placed.select("bucket", "own", "key", "label", meeting.alias("m")).join(chosen, "key").select("bucket", "m.i", "m.j", "own", "key", "label", "text")
+        home = F.pmod(F.xxhash64("key", F.lit(5)), "blocks").cast("int")
+        parts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        sizes = sizes.join(parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("most")), "bucket")
+        # Every member is at home in one block; with several blocks, who is not in the largest part visits all.
+        at_home = F.array(F.struct(home.alias("block"), F.lit(0).alias("own")))
+        visits = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.lit(1).alias("own")))
+        where = F.when((F.col("blocks") > 1) & (F.col("label") != F.col("most")), F.concat(at_home, visits)).otherwise(at_home)
+        placed = open_.join(sizes, "bucket").select("bucket", "key", "label", F.explode(where).alias("m"))
+        placed = placed.join(chosen, "key").select("bucket", "m.block", "m.own", "key", "label", "text")
         partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        met_again = placed.repartition(partitions, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own")
+        met_again = placed.repartition(partitions, "bucket", "block").sortWithinPartitions("bucket", "block", "own")
         more = stage(met_again.mapInArrow(_met_again(run, least, counted), "a binary, b binary").distinct())
         if not more.isEmpty():
             links = links.union(more)

@@ -367,12 +367,15 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     key = F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)).alias("key")
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
+    # Texts without an id are never trusted, so they need not meet an id.
+    dealt = lambda by: F.pmod(by, F.lit(shards)).cast("int").alias("shard")
+    shard = dealt(F.xxhash64("id"))
+    of_text = dealt(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")))
     schema = BLOCKS.format(id=id_type.simpleString())
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(id_type)
-    blocks = rows.select("id", "text", "lang", shard, key).mapInArrow(_blocks(folded), schema)
+    blocks = rows.select("id", "text", "lang", of_text, key).mapInArrow(_blocks(folded), schema)
     ids = trusted.select(F.col(id).cast(id_type).alias("id")).where("id is not null").distinct().select("id", shard)
     # Some hundred rows of ids for each shard; a shard that is large gets more of them, not larger ones.
     part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(256))

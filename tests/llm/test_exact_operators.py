@@ -247,6 +247,76 @@ def check_packing(rows, sizes, lengths):
         assert at == pieces[0].bin_tokens and pieces[0].capacity == min(c for c in lengths if c >= at)
 
 
+@pytest.mark.parametrize("members", [800, 15])
+def test_strays_among_many_near_copies_lose_no_link(spark, members, monkeypatch):
+    monkeypatch.setattr(near_dups, "MEMBERS", members)
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    base = [r.choice(words) for _ in range(120)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        text[r.randrange(120)] = f"n{k}"
+        rows.append((k, " ".join(text)))
+    # Strays of about 0.7, and pairs of them that are near each other.
+    for k in range(12):
+        text = base[:102] + [r.choice(words) for _ in range(18)]
+        rows += [(100 + 2 * k, " ".join(text)), (101 + 2 * k, " ".join([*text[:-1], "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: x.class_id for x in near_dups.classes(docs).collect()}
+    ids, texts = zip(*rows)
+    assert [got[i] for i in ids] == brute.near_classes(ids, texts)
+
+
+def plain_pack(rows, lengths, block, cost):
+    """Bins of (id, size) rows by loops over open bins; blocks as the operator deals them."""
+    out = []
+    for number in sorted({b for *_, b in rows}):
+        pieces = []
+        for k, (i, size, _) in enumerate(sorted((r for r in rows if r[2] == number), key=lambda r: (-r[1], r[0] is not None, r[0] or 0))):
+            pieces += [(k, i, p, min(size - p, max(lengths))) for p in range(0, size, max(lengths))]
+        left, bins = sum(p[3] for p in pieces), []
+        for k, i, start, size in sorted(pieces, key=lambda p: -p[3]):
+            open_ = [b for b in bins if b["room"] >= size]
+            if open_:
+                least = min(b["room"] for b in open_)
+                chosen = [b for b in open_ if b["room"] == least][-1]
+            else:
+                length = min((c for c in lengths if c >= size), key=lambda c: (cost(c) / min(c, left), c))
+                chosen = {"room": length, "held": []}
+                bins.append(chosen)
+            chosen["held"].append((i, start, size))
+            chosen["room"] -= size
+            # A bin that changed comes after those that had its room before.
+            bins.remove(chosen)
+            bins.append(chosen)
+            left -= size
+        out += [tuple(sorted(b["held"], key=str)) for b in bins]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block", [8_000, 12])
+def test_packing_matches_a_plain_version_in_any_layout(spark, block, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    r = random.Random(2)
+    rows = [(k, r.randint(0, 300)) for k in range(60)] + [(None, 50)] * 7 + [(3, 40)] * 5
+    lengths = (64, 128, 256)
+    results = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, size long").repartition(parts)
+        got = packing.best_fit(docs, F.col("size"), lengths).collect()
+        bins = defaultdict(list)
+        for x in got:
+            if x.bin is not None:
+                bins[x.bin].append((x.doc_id, x.start, x.n_tokens))
+        results.append(Counter(tuple(sorted(b, key=str)) for b in bins.values()))
+        blocks = {x.bin.split("-")[0] for x in got if x.bin}
+        assert len(blocks) <= -(-len(rows) // block)
+    assert results[0] == results[1]
+    if block == 8_000:
+        assert results[0] == plain_pack([(i, n, 0) for i, n in rows], lengths, block, packing.linear_cost)
+
+
 def test_packing_is_a_partition_of_all_tokens(odd, odd_rows):
     sizes = Counter()
     for r in odd_rows:

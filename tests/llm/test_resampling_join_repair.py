@@ -166,6 +166,29 @@ def test_trees_connect_what_is_similar(found, percent, visitors):
     assert classes(pairs) == classes(everything)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 200), st.integers(0, 5)), min_size=1, max_size=10), st.sampled_from([50, 80, 100]))
+def test_bitmaps_let_all_similar_sets_pass(shapes, percent):
+    r = np.random.default_rng(len(shapes))
+    values = r.integers(0, 2**63, 300).astype(np.uint64)
+    found = [np.unique(np.concatenate([values[a : a + n], r.integers(0, 2**63, e).astype(np.uint64)])) for a, n, e in shapes]
+    first = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    passed = ngram_join.possible(np.diff(first), ngram_join.parities(np.concatenate(found), first), percent)
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            both = len(np.intersect1d(a, b))
+            if i != j and 100 * both >= percent * (len(a) + len(b) - both):
+                assert passed[i] and passed[j]
+
+
+def test_bitmaps_hold_back_sets_that_share_little():
+    r = np.random.default_rng(1)
+    shared = r.integers(0, 2**63, 60).astype(np.uint64)
+    found = [np.unique(np.concatenate([shared, r.integers(0, 2**63, 500).astype(np.uint64)])) for _ in range(50)]
+    first = np.concatenate([[0], np.cumsum([len(f) for f in found])])
+    assert not ngram_join.possible(np.diff(first), ngram_join.parities(np.concatenate(found), first), 80).any()
+
+
 # Conversation repair
 
 
