@@ -6,6 +6,8 @@ n-grams, the rare ones: the last n - ceil(0.8 n) + 1 of the larger and, as the o
 sets of about one size, the last n - ceil(8/9 n) + 1 of the smaller. So each text sends these with their places
 to the shard of the n-gram, packed in arrays. The shard drops n-grams without a pair that sizes and places allow,
 names one text of each remaining n-gram its leader, and seats the others with it: all candidates share a leader.
+Texts then compare bitmaps in which every n-gram flips one bit: sets differ at least where their bitmaps do, so a
+text whose bitmap is too far from all others at its tables is none's partner, and its words stay at home.
 
 A leader's sets meet in one task as a prefix tree (trie). Sets with the same first n-grams share a path, whose
 overlap with a query is counted once; a subtree is left when the n-grams that remain on either side can't make up
@@ -44,6 +46,7 @@ FLUSH = 1 << 21  # n-grams that a task holds before it sends them
 NEIGHBOURS = 8  # places beyond which an n-gram's texts are not compared by size and place
 PART = 1 << 20  # n-grams of the sets in one tree
 EDGE = 32  # n-grams on an edge of a tree
+MOST_BITS = 1 << 16  # of a bitmap
 
 
 def not_white() -> np.ndarray:
@@ -71,21 +74,91 @@ def sets(data: np.ndarray, rows: np.ndarray, run: int, classes: np.ndarray | Non
     return element, np.searchsorted(text, np.arange(len(rows)))
 
 
+def parities(element: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of two bits or more per element (of 64 to MOST_BITS), a power of two, in which each
+    element flips one bit."""
+    n = np.diff(first)
+    size = np.minimum(64 << np.ceil(np.log2(np.maximum(2 * n, 64) / 64)).astype(np.int64), MOST_BITS)
+    start = np.concatenate([[0], np.cumsum(size)])
+    of = np.repeat(np.arange(len(n)), n)
+    at = start[of] + ((element >> np.uint64(32)) % size[of].astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8)).tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(start, start[1:])]
+
+
+def possible(n: np.ndarray, bits: list[bytes], percent: int) -> np.ndarray:
+    """Which sets can be similar to another one, by sizes and bitmaps."""
+    order = np.argsort(n, kind="stable")
+    n, size = n[order].astype(np.int64), np.array([len(bits[k]) for k in order])
+    rows = {}
+    for b in np.unique(size).tolist():
+        rows[b] = np.frombuffer(b"".join(bits[k] for k in order[size == b].tolist()), np.uint64).reshape(-1, b // 8)
+    begin = {b: int(np.searchsorted(size, b)) for b in rows}
+    keep = np.zeros(len(n), bool)
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n)):
+        for b, others in rows.items():
+            if b < size[i]:
+                continue
+            low, high = max(i + 1, begin[b]), min(int(last[i]), begin[b] + len(others))
+            if low >= high:
+                continue
+            theirs = others[low - begin[b] : high - begin[b]]
+            while theirs.shape[1] > size[i] // 8:
+                half = theirs.shape[1] // 2
+                theirs = theirs[:, :half] ^ theirs[:, half:]
+            own = rows[int(size[i])][i - begin[int(size[i])]]
+            apart = np.bitwise_count(theirs ^ own).sum(axis=1, dtype=np.int64)
+            near = apart <= n[i] + n[low:high] - 2 * overlap_needed(n[i], n[low:high], percent)
+            keep[low:high] |= near
+            keep[i] |= near.any()
+    out = np.zeros(len(n), bool)
+    out[order] = keep
+    return out
+
+
+def _possible(percent: int):
+    """The rows of each leader's group that may have a partner in it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def kept() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            mask = possible(rows.column("n").to_numpy(), rows.column("bits").to_pylist(), percent)
+            return rows.filter(pa.array(mask)).select(["leader", "key"])
+
+        for batch in batches:
+            leader = batch.column(0).to_numpy()
+            for part in np.split(np.arange(len(leader)), np.flatnonzero(leader[1:] != leader[:-1]) + 1):
+                if not len(part):
+                    continue
+                if held and held[0].column(0)[0].as_py() != leader[part[0]]:
+                    yield from kept().to_batches()
+                    held = []
+                held.append(batch.slice(part[0], len(part)))
+        if held:
+            yield from kept().to_batches()
+
+    return work
+
+
 def _sized(run: int):
-    """(id, key, n) of every text, and at the end the counts of n-grams by slot."""
+    """(id, key, n, bits) of every text, and at the end the counts of n-grams by slot."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(SLOTS, np.int64), ["id", "key", "n", "slots", "counts"]
+        counts, names = np.zeros(SLOTS, np.int64), ["id", "key", "n", "bits", "slots", "counts"]
         kind = None
         for piece in pieces(batches, "text"):
             element, first = sets(*utf8(piece.column(2)), run, None)
             counts += np.bincount((element & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             none, kind, size = pa.nulls(len(piece), pa.int32()), piece.column(0).type, np.diff(first)
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(size), none, pa.nulls(len(piece), pa.binary())], names)
+            bits = pa.array(parities(element, first), pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(size), bits, none, pa.nulls(len(piece), pa.binary())], names)
         if kind is not None:
             press = zstandard.ZstdCompressor()
             packed = [press.compress(part.astype(np.int64).tobytes()) for part in np.split(counts, SLOT_ROWS)]
-            nothing = [pa.nulls(SLOT_ROWS, k) for k in (kind, pa.binary(), pa.int64())]
+            nothing = [pa.nulls(SLOT_ROWS, k) for k in (kind, pa.binary(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(SLOT_ROWS), pa.int32()), pa.array(packed, pa.binary())], names)
 
     return work
@@ -355,9 +428,6 @@ def connecting_links(members: list[np.ndarray], label: np.ndarray, visits: np.nd
     return out
 
 
-_SEATS = "leader long, part int, node long, key binary, label binary, visits boolean, text string"
-
-
 def _joined(run: int, percent: int, classes):
     """Links among the texts of each (leader, part)."""
 
@@ -393,7 +463,10 @@ def _spread(seats: DataFrame, wanted) -> DataFrame:
 
 
 def links_of(docs: DataFrame, texts: DataFrame, classes: np.ndarray, run: int, percent: int) -> DataFrame:
-    """Links (a, b) of text keys that connect all similar texts: docs (id, key, text), texts (key, one, n)."""
+    """Links (a, b) of text keys that connect all similar texts: docs (id, key, text), texts (key, one, same, n, bits).
+
+    `one` is the lowest id of the text, `same` the number of rows that have both.
+    """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(classes)  # SLOTS numbers
@@ -401,16 +474,24 @@ def links_of(docs: DataFrame, texts: DataFrame, classes: np.ndarray, run: int, p
     sent = sent.repartition(partitions, "shard").sortWithinPartitions("shard")
     seats = stage(sent.mapInArrow(_seated(percent), "leader long, node long").distinct())
     known = texts.where("n > 0").withColumn("node", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
-    seats = seats.join(known, "node").select("leader", "node", "key", "one", "n")
-    size = seats.groupBy("leader").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"), F.count("*").alias("members"))
-    seats = seats.join(size.where("members > 1"), "leader")
+    seats = seats.join(known, "node").select("leader", "node", "key", "one", "same", "n", "bits")
+    size = seats.groupBy("leader").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    # Few groups are that large; staged, so that the join can spread a large group's rows.
+    seats = seats.join(stage(size.where("parts > 1")), "leader", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     seats = stage(seats.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int")))
-
-    chosen = stage(first_copies(docs, seats.select("key", "one").distinct()).select("key", "text").distinct())
+    small = seats.where("parts = 1").select("leader", "key", "n", "bits").repartition(partitions, "leader").sortWithinPartitions("leader")
+    kept = small.mapInArrow(_possible(percent), "leader long, key binary")
+    # A group that is split is mostly one of near copies: all of it goes on.
+    seats = seats.drop("bits").join(kept.unionByName(seats.where("parts > 1").select("leader", "key")), ["leader", "key"], "left_semi")
+    seats = stage(seats)
 
     def met(rows: DataFrame) -> DataFrame:
-        rows = rows.join(chosen, "key").select("leader", "part", "node", "key", "label", "visits", "text")
-        placed = rows.repartition(partitions, "leader", "part").sortWithinPartitions("leader", "part", "key")
+        columns = ["leader", "part", "node", "key", "label", "visits", "text"]
+        # Texts are dealt by their key at every size, also where few are wanted.
+        rows = first_copies(docs.hint("merge"), rows)
+        repeated = rows.where("same > 1").select(columns).dropDuplicates(["leader", "part", "key", "visits"])
+        placed = rows.where("same = 1").select(columns).unionByName(repeated)
+        placed = placed.repartition(partitions, "leader", "part").sortWithinPartitions("leader", "part", "key")
         return placed.mapInArrow(_joined(run, percent, shared), "a binary, b binary").distinct()
 
     first = _spread(seats, F.col("leader") == F.col("node")).withColumn("label", F.col("key")).withColumn("visits", F.lit(False))
@@ -435,17 +516,19 @@ def components_of(docs: DataFrame, run: int = RUN, percent: int = PERCENT, id: s
     rows = docs.select(F.col(id).alias("id"), body.alias("text"))
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, key binary, n long, slots int, counts binary"
+    schema = f"id {kind}, key binary, n long, bits binary, slots int, counts binary"
     sized = stage(rows.select("id", "key", "text").mapInArrow(_sized(run), schema))
     classes = order_classes(sized)
-    each = sized.where("slots is null").select("id", "key", "n")
-    texts = stage(each.groupBy("key").agg(F.min("id").alias("one"), F.count("*").alias("copies"), F.first("n").alias("n")))
+    each = sized.where("slots is null").select("id", "key", "n", "bits")
+    rows_of = each.groupBy("key", "id").agg(F.count("*").alias("same"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    lowest = F.min_by("same", F.struct(F.col("id").isNull(), "id")).alias("same")
+    texts = stage(rows_of.groupBy("key").agg(F.min("id").alias("one"), lowest, F.sum("same").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     links = links_of(rows, texts, classes, run, percent)
-    labelled = texts.where("n > 0").withColumn("label", F.col("key"))
+    labelled = texts.drop("bits").where("n > 0").withColumn("label", F.col("key"))
     if not links.isEmpty():
         labelled = labelled.drop("label").join(components(links), "key", "left").withColumn("label", F.coalesce("label", "key"))
     lowest = labelled.groupBy("label").agg(F.min("one").alias("component_id"))
     found = labelled.join(lowest, "label").select("key", "one", "copies", "component_id")
-    out = join_by_text(each, found)
+    out = join_by_text(each.drop("bits"), found)
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"))
