@@ -38,7 +38,7 @@ SYMBOLS = 1 << BITS
 CAPITAL, SPACE, PUNCTUATION, DIGIT, SIGN, OTHER = range(26, 32)
 QUANTILE = 0.99
 WIDTH = 3  # bytes of a character in the tables of n-grams
-SHARD_BYTES = 64_000_000
+SHARD_BYTES = 48_000_000
 SYMBOLS_AT_ONCE = 1_000_000
 BROADCAST_LANGUAGES = 10_000  # with more of them their thresholds are joined by shuffle
 
