@@ -809,6 +809,28 @@ def drv6_repeat_distribution(spark, folder):
     return transitions.distribution(rows, "RepeatStatus")
 
 
+@query
+def snk2_report_sizes(spark, folder):
+    """Writes the small reports that need no model and reads their sizes back."""
+    raw = retail_lines(spark, folder)
+    lines = cleaning.clean(raw, CFG)
+    tables = {
+        "preprocessing_stats": cleaning.cleaning_audit(raw, CFG),
+        "yearly_summary": profile.yearly_summary(lines),
+        "monthly_sales": profile.monthly_sales(lines),
+        "nothing": profile.yearly_summary(lines).where(F.lit(False)),
+    }
+    target = _scratch(spark, "report")
+    out = None
+    for name in sinks.save_reports(tables, target):
+        size = (
+            spark.read.option("header", True).csv(os.path.join(target, name))
+            .agg(F.count(F.lit(1)).alias("Rows")).withColumn("Table", F.lit(name))
+        )
+        out = size if out is None else out.unionByName(size)
+    return out
+
+
 def _results(spark, folder) -> dict[str, DataFrame]:
     return analysis.run(retail_lines(spark, folder), CFG, fixed.model())
 

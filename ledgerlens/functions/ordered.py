@@ -11,7 +11,9 @@ bounds per execution, so two executions of the same split need not agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -177,7 +179,93 @@ def _narrowed_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[
     return found
 
 
+_GATHERED = 20_000  # values around all quantiles that the driver may hold
+
+
 def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[tuple[str, float], float]:
-    """Quantiles of the whole table as driver values (columns x probs of them)."""
-    rows = exact_quantiles(df, columns, probs).collect()
-    return {(r["Variable"], r["Prob"]): r["Value"] for r in rows}
+    """Quantiles of the whole table as driver values (columns x probs of them), linearly interpolated and exact.
+
+    One pass sketches all columns, one counts what lies below and around every quantile. Where too many values lie
+    around one for the driver, further passes sketch inside the brackets first. Nothing is sorted.
+    """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    sizes = df.agg(*(F.count(value[c]).alias(f"n{i}") for i, c in enumerate(columns)), *(
+        f(value[c]).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("low", F.min), ("high", F.max))
+    )).first()
+    wanted = []
+    for i, c in enumerate(columns):
+        n = sizes[f"n{i}"]
+        if n:
+            wanted += [_Wanted(c, p, (n - 1) * p, sizes[f"low{i}"], sizes[f"high{i}"], 0, n) for p in probs]
+    while sum(w.inside for w in wanted if w.low < w.high) > _GATHERED:
+        before = [w.inside for w in wanted]
+        _narrow(df, value, wanted)
+        if [w.inside for w in wanted] == before:
+            break
+    out = {}
+    # Several values that come very often share a bracket: they are counted in a table.
+    crowded = [w for w in wanted if w.low < w.high and w.inside > _GATHERED]
+    for w in crowded:
+        out[w.column, w.prob] = exact_quantiles(df, [w.column], [w.prob]).first()["Value"]
+    wanted = [w for w in wanted if w not in crowded]
+    found = _gather(df, value, wanted)
+    for k, w in enumerate(wanted):
+        first, last = (_at(found.get(k, []), rank - w.below) for rank in (math.floor(w.rank), math.ceil(w.rank)))
+        out[w.column, w.prob] = first + (last - first) * (w.rank - math.floor(w.rank))
+    return out
+
+
+@dataclass
+class _Wanted:
+    """A quantile, and the values [low, high] among which it is: `below` values are less than those `inside`."""
+
+    column: str
+    prob: float
+    rank: float
+    low: float
+    high: float
+    below: int
+    inside: int
+
+
+def _narrow(df: DataFrame, value: Mapping[str, Column], wanted: list[_Wanted]) -> None:
+    """Closer brackets by a sketch of what is inside the present ones, and how much that is."""
+    inside = lambda w, low, high: F.when((value[w.column] >= low) & (value[w.column] <= high), value[w.column])
+    sketches = []
+    for k, w in enumerate(wanted):
+        # The sketch is off by one part in _SKETCH; ranks next to the quantile are needed too.
+        slack = 2 + 2 * w.inside / _SKETCH
+        ends = [(math.floor(w.rank) - w.below - slack) / w.inside, (math.ceil(w.rank) - w.below + 1 + slack) / w.inside]
+        ends = [min(max(e, 0.0), 1.0) for e in ends]
+        sketches.append(F.percentile_approx(inside(w, w.low, w.high), ends, _SKETCH).alias(f"q{k}"))
+    row = df.agg(*sketches).first()
+    closer = [tuple(row[f"q{k}"]) for k in range(len(wanted))]
+    counts = []
+    for k, (w, (low, high)) in enumerate(zip(wanted, closer)):
+        counts += [F.count_if(value[w.column] < low).alias(f"b{k}"), F.count(inside(w, low, high)).alias(f"i{k}")]
+    row = df.agg(*counts).first()
+    for k, (w, (low, high)) in enumerate(zip(wanted, closer)):
+        below, count = row[f"b{k}"], row[f"i{k}"]
+        if below <= math.floor(w.rank) and math.ceil(w.rank) < below + count:
+            w.low, w.high, w.below, w.inside = low, high, below, count
+
+
+def _gather(df: DataFrame, value: Mapping[str, Column], wanted: list[_Wanted]) -> dict[int, list[tuple[float, int]]]:
+    """The values inside each bracket with their counts, in order."""
+    out = {k: [(w.low, w.inside)] for k, w in enumerate(wanted) if w.low == w.high}
+    rest = [(k, w) for k, w in enumerate(wanted) if k not in out]
+    if not rest:
+        return out
+    cells = [F.struct(F.lit(k).alias("k"), F.when((value[w.column] >= w.low) & (value[w.column] <= w.high), value[w.column]).alias("v")) for k, w in rest]
+    met = df.select(F.explode(F.filter(F.array(*cells), lambda c: c["v"].isNotNull())).alias("e")).select("e.*")
+    for r in sorted(met.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).collect()):
+        out.setdefault(r.k, []).append((r.v, r.n))
+    return out
+
+
+def _at(values: list[tuple[float, int]], rank: int) -> float:
+    for v, n in values:
+        if rank < n:
+            return v
+        rank -= n
+    raise ValueError("a quantile lies outside its bracket")

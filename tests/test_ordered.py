@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from ledgerlens.functions import ordered
 from ledgerlens.functions.ordered import add_rank, add_running_sums, exact_quantiles, quantile_values
 from tests.conftest import plan_of
 
@@ -108,3 +109,18 @@ def test_rows_never_meet_on_one_task(spark):
     for chunk in plan.split("SinglePartition")[1:]:
         assert "HashAggregate" in chunk.split("Scan")[0] or "HashAggregate" in chunk
     assert plan.count("Exchange SinglePartition") <= 1
+
+
+@pytest.mark.parametrize("gathered", [20_000, 50])
+def test_quantiles_of_several_columns_by_selection(spark, monkeypatch, gathered):
+    monkeypatch.setattr(ordered, "_GATHERED", gathered)
+    rng = np.random.default_rng(12)
+    n = 3001
+    pdf = pd.DataFrame({"a": rng.lognormal(5, 4, n), "b": rng.integers(0, 6, n).astype(float), "c": np.where(rng.random(n) < 0.4, 7.5, rng.normal(0, 3, n)), "d": rng.random(n)})
+    pdf.loc[pdf.index % 9 == 0, "d"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.0, 0.01, 0.25, 0.333, 0.5, 0.75, 0.99, 1.0]
+    got = quantile_values(df, list("abcd"), probs)
+    for c in "abcd":
+        for p in probs:
+            assert got[c, p] == pytest.approx(np.nanquantile(pdf[c], p), rel=1e-12)
