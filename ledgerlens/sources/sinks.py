@@ -47,8 +47,13 @@ def save_reports(tables: Mapping[str, DataFrame], folder: str) -> list[str]:
                 delete(spark, path)
         if exists(spark, folder):
             rename(spark, folder, old)
-        if entries:
-            rename(spark, aside, folder)
+        try:
+            if entries:
+                rename(spark, aside, folder)
+        except Exception:
+            if exists(spark, old):
+                rename(spark, old, folder)
+            raise
     finally:
         delete(spark, aside)
     write_text(spark, f"{folder}.manifest.json", json.dumps(entries, indent=1))
