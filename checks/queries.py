@@ -853,7 +853,7 @@ def snk2_report(spark, folder):
     tables = analysis.report_tables(_results(spark, folder))
     tables["nothing"] = tables["yearly_summary"].where(F.lit(False))
     sinks.save_reports(tables, target)
-    broken = {"yearly_summary": tables["yearly_summary"], "broken": tables["yearly_summary"].select(F.raise_error(F.lit("stop")).alias("x"))}
+    broken = {"yearly_summary": tables["yearly_summary"], "broken": tables["yearly_summary"].select(F.raise_error(F.lit("stop")).cast("string").alias("x"))}
     try:
         sinks.save_reports(broken, target)
     except Exception:

@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "ledgerlens", **conf: st
         # Split a hot join key even when the next step reuses the join's partitioning.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Plans of so many finished queries stay in the driver's memory; a run has hundreds, and some are long.
+        "spark.sql.ui.retainedExecutions": "20",
         # Recording a Python call site per column costs more than small plans take to run.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
     }

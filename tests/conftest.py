@@ -35,3 +35,21 @@ def folder():
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+_CAUSES: list[str] = []
+
+
+@pytest.hookimpl(hookwrapper=True)
+def pytest_runtest_makereport(item, call):
+    """Keep the engine's innermost causes, which long stacks hide."""
+    yield
+    if call.excinfo is not None:
+        text = str(call.excinfo.value)
+        found = [line.strip()[:300] for line in text.splitlines() if line.lstrip().startswith("Caused by") or "Error:" in line[:80]]
+        _CAUSES.append(f"{item.nodeid}: " + " | ".join(found[-4:] or [text[:300]]))
+
+
+def pytest_terminal_summary(terminalreporter):
+    for cause in _CAUSES:
+        terminalreporter.write_line(f"cause of {cause}")

@@ -80,7 +80,7 @@ def test_a_broken_report_leaves_the_one_before(spark, tmp_path):
     target = str(tmp_path / "out")
     sinks.save_reports({"one": df}, target)
     with pytest.raises(Exception, match="stop"):
-        sinks.save_reports({"one": df.where("b > 5"), "bad": df.select(F.raise_error(F.lit("stop")).alias("z"))}, target)
+        sinks.save_reports({"one": df.where("b > 5"), "bad": df.select(F.raise_error(F.lit("stop")).cast("string").alias("z"))}, target)
     assert sinks.read_reports(spark, target)["one"].collect() == df.collect()
     assert sorted(f for f in os.listdir(tmp_path) if not f.startswith(".")) == ["out", "out.manifest.json"]
 
