@@ -955,3 +955,57 @@ ORACLE["snk2_report"] = "\nUNION ALL ".join(
     FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({ORACLE[key]})) ON COLUMNS(*) INTO NAME c VALUE v) GROUP BY c"""
     for name, key in _REPORT.items()
 )
+
+# The results of a whole run with a known model, and their columns by name.
+RESULTS = {
+    "abc_revenue_share": "ABC_Class,Position,Share",
+    "auc_summary": "OverallAUC,TestN,TrainN,WindowMonths",
+    "cluster_profile": "Avg_Revenue_Share,Customer_Grade,Customers,Mean_Frequency,Mean_Monetary,Mean_Recency",
+    "cluster_summary": "Customer_Grade,Customers,Mean_Frequency,Mean_Monetary,Mean_Recency",
+    "correlation": "Corr,Variable1,Variable2",
+    "customer_product": "ABC_Class,CustomerID,Customer_Grade,Frequency,Monetary,Quantity,Recency,Revenue,Segment,StockCode",
+    "dataset_summary": "CleanCustomers,CleanOrders,CleanRows,CleanSKUs,EndDate,RawRows,RemovedRowsTotal,StartDate,TotalRevenue",
+    "describe_lines": "Count,Max,Mean,Median,Min,Q25,Q75,Std,Variable",
+    "describe_rfm": "Count,Max,Mean,Median,Min,Q25,Q75,Std,Variable",
+    "df_clean": "Country,CustomerID,Description,InvoiceDate,InvoiceNo,Month,MonthStart,Quantity,Revenue,StockCode,UnitPrice,Year,YearMonth",
+    "df_dynamic": "Country,CustomerID,Description,InvoiceDate,InvoiceNo,Month,MonthStart,Quantity,Revenue,StockCode,UnitPrice,Year,YearMonth",
+    "df_static_filtered": "Country,CustomerID,Description,InvoiceDate,InvoiceNo,Month,MonthStart,Quantity,Revenue,StockCode,UnitPrice,Year,YearMonth",
+    "grade_month_revenue": "Lv1.이탈관리,Lv2.관심필요,Lv3.신규성장,Lv4.우수충성,Lv5.최우수VIP,YearMonth",
+    "high_m_freq_dist": "Count,FreqGroup_in_HighM,MovementType,Ratio",
+    "high_m_freq_summary": "Customers,Down_Rate,FreqGroup_in_HighM,Mean_Frequency,Mean_Monetary,NoActivity_Rate,Obs,Up_Rate",
+    "lv3_abc_detail": "A_Share,AnalysisMonth,B_Share,C_Share,CustomerID,MovementType",
+    "lv3_abc_summary": "Customers,Mean_A_Share,Mean_B_Share,Mean_C_Share,MovementType,Obs",
+    "lv3_next_month_count": "Count,Customer_Grade,NextGrade",
+    "lv3_next_month_ratio": "Customer_Grade,NextGrade,Ratio",
+    "mobility_summary": "Customer_Grade,Customers,Move_Rate,Obs",
+    "monthly_auc": "AUC,BaseMonthStr,N,PositiveRate,WindowMonths",
+    "monthly_grade_counts": "AnalysisMonthStr,Lv1.이탈관리,Lv2.관심필요,Lv3.신규성장,Lv4.우수충성,Lv5.최우수VIP",
+    "monthly_panel": "AnalysisMonth,AnalysisMonthStr,Cluster,CustomerID,Customer_Grade,FirstPurchaseDate,Frequency,LastPurchaseDate,Monetary,Recency,WindowEnd,WindowStart",
+    "monthly_sales": "Revenue,YearMonth",
+    "movement_dist": "Count,Customer_Grade,MovementType,Ratio",
+    "order_summary": "CustomerID,Customer_Grade,InvoiceNo,OrderRevenue,YearMonth",
+    "outlier_summary": "FilteredCustomers,Frequency99Cutoff,Monetary99Cutoff,OriginalCustomers,RemovedCustomers",
+    "preprocessing_stats": "Customers,Orders,RemovedRowsFromPreviousStep,Revenue,Rows,Step",
+    "product_rank": "ProductRank,Revenue,StockCode",
+    "product_sales": "ABC_Class,CumulativeRatio,CumulativeRevenue,Quantity,Revenue,StockCode",
+    "repeat_dist": "Count,MovementType,Ratio,RepeatStatus",
+    "repeat_summary": "Customers,Down_Rate,Mean_Frequency,Mean_Monetary,Mean_Recency,NoActivity_Rate,Obs,RepeatStatus,Stay_Rate,Up_Rate",
+    "rfm_impact_dist": "Count,Group,MovementType,Ratio",
+    "rfm_impact_summary": "Customers,Cut,Down_Rate,Group,Mean_Value,NoActivity_Rate,Obs,Up_Rate,Variable",
+    "rfm_scored": "CustomerID,F_score,FirstPurchaseDate,Frequency,LastPurchaseDate,M_score,Monetary,RFM_score,R_score,Recency,Segment2",
+    "rfm_segmented": "Cluster,CustomerID,Customer_Grade,FirstPurchaseDate,Frequency,LastPurchaseDate,Monetary,Recency",
+    "rfm_static": "CustomerID,FirstPurchaseDate,Frequency,LastPurchaseDate,Monetary,Recency",
+    "rule_segment_counts": "Count,Segment2",
+    "scored_test": "BaseMonth,BaseMonthStr,CustomerID,Frequency,Monetary,PredProb,Recency,TargetBuyNextMonth,WindowMonths",
+    "segment_abc": "ABC_Class,Ratio,Revenue,Segment,TotalRevenue",
+    "segment_abc_ratio": "A,B,C,Customer_Grade",
+    "segment_summary": "AOV,Customer_Grade,Customer_Share,Customers,GradeOrder,Orders,Revenue,Revenue_Share,Revenue_per_Customer",
+    "top_products": "ABC_Class,CumulativeRatio,CumulativeRevenue,Quantity,Revenue,StockCode",
+    "transition_base": "AnalysisMonth,AnalysisMonthStr,Cluster,CurrentGradeNum,CustomerID,Customer_Grade,FirstPurchaseDate,Frequency,LastPurchaseDate,Monetary,Moved,MovementType,NextGrade,NextGradeNum,Recency,WindowEnd,WindowStart",
+    "variable_info": "Column,Dtype,MissingValues,Position,UniqueValues",
+    "vip_class_a": "VIP_A,VIP_A_Ratio,VIP_Total",
+    "vip_summary": "VIP_Customer_Ratio,VIP_Customers,VIP_Revenue_Ratio",
+    "yearly_summary": "Customers,Orders,Revenue,Rows,SKUs,Year",
+}
+_LISTED = ", ".join(f"('{name}', '{columns}')" for name, columns in RESULTS.items())
+add("snk3_result_set", "clean", f"SELECT r AS Result, c AS Columns, (SELECT count(*) FROM clean) AS CleanRows FROM (VALUES {_LISTED}) v(r, c)")
