@@ -266,7 +266,7 @@ def flt7_static_year(spark, folder):
 
 @query
 def flt8_cohort_lines(spark, folder):
-    return totals(base(spark, folder).dynamic)
+    return totals(analysis.prepare_clean(stage(clean(spark, folder)), CFG).dynamic)
 
 
 @query

@@ -12,6 +12,9 @@ from ledgerlens.config import GRADE_NAMES, NO_ACTIVITY
 # Exact money sums: 30 digits before the point, so neither lines nor totals of totals overflow.
 MONEY = "decimal(38,8)"
 
+# Text that a cast may take for a whole number, with the white space and control characters it leaves out.
+_WHOLE = r"^[\s\p{Cntrl}]*[+-]?[0-9]+[\s\p{Cntrl}]*$"
+
 
 def instant(value: date | datetime) -> Column:
     """Literal timestamp without time zone."""
@@ -46,7 +49,9 @@ def as_text(name: str) -> Column:
 def as_id(name: str) -> Column:
     """17850.0 -> '17850', as is 17850.5; text that is a whole number keeps all its digits. What is no number, or
     is beyond 64 bits, is missing."""
-    whole = F.expr(f"coalesce(try_cast(cast(`{name}` as string) as bigint), try_cast(try_cast(`{name}` as double) as bigint))")
+    text, parsed = F.col(f"`{name}`").cast("string"), F.expr(f"try_cast(cast(`{name}` as string) as bigint)")
+    # Only text that can be a whole number is read as one: a failed cast raises an exception for each row inside Spark.
+    whole = F.coalesce(F.when(text.rlike(_WHOLE), parsed), F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)"))
     return F.when(as_number(name).isNotNull(), whole.cast("string"))
 
 

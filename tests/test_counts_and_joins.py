@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
+from ledgerlens.functions import columns
 from ledgerlens.functions.distinct import distinct_by_group, nulls_and_values
 from ledgerlens.functions.hot_keys import hot_keys, join_hot
 from ledgerlens.operators import drivers, profile, rfm
@@ -125,3 +127,22 @@ def test_a_best_seller_does_not_fill_one_task(spark, plain_shuffles):
     keys = ["AnalysisMonth", "StockCode"]
     assert largest_share(join_hot(bought, classes, keys)) < 0.2 < 0.4 < largest_share(bought.join(classes, keys))
     assert drivers.join_hot is join_hot
+
+
+def test_ids_are_read_as_text_only_where_that_can_succeed(spark):
+    odd = ["17850", "17850.0", " 12\t", "\x1f-7\x0b", "+5\n", "12.", ".5", "1e3", "0x1F", "1 2", "", " ", "NaN", "Infinity", "5\xa0", "9223372036854775808", "12d", None]
+    df = spark.createDataFrame([(v,) for v in odd], "id string")
+    plain = F.expr("case when not isnan(try_cast(id as double)) then cast(coalesce(try_cast(id as bigint), try_cast(try_cast(id as double) as bigint)) as string) end")
+    rows = df.select("id", columns.as_id("id").alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    # Each failed cast is an exception inside Spark; the text of a double never is a whole number.
+    assert "RLIKE" in plan_of(df.select(columns.as_id("id")))
+
+
+def test_lines_meet_their_customers_in_one_read_where_no_key_is_hot(spark, folder):
+    left, right = spark.range(1000).withColumnRenamed("id", "k"), spark.range(0, 1000, 2).withColumnRenamed("id", "k")
+    met = join_hot(left, right, ["k"], "left_semi")
+    assert met.count() == 500 and "Union" not in plan_of(met)
+    # The lines are built from the raw tables once, for the cut of customers and for the join.
+    files = lambda name: [f for f in QUERIES[name](spark, folder).inputFiles() if "lineitem" in f]
+    assert files("flt8_cohort_lines") == []
