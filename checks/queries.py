@@ -436,7 +436,7 @@ def agg19_monthly_grade_counts(spark, folder):
 
 @query
 def agg20_describe_lines(spark, folder):
-    return profile.describe(clean(spark, folder), ["Revenue", "Quantity", "UnitPrice"], narrow=True)
+    return profile.describe(stage(clean(spark, folder)), ["Revenue", "Quantity", "UnitPrice"], narrow=True)
 
 
 @query

@@ -97,7 +97,7 @@ def describe(df: DataFrame, columns: Sequence[str], narrow: bool = False) -> Dat
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per column.
 
     Sums are decimals and deviations are taken from the mean in a second pass, so no digit depends on how rows are
-    dealt. Set `narrow` for tables of lines (see `exact_quantiles`).
+    dealt. Set `narrow` for tables of lines (see `exact_quantiles`). `df` is read several times and should be staged.
     """
     means = _means(df, columns)
     melted = df.select(

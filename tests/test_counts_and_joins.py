@@ -146,3 +146,11 @@ def test_lines_meet_their_customers_in_one_read_where_no_key_is_hot(spark, folde
     # The lines are built from the raw tables once, for the cut of customers and for the join.
     files = lambda name: [f for f in QUERIES[name](spark, folder).inputFiles() if "lineitem" in f]
     assert files("flt8_cohort_lines") == []
+
+
+def test_described_lines_are_built_once(spark, folder, monkeypatch):
+    seen = []
+    whole = profile.describe
+    monkeypatch.setattr(profile, "describe", lambda df, *rest, **more: seen.append(df.inputFiles()) or whole(df, *rest, **more))
+    assert QUERIES["agg20_describe_lines"](spark, folder).count() == 3
+    assert seen and not any("lineitem" in f for files in seen for f in files)
