@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.session import stage
 
-_BLOCK_ROWS = 2000  # distinct points per block; a pair of blocks fits easily in one task
+# Every block of distinct points is sent to every other one, so rows are copied once per block: blocks are no smaller
+# than tasks need. A pair of them is met in tiles that stay in a core's cache.
+_BLOCK_ROWS, _LARGEST_BLOCK, _BLOCKS, _TILE = 2000, 20_000, 32, 256
 
 
 def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
@@ -124,13 +126,18 @@ def euclidean(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: st
     return total.select(by, ((F.col("l") + F.col("h")) / (2 * F.col("n"))).alias("Silhouette"), ((F.col("h") - F.col("l")) / (2 * F.col("n"))).alias("Bound"))
 
 
+def _blocks(points: int) -> int:
+    return max(1, math.ceil(points / _LARGEST_BLOCK), min(_BLOCKS, math.ceil(points / _BLOCK_ROWS)))
+
+
 def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
     """One row per `by` value, exact for any size. Every row needs a label for every `by` value.
 
     Equal points become one weighted row that carries its label in every model,
     so distances are computed once for all models. Rows are split evenly into
     blocks by hash, blocks meet pairwise as groups of bounded size, and each
-    pair returns distance sums per row and cluster, never the pairs.
+    pair returns distance sums per row and cluster, never the pairs. Its work
+    grows with the square of the distinct points: see `euclidean` for a bracket.
     """
     ks = sorted(r[by] for r in df.select(by).distinct().collect())
     if not ks:
@@ -152,7 +159,7 @@ def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster",
     mass = {(r["i"], r["c"]): r["n"] for r in sizes}
     slots = {key: s for s, key in enumerate(mass)}
 
-    blocks = max(1, math.ceil(points.count() / _BLOCK_ROWS))
+    blocks = _blocks(points.count())
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     tagged = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = tagged.withColumn("other", every)
@@ -163,13 +170,20 @@ def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster",
         if mine.empty or theirs.empty:
             return pd.DataFrame({c: [] for c in ("id", "w", *labels, "t")})
         x, y = mine[names].to_numpy(float), theirs[names].to_numpy(float)
-        gap = np.zeros((len(x), len(y)))
-        for i in range(len(names)):
-            gap += (x[:, i, None] - y[None, :, i]) ** 2
         member = np.zeros((len(y), len(slots)))
         for (i, c), slot in slots.items():
             member[:, slot] = theirs["w"] * (theirs[labels[i]] == c)
-        return mine[["id", "w", *labels]].assign(t=list(np.sqrt(gap) @ member))
+        total = np.zeros((len(x), len(slots)))
+        for a in range(0, len(x), _TILE):
+            for b in range(0, len(y), _TILE):
+                one, two = x[a : a + _TILE], y[b : b + _TILE]
+                gap = 0.0
+                for i in range(len(names)):
+                    step = np.subtract.outer(one[:, i], two[:, i])
+                    step *= step
+                    gap = np.add(gap, step, out=step)
+                total[a : a + _TILE] += np.sqrt(gap, out=gap) @ member[b : b + _TILE]
+        return mine[["id", "w", *labels]].assign(t=list(total))
 
     schema = ", ".join(["id long", "w double", *(f"{c} int" for c in labels), "t array<double>"])
     met = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(sums, schema)

@@ -307,3 +307,19 @@ def test_window_report_and_degenerate_splits(spark):
     empty = predict.evaluate_windows(only, [3], date(2011, 7, 1))
     assert empty.monthly.count() == 0 and empty.summary.first().OverallAUC is None
     assert empty.scored.where("PredProb is not null").count() == 0 and empty.scored.count() > 0
+
+
+def test_exact_silhouette_copies_no_more_rows_than_tasks_need(spark, monkeypatch):
+    assert [silhouette._blocks(n) for n in (0, 1, 2000, 9000, 90_000, 900_000)] == [1, 1, 1, 5, 32, 45]
+    r = np.random.default_rng(5)
+    x, label = r.normal(size=(300, 2)), r.integers(0, 3, 300)
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    mean = lambda c: gap[:, label == c].sum(1) / np.where(label == c, (label == c).sum() - 1, (label == c).sum())
+    means = np.stack([mean(c) for c in range(3)], 1)
+    own = means[np.arange(300), label]
+    means[np.arange(300), label] = np.inf
+    other = means.min(1)
+    df = spark.createDataFrame([(1, float(a), float(b), int(c)) for (a, b), c in zip(x, label)], "K int, a double, b double, Cluster int")
+    # Tiles that do not fit evenly.
+    monkeypatch.setattr(silhouette, "_TILE", 64)
+    assert silhouette.euclidean_exact(df, ["a", "b"]).first()["Silhouette"] == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-12)
