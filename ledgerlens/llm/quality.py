@@ -39,7 +39,7 @@ CAPITAL, SPACE, PUNCTUATION, DIGIT, SIGN, OTHER = range(26, 32)
 QUANTILE = 0.99
 WIDTH = 3  # bytes of a character in the tables of n-grams
 SHARD_BYTES = 48_000_000
-SYMBOLS_AT_ONCE = 1_000_000
+SYMBOLS_AT_ONCE = 250_000
 BROADCAST_LANGUAGES = 10_000  # with more of them their thresholds are joined by shuffle
 
 
@@ -140,7 +140,7 @@ class Numbered:
         """`keys` are new."""
         if 2 * (self.count + len(keys)) > len(self.held):
             keys = np.concatenate([self.keys[: self.count], keys])
-            self.bits = max(self.bits + 1, int(4 * len(keys)).bit_length())
+            self.bits = max(self.bits + 1, int(2 * len(keys)).bit_length())
             self._empty()
         total = self.count + len(keys)
         if total > len(self.keys):
