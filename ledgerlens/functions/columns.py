@@ -46,9 +46,12 @@ def as_text(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("nan"))
 
 
-def as_id(name: str) -> Column:
+def as_id(name: str, floating: bool = False) -> Column:
     """17850.0 -> '17850', as is 17850.5; text that is a whole number keeps all its digits. What is no number, or
-    is beyond 64 bits, is missing."""
+    is beyond 64 bits, is missing. Set `floating` for float or double columns: their text always has a point, so
+    none is made."""
+    if floating:
+        return F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)").cast("string")
     text, parsed = F.col(f"`{name}`").cast("string"), F.expr(f"try_cast(cast(`{name}` as string) as bigint)")
     # Only text that can be a whole number is read as one: a failed cast raises an exception for each row inside Spark.
     whole = F.coalesce(F.when(text.rlike(_WHOLE), parsed), F.expr(f"try_cast(try_cast(`{name}` as double) as bigint)"))

@@ -60,7 +60,7 @@ def typed(df: DataFrame, date_formats: Sequence[str] = (), strict_nulls: bool =
             "StockCode": text("StockCode"),
             "Country": text("Country"),
             "Description": text("Description") if has_note else F.lit(""),
-            "CustomerID": C.as_id("CustomerID"),
+            "CustomerID": C.as_id("CustomerID", df.schema["CustomerID"].dataType.typeName() in ("float", "double")),
         }
     )
     return out.withColumn("Revenue", F.col("Quantity") * F.col("UnitPrice"))

@@ -118,7 +118,8 @@ def mover_mix(base: DataFrame, product_months: DataFrame, classes: DataFrame, gr
     """A, B and C revenue shares of each customer-month of `grade` that moves up or down.
 
     The movers, not the purchases, are spread over their window months: the
-    join then has plain equality keys and reads each purchase row once.
+    join then has plain equality keys and reads each purchase row once. Money
+    is added up after the class is known, so purchases meet in one shuffle only.
     """
     movers = base.where((F.col("Customer_Grade") == grade) & F.col("MovementType").isin("Up", "Down")).select(
         "CustomerID",
@@ -129,9 +130,9 @@ def mover_mix(base: DataFrame, product_months: DataFrame, classes: DataFrame, gr
         ).alias("MonthStart"),
     )
     bought = stage(
-        movers.join(product_months, ["CustomerID", "MonthStart"])
-        .groupBy("CustomerID", "AnalysisMonth", "MovementType", "StockCode")
-        .agg(F.sum("Money").alias("_money"))
+        movers.join(product_months, ["CustomerID", "MonthStart"]).select(
+            "CustomerID", "AnalysisMonth", "MovementType", "StockCode", F.col("Money").alias("_money")
+        )
     )
     known = classes.select("AnalysisMonth", "StockCode", "ABC_Class")
     total = F.col("_all").cast("double")

@@ -1,15 +1,16 @@
 import random
-from datetime import datetime
+from datetime import date, datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.queries import QUERIES
 from ledgerlens.functions import columns
 from ledgerlens.functions.distinct import distinct_by_group, nulls_and_values
 from ledgerlens.functions.hot_keys import hot_keys, join_hot
-from ledgerlens.operators import drivers, profile, rfm
+from ledgerlens.operators import clean as cleaning, drivers, profile, rfm
 from ledgerlens.session import stage
 from tests.conftest import plan_of
 
@@ -154,3 +155,32 @@ def test_described_lines_are_built_once(spark, folder, monkeypatch):
     monkeypatch.setattr(profile, "describe", lambda df, *rest, **more: seen.append(df.inputFiles()) or whole(df, *rest, **more))
     assert QUERIES["agg20_describe_lines"](spark, folder).count() == 3
     assert seen and not any("lineitem" in f for files in seen for f in files)
+
+
+def test_number_ids_are_not_read_as_text(spark):
+    values = [17850.0, 17850.5, -0.0, -3.7, float("nan"), float("inf"), 9.3e18, 1e7, 123456789012345680.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "id double")
+    got = df.select("id", columns.as_id("id").alias("want"), columns.as_id("id", floating=True).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and got[0].got == got[1].got == "17850"
+    raw = df.select(F.col("id").alias("CustomerID"), *(F.lit("1").alias(c) for c in cleaning.REQUIRED if c != "CustomerID"))
+    assert "RLIKE" not in plan_of(cleaning.typed(raw))
+
+
+def test_purchases_of_movers_meet_without_a_shuffle_of_their_sums(spark, monkeypatch):
+    """Money of two window months and two classes, and a purchase table that no aggregate built."""
+    plans = []
+    monkeypatch.setattr(drivers, "stage", lambda df: plans.append(plan_of(df)) or stage(df))
+    base = spark.createDataFrame([("1", date(2011, 5, 1), "L", "Up"), ("2", date(2011, 5, 1), "L", "Stay")], "CustomerID string, AnalysisMonth date, Customer_Grade string, MovementType string")
+    bought = [("1", "a", date(2011, 3, 1), 2), ("1", "a", date(2011, 4, 1), 4), ("1", "b", date(2011, 4, 1), 2), ("1", "a", date(2011, 5, 1), 90), ("2", "a", date(2011, 4, 1), 7)]
+    months = spark.createDataFrame(bought, "CustomerID string, StockCode string, MonthStart date, m int").withColumn("Money", F.col("m").cast(columns.MONEY))
+    classes = spark.createDataFrame([(date(2011, 5, 1), "a", "A"), (date(2011, 5, 1), "b", "C")], "AnalysisMonth date, StockCode string, ABC_Class string")
+    rows = drivers.mover_mix(base, months, classes, "L", 2).collect()
+    assert [(r.CustomerID, r.A_Share, r.B_Share, r.C_Share) for r in rows] == [("1", 0.75, 0.0, 0.25)]
+    assert "Aggregate" not in plans[0]
+
+
+def test_the_report_joins_its_raw_lines_once(spark, folder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.analysis, "run", lambda raw, *_: seen.append(plan_of(raw)) or {})
+    queries._results(spark, folder)
+    assert "Join" not in seen[0]
