@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlens.llm.bytes_and_words import pieces, ranges, text_hashes, utf8, words
-from ledgerlens.session import stage
+from ledgerlens.session import small_batches, stage
 
 BLOCK_WINDOWS = 100_000  # windows sent to all shards at once (80 bytes each, and an id)
 SHARD_BYTES = 300_000  # of text, so that a shard's row stays below a megabyte
@@ -35,6 +35,7 @@ SHARD_SCHEMA = "shard string, ids array<{id}>, n_words array<int>, terms binary,
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Staged table with one row per shard of about SHARD_BYTES of text."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"), F.spark_partition_id().alias("part"))
 

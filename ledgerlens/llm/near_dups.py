@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.llm.bytes_and_words import hashed_range, mix, pieces, ranges, utf8, words
 from ledgerlens.llm.components import components
 from ledgerlens.llm.copies import first_copies, join_by_text
-from ledgerlens.session import stage
+from ledgerlens.session import small_batches, stage
 
 RUN = 5
 BANDS = 26
@@ -268,6 +268,7 @@ def classes(
 
     `n_links` counts the checked links of the text to other texts that connect its class.
     """
+    small_batches(docs.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(id).alias("id"), body.alias("text"))
     rows = rows.withColumn("key", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlens.llm.bytes_and_words import pieces, utf8
-from ledgerlens.session import stage
+from ledgerlens.session import small_batches, stage
 
 ORDER = 5
 BITS = 5
@@ -359,6 +359,7 @@ def _scored(kind: pa.DataType, folded: bool):
 def perplexities(docs: DataFrame, trusted: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", folded: bool = True) -> DataFrame:
     """Staged (id, key, lang, n_symbols, perplexity), one row per document; key is half of the text's SHA-256. `trusted` has the ids of trusted documents."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id].dataType
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from ledgerlens.llm.bytes_and_words import hashed_range, mix, pieces, ranges, utf8
 from ledgerlens.llm.copies import first_copies, join_by_text
 from ledgerlens.llm.suffix_array import equal_neighbours, suffix_arrays
-from ledgerlens.session import stage
+from ledgerlens.session import small_batches, stage
 
 LENGTH = 400
 GRAM = 192
@@ -310,6 +310,7 @@ def repeated_strings(
     lowest id. Texts that occur several times lose all."""
     if not length > gram >= 8:
         raise ValueError("a window must be longer than the string it chooses")
+    small_batches(docs.sparkSession)
     rows = identified(docs, id, text).where(F.col("n_bytes") >= length)
     # min(id) spreads the copies of a text over the partitions of the join below: only one meets its id.
     texts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.max("n_bytes").alias("n_bytes"))

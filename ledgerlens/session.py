@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def build_session(master: str | None = None, app: str = "ledgerlens", **conf: str) -> SparkSession:
@@ -33,6 +35,16 @@ def build_session(master: str | None = None, app: str = "ledgerlens", **conf: st
     return builder.getOrCreate()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows reach Python workers in batches of about BATCH_BYTES, unless the session names a size.
+
+    Spark's own limit is 64 MB. A batch of texts is then a whole partition, which the executor and the worker
+    both hold, and neither gives all of that memory back.
+    """
+    if _BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder for staged tables, below `spark.checkpoint.dir` or else the warehouse.
 

@@ -3,6 +3,7 @@
 import os
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,24 @@ def test_empty_documents(spark, empty, inputs):
         docs = apply(spark, docs, inputs)
         assert docs.count() == 0
     assert os.path.isdir(inputs)
+
+
+@pytest.mark.parametrize("number", range(4))
+def test_texts_reach_workers_in_small_batches(spark, empty, inputs, number):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], ["size", "n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    texts = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    try:
+        spark.conf.unset(key)
+        pipeline.STAGES[number][1](spark, empty, inputs).count()
+        found = texts.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(r.n for r in found) == 3000 and max(r["size"] for r in found) < 5_000_000
+        spark.conf.set(key, "1m")
+        pipeline.STAGES[number][1](spark, empty, inputs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
