@@ -33,9 +33,11 @@ from ledgerlens.session import small_batches, stage
 
 LENGTH = 400
 GRAM = 192
+PASSAGE = 250  # a passage of 50 words has some 300 bytes, and 250 at least
+PASSAGE_GRAM = 112
 PER_ARRAY = 24  # segments of a bucket that share one suffix array
 BATCH_BYTES = 1_500_000  # of strings whose arrays are built in step
-PIECE = 1_000_000
+PIECE = 100_000  # bytes of text whose hashes are made at a time: they fit a core's cache
 STRETCH = 1_000_000  # windows of a long text that are hashed at a time
 CUT_BYTES = 16_000_000  # of segments that leave a task as one batch
 
@@ -303,54 +305,117 @@ def _kept(length: int):
     return run
 
 
-def repeated_strings(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(key, one, copies, n_removed, n_spans, kept_sha256, kept) of every text that loses bytes; one is its
-    lowest id. Texts that occur several times lose all."""
-    if not length > gram >= 8:
-        raise ValueError("a window must be longer than the string it chooses")
-    small_batches(docs.sparkSession)
-    rows = identified(docs, id, text).where(F.col("n_bytes") >= length)
-    # min(id) spreads the copies of a text over the partitions of the join below: only one meets its id.
-    texts = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.max("n_bytes").alias("n_bytes"))
-    strings = stage(rows.select("key", "text").mapInArrow(_chosen_strings(length, gram), "key binary, mh long, n long"))
+def _texts(rows: DataFrame) -> DataFrame:
+    # min(id) spreads the copies of a text over the partitions of the joins by text: only one meets its id.
+    return rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("one"), F.max("n_bytes").alias("n_bytes"))
+
+
+def _sharing(rows: DataFrame, texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row per text that chooses a string which is chosen elsewhere too: key, text, mhs, parts, copies, one."""
+    strings = stage(rows.select("key", "text").mapInArrow(_chosen_strings(length, gram), "key binary, mh long, n long"), tidy=True)
     owner = F.xxhash64("key")
     met = strings.groupBy("mh").agg(F.min(owner).alias("a"), F.max(owner).alias("b"), F.max("n").alias("n"), F.sum("n").alias("all"))
     met = met.where("a != b or n > 1").select("mh", F.ceil(F.col("all") / PER_ARRAY).cast("int").alias("parts"))
-    wanted = strings.join(met, "mh").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("mh", "parts"))).alias("wanted"))
-    wanted = wanted.join(texts.drop("n_bytes"), "key")
-    chosen = stage(
-        first_copies(rows, wanted).select("key", "text", F.map_keys("wanted").alias("mhs"), F.map_values("wanted").alias("parts"), "copies", "one")
+    wanted = _wanted(strings.join(met, "mh")).join(texts.drop("n_bytes"), "key")
+    return stage(
+        first_copies(rows, wanted).select("key", "text", F.map_keys("wanted").alias("mhs"), F.map_values("wanted").alias("parts"), "copies", "one"),
+        tidy=True,
     )
-    cut = chosen.select("key", "text", "mhs", "parts").mapInArrow(
+
+
+def _wanted(strings: DataFrame) -> DataFrame:
+    return strings.groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("mh", "parts"))).alias("wanted"))
+
+
+def _windows(sharing: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, low, high): the ranges of repeated windows of each text, as arrays."""
+    cut = sharing.select("key", "text", "mhs", "parts").mapInArrow(
         _cut(length, gram), "mh long, part int, parts int, key binary, starts array<int>, bytes binary"
     )
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = stage(cut.repartition(partitions, "mh", "part").sortWithinPartitions("mh", "part").mapInArrow(_meet(length), MET))
+    partitions = int(sharing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = stage(cut.repartition(partitions, "mh", "part").sortWithinPartitions("mh", "part").mapInArrow(_meet(length), MET), tidy=True)
     across = met.where("digest is not null")
     again = across.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1").select("digest")
     far = across.where("n = 1").join(again, "digest", "left_semi")
     windows = met.where("digest is null").select("key", "low", "high").unionByName(far.select("key", "low", "high"))
-    windows = windows.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
-    single = chosen.where("copies = 1").select("key", "text", "one").join(windows, "key")
-    id_type = rows.schema["id"].dataType.simpleString()
-    kept = single.select("key", "text", "low", "high", "one").mapInArrow(
+    return windows.groupBy("key").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high"))
+
+
+def _cut_out(sharing: DataFrame, windows: DataFrame, length: int) -> DataFrame:
+    """(key, one, n_removed, n_spans, kept_sha256, kept) of texts that occur once."""
+    single = sharing.where("copies = 1").select("key", "text", "one").join(windows, "key")
+    id_type = single.schema["one"].dataType.simpleString()
+    return single.select("key", "text", "low", "high", "one").mapInArrow(
         _kept(length), f"key binary, one {id_type}, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
-    kept = kept.withColumn("copies", F.lit(1).cast("long"))
-    gone = texts.where("copies > 1").select(
+
+
+def _losing(sharing: DataFrame, texts: DataFrame, length: int, gram: int) -> DataFrame:
+    kept = _cut_out(sharing, _windows(sharing, length, gram), length).withColumn("copies", F.lit(1).cast("long"))
+    gone = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
         "key", "one", "copies", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
         F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept"),
     )
     return kept.unionByName(gone)
 
 
-def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), changed."""
-    found = repeated_strings(docs, length, gram, id, text).drop("kept")
+def repeated_strings(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(key, one, copies, n_removed, n_spans, kept_sha256, kept) of every text that loses bytes; one is its
+    lowest id. Texts that occur several times lose all."""
+    if not length > gram >= 8:
+        raise ValueError("a window must be longer than the string it chooses")
+    small_batches(docs.sparkSession)
+    rows = identified(docs, id, text).where(F.col("n_bytes") >= length)
+    texts = _texts(rows)
+    return _losing(_sharing(rows, texts, length, gram), texts, length, gram)
+
+
+def _with_passages(docs: DataFrame, length: int, gram: int, passage: int, id: str, text: str) -> DataFrame:
+    """`repeated_strings` without the text, and n_repeated: n_removed or, of a text that loses nothing, the bytes
+    under repeated strings of `passage` bytes.
+
+    What a longer window chooses, some shorter window of it chooses too, so strings are chosen once, by the
+    shorter ones. Only buckets of texts that lose nothing meet a second time, with all who are in them.
+    """
+    if not length >= passage > gram >= 8:
+        raise ValueError("a window must be at least as long as a passage, and that longer than the string it chooses")
+    small_batches(docs.sparkSession)
+    rows = identified(docs, id, text).where(F.col("n_bytes") >= passage)
+    texts = stage(_texts(rows), tidy=True)
+    sharing = _sharing(rows, texts, passage, gram)
+    losing = stage(_losing(sharing, texts, length, gram).drop("kept"), tidy=True)
+    lost = losing.select("key")
+    strings = sharing.select("key", "copies", F.explode(F.map_from_arrays("mhs", "parts")).alias("mh", "parts"))
+    left = strings.where("copies = 1").join(lost, "key", "left_anti").select("mh").distinct()
+    wanted = _wanted(strings.join(left, "mh", "left_semi"))
+    again = stage(
+        sharing.drop("mhs", "parts").join(wanted, "key")
+        .select("key", "text", F.map_keys("wanted").alias("mhs"), F.map_values("wanted").alias("parts"), "copies", "one"),
+        tidy=True,
+    )
+    found = _cut_out(again, _windows(again, passage, gram).join(lost, "key", "left_anti"), passage)
+    found = found.select("key", "one", F.lit(1).cast("long").alias("copies"), F.col("n_removed").alias("n_repeated"))
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") < length)).select("key", "one", "copies", F.col("n_bytes").alias("n_repeated"))
+    return losing.withColumn("n_repeated", F.col("n_removed")).unionByName(found.unionByName(whole), allowMissingColumns=True)
+
+
+def removals(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str = "doc_id", text: str = "text", passage: int | None = None
+) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (bytes left), changed.
+
+    With `passage`, the length of a shorter string, also n_repeated: n_removed or, of a document that loses nothing,
+    the bytes under strings of `passage` bytes that start elsewhere too. These are reported and stay in the text.
+    """
+    if passage is None:
+        found = repeated_strings(docs, length, gram, id, text).drop("kept")
+    else:
+        found = _with_passages(docs, length, gram, passage, id, text)
     rows = join_by_text(identified(docs, id, text).select("id", "key", "sha", "n_bytes"), found)
     none = F.lit(0).cast("long")
+    more = [] if passage is None else [F.coalesce("n_repeated", none).alias("n_repeated")]
     return rows.select(
         F.col("id").alias(id),
         "n_bytes",
@@ -359,6 +424,7 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id: str =
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         (F.col("n_bytes") - F.coalesce("n_removed", none)).alias("n_kept"),
         (F.coalesce("n_removed", none) > 0).alias("changed"),
+        *more,
     )
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_TIDY_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
 
@@ -110,15 +111,23 @@ def release(spark: SparkSession) -> None:
     delete(spark, shared_folder(spark))
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, tidy: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts the lineage without pinning data to an executor, so a lost executor
     costs a re-read and not a recomputation. Parquet keeps column pruning and
     gives the planner a real size for broadcast decisions. Staged tables stay
-    until `release`.
+    until `release`. With `tidy` Spark removes the shuffle files of the write
+    at its end, not when the driver next collects garbage.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), uuid.uuid4().hex)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY_KEY, None)
+    if tidy:
+        spark.conf.set(_TIDY_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY_KEY) if before is None else spark.conf.set(_TIDY_KEY, before)
     return spark.read.schema(df.schema).parquet(path)

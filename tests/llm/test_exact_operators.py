@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, fingerprints, near_dups, packing, suffix_dedup, token_counts
 from ledgerlens.llm.bytes_and_words import text_hashes
+from ledgerlens.llm.queries import QUERIES
 from ledgerlens.llm.suffix_array import suffix_arrays
 from tests.llm import brute
 
@@ -92,6 +93,37 @@ def test_a_text_beyond_16_mb_loses_its_repeats(spark):
     assert got == {1: (1850, 3, sha(1)), 2: (450, 1, sha(2))}
 
 
+@pytest.mark.parametrize("per_array", [24, 2])
+def test_passages_shorter_than_a_window_are_reported_and_stay(spark, odd, odd_rows, per_array, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PER_ARRAY", per_array)
+    r = random.Random(9)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    short, long, twin = letters(55), letters(90), letters(50)
+    # A short passage alone, beside a long one, shared with a document that loses bytes, and in the same document twice.
+    texts = [letters(80) + short + letters(80), letters(30) + short, letters(40) + long + letters(20) + short, long + letters(60)]
+    texts += [short + letters(70) + short + letters(9), twin, twin, letters(10) + twin, letters(300), letters(39)]
+    rows = [(r[0], r[1]) for r in odd_rows] + [(1000 + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lost, shorter = brute.removals(texts_of(rows), 60), brute.removals(texts_of(rows), 40)
+    want = Counter((d, *x, x[0] - x[1], x[1] or y[1]) for (d, _), x, y in zip(rows, lost, shorter))
+    got = suffix_dedup.removals(docs, length=60, gram=24, passage=40)
+    assert by_row(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "n_repeated") == want
+    assert sum(not x[1] and y[1] > 0 for x, y in zip(lost, shorter)) > 5
+
+
+def test_query_reports_passages_of_over_50_words(spark, tmp_path):
+    r = random.Random(11)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    passage = words(56)
+    texts = [f"{words(60)} {passage} {words(60)}", f"{words(30)} {passage}", words(200), words(56), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x for x in QUERIES["op9_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert 250 <= len(passage) < 400
+    assert [got[k].n_repeated >= len(passage) for k in range(5)] == [True, True, False, False, False]
+    assert [got[k].n_repeated for k in (2, 3, 4)] == [0, 0, 0]
+    assert all(x.n_removed == 0 and x.n_kept == x.n_bytes and not x.changed for x in got.values())
+
+
 def test_text_form_of_repeat_removal_keeps_rows_and_columns(odd):
     out = suffix_dedup.without_repeats(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
