@@ -37,7 +37,7 @@ def evaluate_k(rfm: DataFrame, config: RetailConfig, distance: str = "squared")
     """Inertia and silhouette for each k that has more rows than clusters.
 
     `distance` is 'squared' (two linear passes), 'euclidean' (from cells, with the column Bound) or
-    'euclidean_exact' (all pairs of distinct points), at any size.
+    'euclidean_exact' (distances of all points, to rounding), at any size.
     """
     methods = {"squared": silhouette.squared, "euclidean": silhouette.euclidean, "euclidean_exact": silhouette.euclidean_exact}
     if distance not in methods:

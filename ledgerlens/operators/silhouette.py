@@ -5,7 +5,7 @@
 by their centroid and spread. The mean distance from a point to the points of a cell is at least the distance D to
 their centroid and at most sqrt(D^2 + s) with s their mean squared distance from it (both by Jensen's inequality),
 so every mean has a bracket, and so has the silhouette. Its work grows with the points times the cells that hold
-any; a finer grid narrows the bracket. `euclidean_exact` compares every distinct point with every other.
+any; a finer grid narrows the bracket. `euclidean_exact` sums the distances of all points, see `distance_sums`.
 """
 
 from __future__ import annotations
@@ -14,15 +14,15 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlens.operators import distance_sums
 from ledgerlens.session import stage
 
-# Every block of distinct points is sent to every other one, so rows are copied once per block: blocks are no smaller
-# than tasks need. A pair of them is met in tiles that stay in a core's cache.
+# A block is what a task holds of the distinct points. Points meet in tiles that stay in a core's cache.
 _BLOCK_ROWS, _LARGEST_BLOCK, _BLOCKS, _TILE = 2000, 20_000, 32, 256
+_PLACES = 200_000  # points that say where blocks are cut
 
 
 def squared(df: DataFrame, axes: Sequence[str], label: str = "Cluster", by: str = "K") -> DataFrame:
@@ -134,10 +134,11 @@ def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster",
     """One row per `by` value, exact for any size. Every row needs a label for every `by` value.
 
     Equal points become one weighted row that carries its label in every model,
-    so distances are computed once for all models. Rows are split evenly into
-    blocks by hash, blocks meet pairwise as groups of bounded size, and each
-    pair returns distance sums per row and cluster, never the pairs. Its work
-    grows with the square of the distinct points: see `euclidean` for a bracket.
+    so distances are computed once for all models. Points are dealt to blocks by
+    place. A block meets the near boxes of all blocks point by point and the far
+    ones at interpolation points, see `distance_sums`: every distance enters
+    with a relative error of at most 1e-12. A task holds one block and what the
+    block meets; the driver holds the limits of the boxes.
     """
     ks = sorted(r[by] for r in df.select(by).distinct().collect())
     if not ks:
@@ -147,8 +148,8 @@ def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster",
         (F.count(F.lit(1)) / len(ks)).alias("w"),
         *(F.max(F.when(F.col(by) == k, F.col(label))).alias(c) for k, c in zip(ks, labels)),
     )
-    # Staged, so that a point keeps its number.
-    points = stage(points.withColumn("id", F.monotonically_increasing_id()))
+    names = [f"x{i}" for i in range(len(axes))]
+    points = stage(points.select(*(F.col(a).cast("double").alias(n) for a, n in zip(axes, names)), "w", *(F.col(c).cast("int") for c in labels)))
     sizes = (
         points.select("w", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).alias("c")) for i, c in enumerate(labels)))).alias("e"))
         .groupBy("e.i", "e.c")
@@ -156,49 +157,41 @@ def euclidean_exact(df: DataFrame, axes: Sequence[str], label: str = "Cluster",
         .orderBy("i", "c")
         .collect()
     )  # one row per model and cluster
-    mass = {(r["i"], r["c"]): r["n"] for r in sizes}
-    slots = {key: s for s, key in enumerate(mass)}
-
-    blocks = _blocks(points.count())
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    tagged = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = tagged.withColumn("other", every)
-    right = tagged.withColumnRenamed("block", "other").drop("id").withColumn("block", every)
-    names = list(axes)
-
-    def sums(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({c: [] for c in ("id", "w", *labels, "t")})
-        x, y = mine[names].to_numpy(float), theirs[names].to_numpy(float)
-        member = np.zeros((len(y), len(slots)))
-        for (i, c), slot in slots.items():
-            member[:, slot] = theirs["w"] * (theirs[labels[i]] == c)
-        total = np.zeros((len(x), len(slots)))
-        for a in range(0, len(x), _TILE):
-            for b in range(0, len(y), _TILE):
-                one, two = x[a : a + _TILE], y[b : b + _TILE]
-                gap = 0.0
-                for i in range(len(names)):
-                    step = np.subtract.outer(one[:, i], two[:, i])
-                    step *= step
-                    gap = np.add(gap, step, out=step)
-                total[a : a + _TILE] += np.sqrt(gap, out=gap) @ member[b : b + _TILE]
-        return mine[["id", "w", *labels]].assign(t=list(total))
-
-    schema = ", ".join(["id long", "w double", *(f"{c} int" for c in labels), "t array<double>"])
-    met = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(sums, schema)
-    totals = met.groupBy("id", "w", *labels).agg(*(F.sum(F.col("t")[s]).alias(f"t{s}") for s in slots.values()))
-
-    scores = []
-    for i, c in enumerate(labels):
-        mine = {key: slot for key, slot in slots.items() if key[0] == i}
-        inside = F.coalesce(
-            *(F.when(F.col(c) == key[1], F.col(f"t{slot}") / max(mass[key] - 1, 1)) for key, slot in mine.items())
-        )
-        outside = [F.when(F.col(c) != key[1], F.col(f"t{slot}") / mass[key]) for key, slot in mine.items()]
-        nearest = F.least(*outside) if len(outside) > 1 else F.lit(None).cast("double")
-        alone = F.col(c).isin(*(key[1] for key in mine if mass[key] <= 1))
-        value = F.when(alone, 0.0).otherwise(_score(inside, nearest)) if any(mass[k] <= 1 for k in mine) else _score(inside, nearest)
-        scores.append((F.sum(value * F.col("w")) / F.sum("w")).alias(c))
-    cells = F.array(*(F.struct(F.lit(k).alias(by), F.col(c).alias("Silhouette")) for k, c in zip(ks, labels)))
-    return totals.agg(*scores).select(F.explode(cells).alias("e")).select("e.*")
+    slots = [(r["i"], r["c"]) for r in sizes if r["c"] is not None]
+    mass = [r["n"] for r in sizes if r["c"] is not None]
+    everything = math.fsum(r["n"] for r in sizes if r["i"] == 0)
+
+    # A point that lacks a coordinate counts in its cluster, but is at no distance from any other, and scores 0.
+    placed = F.lit(True)
+    for n in names:
+        placed &= F.col(n).isNotNull() & ~F.isnan(n)
+    points = points.where(placed)
+
+    # Blocks are cut where some of the points, picked by hash, lie evenly. Where that is does not change any result.
+    count = points.count()
+    some = points.where(F.pmod(F.xxhash64(*names), F.lit(max(1, math.ceil(count / _PLACES)))) == 0).select(*names).toPandas().to_numpy(float)
+    tree = distance_sums.cuts(some[np.isfinite(some).all(axis=1)], _blocks(count))
+    columns = ", ".join([*(f"{n} double" for n in names), "w double", *(f"{c} int" for c in labels)])
+    # Twice as many parts as blocks, as hashing puts some blocks together.
+    parts = 2 * (len(tree) + 1)
+    dealt = points.mapInPandas(distance_sums.deal(names, tree), f"{columns}, block int").repartition(parts, "block")
+    limits = [f"{side}{i}" for side in ("low", "high") for i in range(len(names))]
+    schema = f"block int, box int, far boolean, reach double, left int, right int, {', '.join(f'{c} double' for c in limits)}, held binary"
+    boxes = stage(dealt.groupBy("block").applyInPandas(distance_sums.lay_out(names, labels, slots), schema))
+    known = distance_sums.numbered(boxes.where("far").drop("far", "held").toPandas(), len(names))
+
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(known)
+    blocks = len(known["first"])
+    asked = spark.range(0, blocks, 1, max(1, blocks)).mapInPandas(distance_sums.ask(shared), "target int, block int, box int, far boolean")
+    sent = asked.join(boxes.select("block", "box", "far", "held"), ["block", "box", "far"]).select(
+        F.col("target").alias("block"), F.col("block").alias("other"), "box", "far", "held"
+    )
+    met = dealt.groupBy("block").cogroup(sent.repartition(parts, "block").groupBy("block"))
+    scored = met.applyInPandas(distance_sums.score(shared, names, labels, slots, mass, _TILE), "model int, value double").collect()
+    shared.destroy()
+    # Not a number, as infinite coordinates give, comes from pandas as null.
+    value = lambda r: math.nan if r["value"] is None else r["value"]
+    found = [math.fsum(value(r) for r in scored if r["model"] == i) / everything for i in range(len(ks))]
+    cells = F.array(*(F.struct(F.lit(k).alias(by), F.lit(v).alias("Silhouette")) for k, v in zip(ks, found)))
+    return spark.range(1).select(F.explode(cells).alias("e")).select("e.*")
